@@ -91,6 +91,10 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda left, right: left & right, conditions, F.lit(True))
 
 
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda left, right: left | right, conditions)
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every double column, so results do not depend on summation order."""
     return df.select(

@@ -28,32 +28,46 @@ MOJIBAKE_LEFTOVERS = [
     ("â[^\\p{L}\\p{N}\\s]{1,8}", ""),
     ("â\u0080[^\\p{L}\\p{N}]*", ""),
     ("Ã[^\\p{L}\\p{N}]*", ""),
+]
+# Spacing put right at the end, as patterns, in this order.
+SPACING_REPAIRS = [
     ("[ \\t]{2,}", " "),
     (" +([,.;:!?])", "$1"),
     ("\\n[ \\t]+", "\n"),
 ]
 
 
-# White space of any script, written out so that it means the same everywhere.
-SPACE = "[\\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# All characters that count as white space.
+SPACE_CHARS = (
+    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE = r"\s\x1c-\x1f"  # with the flag (?U), the same characters in a Java pattern
 
 
 def strip_space(col: Column) -> Column:
     """Drop white space of any kind at both ends (``trim`` drops blanks only)."""
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def normalize_text(col: Column) -> Column:
     """Lower case, underscores and hyphens as blanks, single blanks between words."""
-    return F.regexp_replace(
-        F.regexp_replace(strip_space(F.lower(col)), r"[_\-]+", " "), f"{SPACE}+", " "
-    )
+    return F.regexp_replace(F.lower(strip_space(col)), rf"(?U)[{_SPACE}_\-]+", " ")
 
 
 def repair_mojibake(col: Column) -> Column:
+    """Undo the usual debris of text read in the wrong encoding.
+
+    Text without a suspicious character skips the long list of repairs.
+    """
+    repaired = col
     for debris, repair in MOJIBAKE_REPAIRS:
-        col = F.replace(col, F.lit(debris), F.lit(repair))
+        repaired = F.replace(repaired, F.lit(debris), F.lit(repair))
     for pattern, repair in MOJIBAKE_LEFTOVERS:
+        repaired = F.regexp_replace(repaired, pattern, repair)
+    col = F.when(col.rlike("[ÂÃâï\ufffd]"), repaired).otherwise(col)
+    for pattern, repair in SPACING_REPAIRS:
         col = F.regexp_replace(col, pattern, repair)
     return strip_space(col)
 

@@ -171,10 +171,12 @@ def record_share(df: DataFrame, group: str) -> DataFrame:
 def metric_share(df: DataFrame, group: str, metric: str) -> DataFrame:
     """(group, value, percentage of the total metric); a zero total gives 0."""
     grouped = _grouped(df, group, metric, "SUM", True)
-    total = _total(grouped, "value")
-    shares = grouped.withColumn(
-        "percentage",
-        F.when(total == 0, F.lit(0.0)).otherwise(percent_of(F.col("value"), total)),
+    shares = grouped.withColumn("_total", _total(grouped, "value")).select(
+        quoted(group),
+        "value",
+        F.when(F.col("_total") == 0, F.lit(0.0))
+        .otherwise(percent_of(F.col("value"), F.col("_total")))
+        .alias("percentage"),
     )
     return _ranked(shares, "percentage", group, True)
 

@@ -13,24 +13,27 @@ from .quantiles import Quantile, aggregate_with_quantiles
 _FENCE = 1.5  # fixed value: whisker length in interquartile ranges
 
 
-def _quartiles(df: DataFrame, v: Column, method: str) -> Column:
-    quantiles = [Quantile("q1", v, 0.25), Quantile("q3", v, 0.75)]
-    row = aggregate_with_quantiles(df, {}, quantiles, method=method)
-    return row.select(F.struct("q1", "q3")).scalar()
-
-
 def iqr_outliers(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
     """Rows outside the 1.5 IQR fences, with the quartiles q1 and q3.
 
-    The quartiles enter as a scalar subquery: the rows are filtered where they
-    are read and nothing is joined or shuffled.
+    The fences enter as a scalar subquery: the rows are filtered where they are
+    read and nothing is joined or shuffled.
     """
     v = try_numeric(df, column)
-    quartiles = _quartiles(df, v, method)
-    q1, q3 = quartiles.getField("q1"), quartiles.getField("q3")
-    reach = (q3 - q1) * _FENCE
-    return df.where((v < q1 - reach) | (v > q3 + reach)).select(
-        "*", q1.alias("q1"), q3.alias("q3")
+    quartiles = [Quantile("q1", v, 0.25), Quantile("q3", v, 0.75)]
+    reach = (F.col("q3") - F.col("q1")) * _FENCE
+    fences = (
+        aggregate_with_quantiles(df, {}, quartiles, method=method)
+        .select(
+            F.struct(
+                "q1", "q3", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")
+            )
+        )
+        .scalar()
+    )
+    outside = (v < fences.getField("low")) | (v > fences.getField("high"))
+    return df.where(outside).select(
+        "*", fences.getField("q1").alias("q1"), fences.getField("q3").alias("q3")
     )
 
 
@@ -63,25 +66,23 @@ def boxplot_stats(
                 Quantile(f"b{i}", v, 0.5),
                 Quantile(f"c{i}", v, 0.75),
             ]
-        first = (
-            aggregate_with_quantiles(df, plain, quantiles, method=method)
-            .select(F.struct("*"))
-            .scalar()
+        first = aggregate_with_quantiles(df, plain, quantiles, method=method)
+        boxes = first.select(F.struct("*")).scalar()
+        # The boxes become one column, so that the many uses below read it.
+        boxed = df.select(
+            *[v.alias(f"_v{i}") for i, v in enumerate(values)], boxes.alias("_box")
         )
-
-        def get(name: str, first: Column = first) -> Column:
-            return first.getField(name)
-
-        aggs = [F.first(first).alias("f")]
-        for i, v in enumerate(values):
-            reach = (get(f"c{i}") - get(f"a{i}")) * _FENCE
-            inside = (v >= get(f"a{i}") - reach) & (v <= get(f"c{i}") + reach)
+        aggs = [F.first("_box").alias("f")]
+        for i in range(len(chunk)):
+            v, q1, q3 = F.col(f"_v{i}"), F.col(f"_box.a{i}"), F.col(f"_box.c{i}")
+            reach = (q3 - q1) * _FENCE
+            inside = (v >= q1 - reach) & (v <= q3 + reach)
             aggs += [
                 F.min(F.when(inside, v)).alias(f"lo{i}"),
                 F.max(F.when(inside, v)).alias(f"hi{i}"),
                 F.count(F.when(~inside, 1)).alias(f"out{i}"),
             ]
-        wide = df.agg(*aggs)
+        wide = boxed.agg(*aggs)
         rows = []
         for i, c in enumerate(chunk):
             mean, std = F.col(f"f.m{i}"), F.col(f"f.s{i}")

@@ -488,67 +488,74 @@ def histograms(
     return _union([_histogram_chunk(df, chunk, bins) for chunk in _chunks(columns)])
 
 
+def _bin_count(bins: int | str, n: Column) -> Column:
+    if isinstance(bins, int):
+        return F.lit(bins)
+    root = {"sqrt": F.floor, "sqrt_up": F.ceil}[bins](F.sqrt(n))
+    return F.least(F.lit(12), F.greatest(F.lit(5), root.cast("int")))
+
+
 def _histogram_chunk(df: DataFrame, columns: list[str], bins: int | str) -> DataFrame:
     values = {c: finite(try_numeric(df, c)) for c in columns}
-    ranges = df.agg(
+    wide = df.agg(
+        *[
+            F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).alias(
+                f"r{i}"
+            )
+            for i, v in enumerate(values.values())
+        ]
+    )
+    ranges = wide.select(
         F.struct(
             *[
                 F.struct(
-                    F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")
+                    F.col(f"r{i}.lo").alias("lo"),
+                    F.col(f"r{i}.hi").alias("hi"),
+                    F.when(F.col(f"r{i}.lo") == F.col(f"r{i}.hi"), F.lit(1))
+                    .otherwise(_bin_count(bins, F.col(f"r{i}.n")))
+                    .alias("bins"),
                 ).alias(f"r{i}")
-                for i, v in enumerate(values.values())
+                for i in range(len(columns))
             ]
-        ).alias("r")
+        )
     ).scalar()
 
-    def bounds(i: int) -> tuple[Column, Column, Column]:
-        r = ranges.getField(f"r{i}")
-        lo, hi, n = r.getField("lo"), r.getField("hi"), r.getField("n")
-        if isinstance(bins, int):
-            wanted = F.lit(bins)
-        else:
-            root = F.ceil(F.sqrt(n)) if bins == "sqrt_up" else F.floor(F.sqrt(n))
-            wanted = F.least(F.lit(12), F.greatest(F.lit(5), root.cast("int")))
-        return lo, hi, F.when(lo == hi, F.lit(1)).otherwise(wanted)
-
+    # The ranges become one column, so that the many uses below read it.
     frame = (
         df.sparkSession.range(1)
+        .select(ranges.alias("_r"))
         .select(
             F.inline(
                 F.array(
                     *[
-                        F.struct(
-                            F.lit(c).alias("column_name"),
-                            bounds(i)[0].alias("lo"),
-                            bounds(i)[1].alias("hi"),
-                            bounds(i)[2].alias("bins"),
-                        )
+                        F.struct(F.lit(c).alias("column_name"), F.col(f"_r.r{i}").alias("_r"))
                         for i, c in enumerate(columns)
                     ]
                 )
             )
         )
+        .select("column_name", "_r.*")
         .where(F.col("lo").isNotNull())
         .select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     )
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     placed = (
-        df.select(
+        df.select(*[v.alias(f"_v{i}") for i, v in enumerate(values.values())], ranges.alias("_r"))
+        .select(
             F.inline(
                 F.array(
                     *[
                         F.struct(
                             F.lit(c).alias("column_name"),
-                            v.alias("v"),
-                            bounds(i)[0].alias("lo"),
-                            bounds(i)[1].alias("hi"),
-                            bounds(i)[2].alias("bins"),
+                            F.col(f"_v{i}").alias("v"),
+                            F.col(f"_r.r{i}").alias("_r"),
                         )
-                        for i, (c, v) in enumerate(values.items())
+                        for i, c in enumerate(columns)
                     ]
                 )
             )
         )
+        .select("column_name", "v", "_r.*")
         .where(F.col("v").isNotNull())
         .select(
             "column_name",

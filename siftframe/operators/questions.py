@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expressions import quoted
+from ..functions.expressions import any_of, quoted
 from ..functions.text import normalize_text, strip_space
 
 # Turns of one conversation are handled in runs of this many turn numbers, so a
@@ -206,19 +206,32 @@ AGGREGATE_WORDS = {
 }
 
 _EDGE_BEFORE, _EDGE_AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+_NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
-def phrase_pattern(phrases: list[str]) -> str:
-    """A pattern that finds any phrase: single words whole, longer ones as they are."""
-    words = [re.escape(p) for p in phrases if " " not in p and "-" not in p]
-    # A blank is written as one, so that the pattern reads the same everywhere.
-    longer = [re.escape(p).replace(r"\ ", " ") for p in phrases if " " in p or "-" in p]
-    parts = longer + ([_EDGE_BEFORE + "(?:" + "|".join(words) + ")" + _EDGE_AFTER] if words else [])
-    return "|".join(parts)
+def _whole(text: Column, phrase: str) -> Column:
+    """``phrase`` occurs in ``text`` with no letter or digit next to it.
 
+    A plain search comes first, so the pattern is tried on few rows only.
+    """
+    pattern = _EDGE_BEFORE + re.escape(phrase).replace(r"\ ", " ") + _EDGE_AFTER
+    return F.contains(text, F.lit(phrase)) & text.rlike(pattern)
+
+
+def _is_word(phrase: str) -> bool:
+    return " " not in phrase and "-" not in phrase
 
-def word_pattern(phrase: str) -> str:
-    return _EDGE_BEFORE + re.escape(phrase).replace(r"\ ", " ") + _EDGE_AFTER
+
+_DECIDING_WORDS = {
+    w
+    for phrases in (
+        FOLLOWUP, DERIVED, COMPARISON, SCENARIO, FORECAST, ANOMALY, QUALITY, INSIGHT,
+        STATISTICS, TREND, CONDITION_WORDS, RANKING_EXTREMES, AGGREGATION,
+        GROUPED_AGGREGATION, PERCENTAGE, SCALAR, ["top", "bottom"],
+    )
+    for w in phrases
+    if _is_word(w)
+}
 
 
 def _plain(name: str) -> str:
@@ -238,15 +251,28 @@ def tag_intent(
     questions are about. The first rule that applies decides.
     """
     columns, numeric, groups = columns or [], numeric or [], groups or []
-    q = F.lower(strip_space(quoted(text)))
+    # Worked out once per row, ahead of the many rules that read them: the
+    # text itself, its normal form, and which of the deciding words it has.
+    prepared = questions.withColumns(
+        {"_q": F.lower(strip_space(quoted(text))), "_norm": normalize_text(quoted(text))}
+    ).withColumn(
+        "_hits",
+        F.array_intersect(
+            F.split("_q", _NOT_WORD), F.array(*[F.lit(w) for w in sorted(_DECIDING_WORDS)])
+        ),
+    )
+    q, norm, hits = F.col("_q"), F.col("_norm"), F.col("_hits")
     padded = F.concat(F.lit(" "), q, F.lit(" "))
-    norm = normalize_text(quoted(text))
 
-    def has(phrases: list[str]) -> Column:
-        return padded.rlike(phrase_pattern(phrases))
+    def holds(parts: list[str], where: Column = q) -> Column:
+        return any_of([F.contains(where, F.lit(p)) for p in parts])
 
-    def holds(parts: list[str]) -> Column:
-        return q.rlike("|".join(re.escape(p).replace(r"\ ", " ") for p in parts))
+    def has(phrases: list[str]) -> Column:
+        """Single words whole, longer phrases as they are."""
+        words = [p for p in phrases if _is_word(p)]
+        longer = [p for p in phrases if not _is_word(p)]
+        tests = [F.arrays_overlap(hits, F.array(*[F.lit(w) for w in words]))] if words else []
+        return any_of(tests + ([holds(longer, padded)] if longer else []))
 
     def count_of(tests: list[Column]) -> Column:
         total = F.lit(0)
@@ -254,16 +280,20 @@ def tag_intent(
             total = total + test.cast("int")
         return total
 
-    whole_numeric = count_of([norm.rlike(word_pattern(_plain(c))) for c in numeric])
-    named_group = count_of([norm.rlike(word_pattern(_plain(c))) for c in groups]) > 0
+    whole_numeric = count_of([_whole(norm, _plain(c)) for c in numeric])
+    named_group = count_of([_whole(norm, _plain(c)) for c in groups]) > 0
     # Columns are also recognised inside words here, as in "attendance percentages".
     mentioned = count_of(
         [F.contains(q, F.lit(c.strip().lower().replace("_", " "))) for c in columns]
     )
-    condition = q.rlike(
-        r">=|<=|!=|<>|>|<|=|" + _EDGE_BEFORE + "(?:" + "|".join(CONDITION_WORDS) + ")" + _EDGE_AFTER
+    condition = any_of(
+        [holds([">", "<", "="])]
+        + [has([w]) for w in CONDITION_WORDS if _is_word(w)]
+        + [_whole(q, w) for w in CONDITION_WORDS if not _is_word(w)]
+    )
+    top_n = has(["top", "bottom"]) & q.rlike(
+        _EDGE_BEFORE + r"(?:top|bottom)\s+\d+" + _EDGE_AFTER
     )
-    top_n = q.rlike(_EDGE_BEFORE + r"(?:top|bottom)\s+\d+" + _EDGE_AFTER)
     between_two = F.contains(q, F.lit("compare")) & holds([" between "]) & holds([" and "])
     hinted = holds([*GROUPING, *RANK_TARGETS])
     grouped = holds([*GROUPING, " each "]) | q.endswith(" grouped") | between_two
@@ -295,16 +325,19 @@ def tag_intent(
     chain = F
     for test, intent in rules:
         chain = chain.when(test, F.lit(intent))
-    return questions.withColumn("intent", chain.otherwise(F.lit("local_query")))
+    tagged = prepared.withColumn("intent", chain.otherwise(F.lit("local_query")))
+    return tagged.drop("_q", "_norm", "_hits")
 
 
 def detect_aggregation(questions: DataFrame, text: str = "text") -> DataFrame:
     """``questions`` with ``aggregate``: the longest aggregate word decides."""
-    norm = normalize_text(quoted(text))
+    prepared = questions.withColumn("_norm", normalize_text(quoted(text)))
     chain = F
     for phrase in sorted(AGGREGATE_WORDS, key=len, reverse=True):
-        chain = chain.when(norm.rlike(word_pattern(phrase)), F.lit(AGGREGATE_WORDS[phrase]))
-    return questions.withColumn("aggregate", chain.otherwise(F.lit(None).cast("string")))
+        chain = chain.when(_whole(F.col("_norm"), phrase), F.lit(AGGREGATE_WORDS[phrase]))
+    return prepared.withColumn("aggregate", chain.otherwise(F.lit(None).cast("string"))).drop(
+        "_norm"
+    )
 
 
 def mentioned_columns(
@@ -316,13 +349,15 @@ def mentioned_columns(
     counts. Where names overlap, the one that starts first is taken, or the
     longer one of two that start together.
     """
-    norm = normalize_text(quoted(text))
+    prepared = questions.withColumn("_norm", normalize_text(quoted(text)))
     places = []
     for c in columns:
         name = _plain(c)
         if name:
             whole = r"(?<![\p{L}\p{N}_])" + re.escape(name) + r"(?![\p{L}\p{N}_])"
-            start = F.regexp_instr(norm, F.lit(whole))
+            start = F.when(
+                F.contains("_norm", F.lit(name)), F.regexp_instr("_norm", F.lit(whole))
+            ).otherwise(F.lit(0))
             places.append(
                 F.struct(
                     start.alias("start"), F.lit(-len(name)).alias("size"), F.lit(c).alias("name")
@@ -343,4 +378,4 @@ def mentioned_columns(
         ),
         lambda acc: acc["names"],
     )
-    return questions.withColumn("mentioned", kept)
+    return prepared.withColumn("mentioned", kept).drop("_norm")

@@ -114,20 +114,42 @@ def top_correlated_points(
 ) -> DataFrame:
     """Points of the ``pairs`` strongest correlations: (column_x, column_y, x, y).
 
-    The winners are known only at run time, so every candidate pair is sampled
-    (a bounded top-``limit`` each) and the ranking picks among them; nothing
-    returns to the driver in between.
+    The winning pairs are a scalar subquery, computed once; every place of the
+    ranking then takes its own bounded sample. The number of scans follows
+    ``pairs``, not the number of columns.
     """
-    candidates = None
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            page = pair_sample(df, a, b, order_by, limit).select(
-                F.lit(a).alias("column_x"), F.lit(b).alias("column_y"), "x", "y"
-            )
-            candidates = page if candidates is None else candidates.unionByName(page)
-    best = corr_ranked(df, columns).limit(pairs).select("column_x", "column_y")
-    # ``best`` has at most ``pairs`` rows.
-    return candidates.join(F.broadcast(best), ["column_x", "column_y"])
+    best = (
+        corr_ranked(df, columns)
+        .limit(pairs)
+        .agg(F.collect_list(F.struct("column_x", "column_y")))
+        .scalar()
+    )
+    pages = None
+    for place in range(pairs):
+        pair = F.get(F.col("_best"), F.lit(place))
+        rows = df.select(
+            *order_by,
+            *[try_numeric(df, c).alias(f"_v{i}") for i, c in enumerate(columns)],
+            best.alias("_best"),
+        ).select(
+            *order_by,
+            pair.getField("column_x").alias("column_x"),
+            pair.getField("column_y").alias("column_y"),
+            _chosen(pair.getField("column_x"), columns).alias("x"),
+            _chosen(pair.getField("column_y"), columns).alias("y"),
+        )
+        page = (
+            rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+            .orderBy(*order_by)
+            .limit(limit)
+            .select("column_x", "column_y", "x", "y")
+        )
+        pages = page if pages is None else pages.unionByName(page)
+    return pages
+
+
+def _chosen(name: Column, columns: list[str]) -> Column:
+    return F.coalesce(*[F.when(name == c, F.col(f"_v{i}")) for i, c in enumerate(columns)])
 
 
 # Statements that change something, and so are refused.

@@ -56,16 +56,13 @@ def normalized_series(df: DataFrame, date: str, metrics: list[str]) -> DataFrame
     # The ranges read the shuffle of the daily sums again, not the table.
     ranges = daily.agg(
         F.struct(
-            *[
-                F.struct(F.min(f"_m{i}").alias("lo"), F.max(f"_m{i}").alias("hi")).alias(f"_m{i}")
-                for i in range(len(metrics))
-            ]
+            *[F.min(f"_m{i}").alias(f"lo{i}") for i in range(len(metrics))],
+            *[F.max(f"_m{i}").alias(f"hi{i}") for i in range(len(metrics))],
         )
     ).scalar()
     entries = []
     for i, m in enumerate(metrics):
-        lo, hi = ranges.getField(f"_m{i}").getField("lo"), ranges.getField(f"_m{i}").getField("hi")
-        v = F.col(f"_m{i}")
+        v, lo, hi = F.col(f"_m{i}"), F.col(f"_r.lo{i}"), F.col(f"_r.hi{i}")
         entries.append(
             F.struct(
                 F.lit(m).alias("metric"),
@@ -73,7 +70,7 @@ def normalized_series(df: DataFrame, date: str, metrics: list[str]) -> DataFrame
                 F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0)).alias("normalized"),
             )
         )
-    return daily.select("day", F.inline(F.array(*entries)))
+    return daily.withColumn("_r", ranges).select("day", F.inline(F.array(*entries)))
 
 
 def series_peak_low(series: DataFrame, period: str = "day", value: str = "value") -> DataFrame:

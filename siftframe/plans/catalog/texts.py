@@ -6,12 +6,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.expressions import try_numeric
-from ...functions.text import SPACE, normalize_text, repair_mojibake
+from ...functions.text import normalize_text, repair_mojibake
 from ...operators import questions as Q
 from ...sources import cleaning, files, store
 from ...sources.scratch import scratch_path
 from .registry import Tables, query
 
+# White space written out, as the second engine has no flag for all of it.
+SPACE = (
+    "[\\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a"
+    "\u2028\u2029\u202f\u205f\u3000]"
+)
+
 # -- sources -----------------------------------------------------------------
 
 _CUSTOMER = """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
@@ -198,12 +204,12 @@ def _damaged_sql() -> str:
 
 
 def _repaired_sql() -> str:
-    from ...functions.text import MOJIBAKE_LEFTOVERS, MOJIBAKE_REPAIRS
+    from ...functions.text import MOJIBAKE_LEFTOVERS, MOJIBAKE_REPAIRS, SPACING_REPAIRS
 
     sql = _damaged_sql()
     for debris, repair in MOJIBAKE_REPAIRS:
         sql = "replace({}, '{}', '{}')".format(sql, debris, repair.replace("'", "''"))
-    for pattern, repair in MOJIBAKE_LEFTOVERS:
+    for pattern, repair in MOJIBAKE_LEFTOVERS + SPACING_REPAIRS:
         sql = "regexp_replace({}, '{}', '{}', 'g')".format(
             sql, pattern, repair.replace("$1", "\\1")
         )

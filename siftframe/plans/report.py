@@ -15,6 +15,7 @@ from ..operators.profiling import (
     column_profiles,
     histograms,
     missing_chart,
+    null_counts,
     overview,
 )
 from ..operators.selection import sample_rows
@@ -24,15 +25,29 @@ MAX_HISTOGRAMS, MAX_CATEGORY_CHARTS, CATEGORY_ROWS, SAMPLE_ROWS = 12, 8, 15, 20
 MANY_CATEGORIES = 10
 
 
-def _line(source: DataFrame, position: int, headline: str, text: Column, level: Column):
+def _lines(source: DataFrame, *lines: tuple[int, str, Column, Column]) -> DataFrame:
+    """One output row per (position, headline, text, level) from a one-row source."""
     return source.select(
-        F.lit(position).alias("position"),
-        F.lit(headline).alias("headline"),
-        text.alias("text"),
-        level.alias("level"),
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(position).alias("position"),
+                        F.lit(headline).alias("headline"),
+                        text.alias("text"),
+                        level.alias("level"),
+                    )
+                    for position, headline, text, level in lines
+                ]
+            )
+        )
     )
 
 
+def _line(source: DataFrame, position: int, headline: str, text: Column, level: Column):
+    return _lines(source, (position, headline, text, level))
+
+
 def _said(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -54,22 +69,23 @@ def findings(df: DataFrame, metric: str | None = None) -> DataFrame:
     facts = overview(df)
     missing, copies = F.col("total_missing_cells"), F.col("duplicate_rows")
     lines = [
-        _line(
+        _lines(
             facts,
-            1,
-            "Completeness",
-            _said(missing, f" missing cells in {len(df.columns)} columns"),
-            F.when(missing == 0, F.lit("good")).otherwise(F.lit("warning")),
-        ),
-        _line(
-            facts,
-            2,
-            "Duplicate records",
-            F.when(copies == 0, F.lit("No duplicate records")).otherwise(
-                F.lit("There are duplicate records")
+            (
+                1,
+                "Completeness",
+                _said(missing, f" missing cells in {len(df.columns)} columns"),
+                F.when(missing == 0, F.lit("good")).otherwise(F.lit("warning")),
             ),
-            F.when(copies == 0, F.lit("good")).otherwise(F.lit("critical")),
-        ),
+            (
+                2,
+                "Duplicate records",
+                F.when(copies == 0, F.lit("No duplicate records")).otherwise(
+                    F.lit("There are duplicate records")
+                ),
+                F.when(copies == 0, F.lit("good")).otherwise(F.lit("critical")),
+            ),
+        )
     ]
     if len(numeric) > 1:
         lines.append(
@@ -127,19 +143,26 @@ def summary_blocks(df: DataFrame, metric: str | None = None) -> DataFrame:
     """The closing summary: size, completeness, structure, metric, correlation, time."""
     numeric, dates = numeric_columns(df), datetime_columns(df)
     categories = categorical_columns(df, include_datetime=False)
-    facts = overview(df)
+    # Sizes and nulls only: no need for the shuffle that finds duplicates.
+    facts = null_counts(df).agg(
+        F.max("total_rows").alias("row_count"),
+        F.sum("null_count").alias("total_missing_cells"),
+    )
     missing, info = F.col("total_missing_cells"), F.lit("info")
     lines = [
-        _line(
-            facts, 1, "Dataset scale",
-            _said(F.col("row_count"), f" records in {len(df.columns)} columns"), info,
-        ),
-        _line(
-            facts, 2, "Completeness",
-            F.when(missing == 0, F.lit("No missing values")).otherwise(
-                _said(missing, " missing cells")
+        _lines(
+            facts,
+            (
+                1, "Dataset scale",
+                _said(F.col("row_count"), f" records in {len(df.columns)} columns"), info,
+            ),
+            (
+                2, "Completeness",
+                F.when(missing == 0, F.lit("No missing values")).otherwise(
+                    _said(missing, " missing cells")
+                ),
+                F.when(missing == 0, F.lit("good")).otherwise(F.lit("warning")),
             ),
-            F.when(missing == 0, F.lit("good")).otherwise(F.lit("warning")),
         ),
         _line(
             df.sparkSession.range(1), 3, "Structure",
