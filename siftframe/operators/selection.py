@@ -118,28 +118,31 @@ def top_correlated_points(
     ranking then takes its own bounded sample. The number of scans follows
     ``pairs``, not the number of columns.
     """
+    number = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
     best = (
         corr_ranked(df, columns)
         .limit(pairs)
-        .agg(F.collect_list(F.struct("column_x", "column_y")))
+        .agg(
+            F.collect_list(
+                F.struct(number[F.col("column_x")].alias("i"), number[F.col("column_y")].alias("j"))
+            )
+        )
         .scalar()
     )
+    names = F.array(*[F.lit(c) for c in columns])
+    values = F.array(*[try_numeric(df, c) for c in columns])
     pages = None
     for place in range(pairs):
-        pair = F.get(F.col("_best"), F.lit(place))
-        rows = df.select(
-            *order_by,
-            *[try_numeric(df, c).alias(f"_v{i}") for i, c in enumerate(columns)],
-            best.alias("_best"),
-        ).select(
-            *order_by,
-            pair.getField("column_x").alias("column_x"),
-            pair.getField("column_y").alias("column_y"),
-            _chosen(pair.getField("column_x"), columns).alias("x"),
-            _chosen(pair.getField("column_y"), columns).alias("y"),
-        )
         page = (
-            rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+            df.select(*order_by, values.alias("_v"), F.get(best, F.lit(place)).alias("_p"))
+            .select(
+                *order_by,
+                F.get(names, F.col("_p.i")).alias("column_x"),
+                F.get(names, F.col("_p.j")).alias("column_y"),
+                F.get("_v", F.col("_p.i")).alias("x"),
+                F.get("_v", F.col("_p.j")).alias("y"),
+            )
+            .where(F.col("x").isNotNull() & F.col("y").isNotNull())
             .orderBy(*order_by)
             .limit(limit)
             .select("column_x", "column_y", "x", "y")
@@ -148,10 +151,6 @@ def top_correlated_points(
     return pages
 
 
-def _chosen(name: Column, columns: list[str]) -> Column:
-    return F.coalesce(*[F.when(name == c, F.col(f"_v{i}")) for i, c in enumerate(columns)])
-
-
 # Statements that change something, and so are refused.
 FORBIDDEN_WORDS = (
     "insert update delete drop alter create truncate copy attach detach install load pragma"
