@@ -53,7 +53,7 @@ def aggregate(
         else:
             plain[alias] = _PLAIN[agg](quoted(column) if agg == "COUNT" else v)
     out = aggregate_with_quantiles(df, plain, quantiles, by, method)
-    return out.select(*(by or []), *[alias for alias, _, _ in wanted])
+    return out.select(*map(quoted, [*(by or []), *[alias for alias, _, _ in wanted]]))
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.expressions import quoted
+
 _STEPS_PER_OCTAVE = 1024
 _FINE_STEPS = 1 << 22
 _OCTAVE_OFFSET = 1100  # lifts the smallest exponent of a double (-1074) above zero
@@ -71,44 +73,40 @@ def aggregate_with_quantiles(
     (the three bounded passes) or ``"auto"``, which takes the built-in only for
     an input the optimizer estimates as small.
     """
-    by = list(by or [])
-    out = [*by, *plain, *[q.alias for q in quantiles]]
-    # Project first: the size estimate then covers the columns in use only.
-    work = df.select(*by, *_inputs(df, by))
+    names = list(by or [])
+    by = [f"_g{i}" for i in range(len(names))]
     if method == "auto":
-        used = df.select(*by, *[q.value.alias(f"_q{i}") for i, q in enumerate(quantiles)])
+        # Only the columns in use, as the size estimate follows the row width.
+        used = df.select(*map(quoted, names), *[q.value.alias(f"_q{i}") for i, q in enumerate(quantiles)])
         method = "builtin" if is_small(used) else "counting"
+    work = df.select("*", *[quoted(n).alias(g) for n, g in zip(names, by, strict=True)])
     plain_cols = [c.alias(a) for a, c in plain.items()]
     if method == "builtin" or not quantiles:
         builtin = [F.percentile(q.value, F.lit(q.prob)).alias(q.alias) for q in quantiles]
-        return work.groupBy(*by).agg(*plain_cols, *builtin).select(*out)
-    located = _quantile_rows(work, quantiles, by)
+        out = work.groupBy(*by).agg(*plain_cols, *builtin)
+    else:
+        out = _by_counting(work, plain_cols, quantiles, by)
+    return out.select(
+        *[F.col(g).alias(n) for n, g in zip(names, by, strict=True)],
+        *[quoted(a) for a in (*plain, *[q.alias for q in quantiles])],
+    )
+
+
+def _by_counting(
+    df: DataFrame, plain: list[Column], quantiles: list[Quantile], by: list[str]
+) -> DataFrame:
+    located = _quantile_rows(df, quantiles, by)
     if not by:
         row = located.agg(*_pivot(quantiles))
-        if not plain_cols:
+        if not plain:
             return row
-        values = row.select(F.struct("*").alias("q")).scalar()
-        return (
-            work.agg(*plain_cols)
-            .withColumn("_q", values)
-            .select(*plain, *[F.col("_q").getField(q.alias).alias(q.alias) for q in quantiles])
-        )
+        values = row.select(F.struct("*")).scalar()
+        return df.agg(*plain).withColumn("_q", values).select("*", "_q.*")
     # The plain side holds every group; a group without values has no rank to find.
-    base = work.groupBy(*by).agg(*plain_cols, F.lit(1).alias("_one"))
-    per_group = located.groupBy(*by).agg(*_pivot(quantiles))
-    keys = [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in by]
-    return (
-        base.alias("b")
-        .join(per_group.alias("p"), keys, "left")
-        .select(
-            *[F.col(f"b.{c}") for c in [*by, *plain]],
-            *[F.col(f"p.{q.alias}") for q in quantiles],
-        )
-    )
-
-
-def _inputs(df: DataFrame, by: list[str]) -> list[Column]:
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in by]
+    base = df.groupBy(*by).agg(*plain, F.lit(1).alias("_one")).alias("b")
+    per_group = located.groupBy(*by).agg(*_pivot(quantiles)).alias("p")
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in by]
+    return base.join(per_group, same, "left").select("b.*", *[f"p.`{q.alias}`" for q in quantiles])
 
 
 def _pivot(quantiles: list[Quantile]) -> list[Column]:

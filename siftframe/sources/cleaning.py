@@ -41,6 +41,7 @@ def promote_header(df: DataFrame, position: str) -> DataFrame:
     row = header[0]
     at = row[position]
     at = F.struct(*[F.lit(v) for v in at]) if isinstance(at, Row) else F.lit(at)
+    at = at.cast(df.schema[position].dataType)
     names = unique_names([row[c] for c in cells])
     return (
         df.where(F.col(position) > at).select(*[quoted(c) for c in cells]).toDF(*names)
