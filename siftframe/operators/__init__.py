@@ -1,0 +1 @@
+"""Operators: each takes a DataFrame and returns a DataFrame."""

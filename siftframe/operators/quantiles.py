@@ -77,7 +77,8 @@ def aggregate_with_quantiles(
     by = [f"_g{i}" for i in range(len(names))]
     if method == "auto":
         # Only the columns in use, as the size estimate follows the row width.
-        used = df.select(*map(quoted, names), *[q.value.alias(f"_q{i}") for i, q in enumerate(quantiles)])
+        values = {id(q.value): q.value for q in quantiles}.values()
+        used = df.select(*map(quoted, names), *[v.alias(f"_q{i}") for i, v in enumerate(values)])
         method = "builtin" if is_small(used) else "counting"
     work = df.select("*", *[quoted(n).alias(g) for n, g in zip(names, by, strict=True)])
     plain_cols = [c.alias(a) for a, c in plain.items()]

@@ -1,0 +1 @@
+"""Reading, cleaning and keeping tables."""
