@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import all_of, quoted, try_numeric
+from ..functions.roles import is_datetime
 from ..functions.text import shorten
 from .correlation import corr_ranked
 
@@ -73,9 +74,16 @@ def sample_rows(
 
 
 def preview_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """Twelve rows with every value as short text."""
+    """Twelve rows with every value as short text: dates by day, "-" for NULL."""
     page = (df.orderBy(*order_by) if order_by else df).limit(PREVIEW_ROWS)
-    return page.select(*[shorten(quoted(c), PREVIEW_WIDTH).alias(c) for c in df.columns])
+
+    def shown(c: str) -> Column:
+        col = quoted(c)
+        if is_datetime(df.schema[c].dataType):
+            col = col.cast("date")
+        return F.coalesce(shorten(col, PREVIEW_WIDTH), F.lit("-")).alias(c)
+
+    return page.select(*[shown(c) for c in df.columns])
 
 
 def numeric_sample(

@@ -8,7 +8,7 @@ from ...functions.expressions import rounded
 from ...operators import grouping as G
 from ...operators import selection as S
 from ...operators import timeseries as T
-from .registry import LINES_WITH_GAPS, query
+from .registry import EVENTS_WITH_GAPS, LINES_WITH_GAPS, query
 
 
 def _grouped_sql(agg: str, order: str, limit: str = "", table: str = LINES_WITH_GAPS) -> str:
@@ -259,6 +259,18 @@ def _(t):
     return S.preview_rows(t.part.select("p_partkey", "p_name", "p_type"), ["p_partkey"])
 
 
+@query(
+    "preview_rows_with_gaps",
+    f"""SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d') AS ts,
+               COALESCE(event_type, '-') AS event_type,
+               COALESCE(CAST(value AS VARCHAR), '-') AS value
+        FROM (SELECT * FROM {EVENTS_WITH_GAPS} ORDER BY event_id DESC LIMIT 12)""",
+)
+def _(t):
+    rows = t.events_with_gaps.select("event_id", "ts", "event_type", "value")
+    return S.preview_rows(rows, [F.desc("event_id")])
+
+
 @query(
     "numeric_sample",
     "SELECT value FROM events WHERE value IS NOT NULL ORDER BY event_id LIMIT 5000",
