@@ -15,6 +15,9 @@ estimated input the quantile is located by counting instead, in three scans:
 Every pass is an ordinary count that combines on the map side, so a value that
 fills a third of the table costs one row per task, and the running counts only
 see the bounded bucket tables. No value is dropped and the result is exact.
+
+Per group, only groups of more than a million rows are counted this way; all
+others are small enough for the built-in.
 """
 
 from __future__ import annotations
@@ -30,12 +33,16 @@ from ..functions.expressions import quoted
 _STEPS_PER_OCTAVE = 1024
 _FINE_STEPS = 1 << 22
 _OCTAVE_OFFSET = 1100  # lifts the smallest exponent of a double (-1074) above zero
-_OUTER = 1 << 23  # bucket of the infinities, outside every finite bucket
 
 SMALL_INPUT_SETTING = "siftframe.quantile.smallInputBytes"
 SMALL_INPUT_DEFAULT = 1024 * 1024  # measured: beyond this, counting is the faster way too
 
 
+# A group with more rows than this is counted instead of held in one buffer.
+HOT_GROUP_SETTING = "siftframe.quantile.hotGroupRows"
+HOT_GROUP_DEFAULT = 1_000_000
+
+
 @dataclass(frozen=True)
 class Quantile:
     """One wanted quantile: ``alias`` = value at ``prob`` of ``value``."""
@@ -83,8 +90,7 @@ def aggregate_with_quantiles(
     work = df.select("*", *[quoted(n).alias(g) for n, g in zip(names, by, strict=True)])
     plain_cols = [c.alias(a) for a, c in plain.items()]
     if method == "builtin" or not quantiles:
-        builtin = [F.percentile(q.value, F.lit(q.prob)).alias(q.alias) for q in quantiles]
-        out = work.groupBy(*by).agg(*plain_cols, *builtin)
+        out = work.groupBy(*by).agg(*plain_cols, *_builtin(quantiles))
     else:
         out = _by_counting(work, plain_cols, quantiles, by)
     return out.select(
@@ -96,18 +102,35 @@ def aggregate_with_quantiles(
 def _by_counting(
     df: DataFrame, plain: list[Column], quantiles: list[Quantile], by: list[str]
 ) -> DataFrame:
-    located = _quantile_rows(df, quantiles, by)
     if not by:
-        row = located.agg(*_pivot(quantiles))
+        row = _quantile_rows(df, quantiles, by).agg(*_pivot(quantiles))
         if not plain:
             return row
         values = row.select(F.struct("*")).scalar()
         return df.agg(*plain).withColumn("_q", values).select("*", "_q.*")
+    # Small groups fit one aggregation buffer. The large ones are at most one per
+    # ``limit`` rows of input, few enough to be broadcast.
+    limit = int(df.sparkSession.conf.get(HOT_GROUP_SETTING, str(HOT_GROUP_DEFAULT)))
+    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    is_hot = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+
+    def rows(kind: str) -> DataFrame:
+        return df.alias("l").join(F.broadcast(hot.select(*by)).alias("r"), is_hot, kind)
+
+    small = rows("left_anti").groupBy(*by).agg(*plain, *_builtin(quantiles))
     # The plain side holds every group; a group without values has no rank to find.
-    base = df.groupBy(*by).agg(*plain, F.lit(1).alias("_one")).alias("b")
+    base = rows("left_semi").groupBy(*by).agg(*plain, F.lit(1).alias("_one")).alias("b")
+    located = _quantile_rows(rows("left_semi"), quantiles, by)
     per_group = located.groupBy(*by).agg(*_pivot(quantiles)).alias("p")
     same = [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in by]
-    return base.join(per_group, same, "left").select("b.*", *[f"p.`{q.alias}`" for q in quantiles])
+    large = base.join(per_group, same, "left").select(
+        "b.*", *[f"p.`{q.alias}`" for q in quantiles]
+    )
+    return small.unionByName(large.drop("_one"))
+
+
+def _builtin(quantiles: list[Quantile]) -> list[Column]:
+    return [F.percentile(q.value, F.lit(q.prob)).alias(q.alias) for q in quantiles]
 
 
 def _pivot(quantiles: list[Quantile]) -> list[Column]:
@@ -118,17 +141,17 @@ def _pivot(quantiles: list[Quantile]) -> list[Column]:
 
 
 def _coarse_bucket(v: Column) -> Column:
-    """A bucket number that never falls as ``v`` grows; NaN sorts last."""
-    size = F.floor((F.log2(F.abs(v)) + _OCTAVE_OFFSET) * float(_STEPS_PER_OCTAVE)) + 1
-    return (
-        F.when(F.isnan(v), F.lit(_OUTER + 1))
-        .when(v == F.lit(float("inf")), F.lit(_OUTER))
-        .when(v == F.lit(float("-inf")), F.lit(-_OUTER))
-        .when(v == F.lit(0.0), F.lit(0))
-        .when(v > F.lit(0.0), size)
-        .otherwise(-size)
-        .cast("long")
+    """A whole number, kept as double, that never falls as ``v`` grows.
+
+    Zero has no logarithm (NULL) and gets bucket 0; infinities and NaN are
+    buckets of their own, ordered like the values. Short on purpose: the passes
+    evaluate it for every value, inside generated code that must stay small
+    enough to be compiled.
+    """
+    size = F.rint(F.log2(F.abs(v)) * float(_STEPS_PER_OCTAVE)) + float(
+        _OCTAVE_OFFSET * _STEPS_PER_OCTAVE
     )
+    return F.coalesce(F.signum(v) * size, F.lit(0.0))
 
 
 def _quantile_rows(df: DataFrame, quantiles: list[Quantile], by: list[str]) -> DataFrame:
@@ -198,10 +221,9 @@ def _quantile_rows(df: DataFrame, quantiles: list[Quantile], by: list[str]) -> D
             & (F.col("_side.rank") >= F.col("_end") - F.col("_n"))
         )
     )
+    place = [*by, "_lane", "_coarse"]
     targets = ranked.select(
-        *by,
-        "_lane",
-        "_coarse",
+        *place,
         F.col("_w.target").alias("_target"),
         F.col("_side.side").alias("_side"),
         (F.col("_side.rank") - (F.col("_end") - F.col("_n"))).alias("_rank"),
@@ -210,60 +232,74 @@ def _quantile_rows(df: DataFrame, quantiles: list[Quantile], by: list[str]) -> D
         "_hi",
     )
 
-    # Pass 2: equal steps inside the bucket.
-    ident = [*by, "_lane", "_target", "_side", "_coarse"]
-    step = F.when(F.col("_lo") == F.col("_hi"), F.lit(0).cast("long")).otherwise(
-        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * float(_FINE_STEPS))
-    )
+    # Pass 2: equal steps inside those buckets. A bucket is counted once, however
+    # many targets it holds; the targets meet the counts, not the values.
+    into = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    step = F.coalesce(F.floor(into * float(_FINE_STEPS)), F.lit(0).cast("long"))
+    buckets = targets.select(*place, "_lo", "_hi").distinct()
     fine = (
-        _meet(values, targets, by)
-        .groupBy(*ident, "_rank", "_frac", step.alias("_step"))
+        _meet(values, buckets, by, place)
+        .groupBy(*place, step.alias("_step"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
-    targets = _holding_rank(fine, ident, "_step").select(
-        *ident, "_rank", "_frac", "_lo", "_hi"
-    )
+    targets = _holding_rank(fine, _ranks(targets), by, place, "_step")
 
     # Pass 3: the remaining values one by one.
+    steps = targets.select(*place, "_step", "_lo", "_hi").distinct()
     last = (
-        _meet(values, targets, by)
+        _meet(values, steps, by, place)
         .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*ident, "_rank", "_frac", "_v")
+        .groupBy(*place, "_step", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    found = _holding_rank(last, ident, "_v")
+    found = _holding_rank(last, _ranks(targets), by, [*place, "_step"], "_v")
     low = F.max(F.when(F.col("_side") == 0, F.col("_v")))
     high = F.max(F.when(F.col("_side") == 1, F.col("_v")))
     frac = F.max("_frac")
     return found.groupBy(*by, "_target").agg(
-        F.when(low == high, low).otherwise(low * (F.lit(1.0) - frac) + high * frac).alias("_value")
+        F.when(low == high, low)
+        .otherwise(low * (F.lit(1.0) - frac) + high * frac)
+        .alias("_value")
     )
 
 
-def _meet(values: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """Values that fall into a target bucket.
+def _ranks(targets: DataFrame) -> DataFrame:
+    """The targets without their bounds.
 
-    Without groups the targets are at most two rows per wanted quantile, a size
-    known from the arguments, so they are broadcast. With groups their number
-    grows with the data and the join is left to adaptive execution, which
-    measures them first and splits a hot (group, bucket) if need be.
+    The bounds are looked at once more, so that this branch needs the same
+    columns of the counts as the one that counts on: the two then share one
+    shuffle instead of scanning the table twice.
     """
-    if not by:
-        return values.join(F.broadcast(targets), ["_lane", "_coarse"])
-    keys = [F.col(f"v.{k}").eqNullSafe(F.col(f"t.{k}")) for k in by]
-    keys += [F.col(f"v.{k}") == F.col(f"t.{k}") for k in ("_lane", "_coarse")]
-    own = [c for c in targets.columns if c not in (*by, "_lane", "_coarse")]
-    return values.alias("v").join(targets.alias("t"), keys).select("v.*", *own)
+    return targets.where(F.col("_lo") <= F.col("_hi")).drop("_lo", "_hi")
 
 
-def _holding_rank(counts: DataFrame, ident: list[str], order: str) -> DataFrame:
-    upto = (
-        Window.partitionBy(*ident).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+def _meet(left: DataFrame, right: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+    """``left`` joined with the few rows of ``right`` that have the same ``keys``.
+
+    ``right`` has at most two rows per wanted quantile and large group, a number
+    known from the arguments and the size limit of small groups, so it is
+    broadcast.
+    """
+    same = [
+        F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) if k in by else F.col(f"l.{k}") == F.col(f"r.{k}")
+        for k in keys
+    ]
+    own = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(F.broadcast(right).alias("r"), same).select("l.*", *own)
+
+
+def _holding_rank(
+    counts: DataFrame, targets: DataFrame, by: list[str], keys: list[str], order: str
+) -> DataFrame:
+    """Each target with the counted row that holds its rank; the rank goes on
+    inside that row."""
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.withColumn("_end", F.sum("_n").over(upto))
     return (
-        counts.withColumn("_end", F.sum("_n").over(upto))
+        _meet(running, targets, by, keys)
         .where(
             (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n"))
         )
         .withColumn("_rank", F.col("_rank") - (F.col("_end") - F.col("_n")))
+        .drop("_n", "_end")
     )

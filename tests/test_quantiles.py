@@ -43,7 +43,8 @@ def test_counting_matches_numpy(spark, name):
         assert got[f"q{i}"] == pytest.approx(w, rel=1e-12, abs=near)
 
 
-def test_groups_match_the_builtin(spark):
+@pytest.mark.parametrize("hot", [0, 50, 1_000_000])
+def test_groups_match_the_builtin(spark, hot):
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot"))
         .when(F.col("id") % 7 == 0, F.lit(None))
@@ -52,10 +53,14 @@ def test_groups_match_the_builtin(spark):
         F.when(F.col("id") % 11 != 0, F.sin(F.col("id")) * F.col("id")).alias("v"),
     )
     df = df.unionByName(spark.sql("SELECT 'no values' AS g, CAST(NULL AS DOUBLE) AS v"))
-    rows = [
-        {r["g"]: r for r in quantiles(df, method, ["g"]).collect()}
-        for method in ("builtin", "counting")
-    ]
+    spark.conf.set("siftframe.quantile.hotGroupRows", str(hot))
+    try:
+        rows = [
+            {r["g"]: r for r in quantiles(df, method, ["g"]).collect()}
+            for method in ("builtin", "counting")
+        ]
+    finally:
+        spark.conf.unset("siftframe.quantile.hotGroupRows")
     assert rows[0].keys() == rows[1].keys() and None in rows[0]
     for g, builtin in rows[0].items():
         for a, b in zip(builtin[1:], rows[1][g][1:], strict=True):
