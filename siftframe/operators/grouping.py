@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expressions import percent_of, quoted, try_numeric
+from ..functions.expressions import percent_of, quoted
 from .aggregates import aggregate, default_aggregate
 
 # Fixed values.

@@ -17,7 +17,6 @@ from ..functions.expressions import finite, quoted, try_numeric
 from ..functions.roles import (
     categorical_columns,
     datetime_columns,
-    is_numeric,
     numeric_columns,
 )
 from .quantiles import Quantile, aggregate_with_quantiles

@@ -236,9 +236,6 @@ def _(t):
     return P.categorical_columns_for_charts(t.events_with_gaps)
 
 
-_CHART_COLUMNS = ["p_brand", "p_type"]
-
-
 @query(
     "category_charts",
     " UNION ALL ".join(

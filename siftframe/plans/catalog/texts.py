@@ -6,7 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.expressions import try_numeric
-from ...functions.text import normalize_text, repair_mojibake
+from ...functions.text import (
+    MOJIBAKE_LEFTOVERS,
+    MOJIBAKE_REPAIRS,
+    SPACING_REPAIRS,
+    normalize_text,
+    repair_mojibake,
+)
 from ...operators import questions as Q
 from ...sources import cleaning, files, store
 from ...sources.scratch import scratch_path
@@ -189,23 +195,21 @@ def _(t):
     return t.documents.select("doc_id", F.md5(normalize_text(text)).alias("digest"), "source")
 
 
-# Debris put into the documents, and what has to be left of it.
+# Debris put into the documents in place of their punctuation.
 _DAMAGE = [
-    (". ", "â€” x â€¦ y â€™s Â ", "- x ... y 's "),
-    (", ", "Ã¢â‚¬Â¦Ã¢â‚¬ z â€œq â€\u009d ï¿½Â ", None),
+    (". ", "â€” x â€¦ y â€™s Â "),
+    (", ", "Ã¢â‚¬Â¦Ã¢â‚¬ z â€œq â€\u009d ï¿½Â "),
 ]
 
 
 def _damaged_sql() -> str:
     sql = "text"
-    for mark, debris, _ in _DAMAGE:
+    for mark, debris in _DAMAGE:
         sql = f"replace({sql}, '{mark}', '{debris}')"
     return sql
 
 
 def _repaired_sql() -> str:
-    from ...functions.text import MOJIBAKE_LEFTOVERS, MOJIBAKE_REPAIRS, SPACING_REPAIRS
-
     sql = _damaged_sql()
     for debris, repair in MOJIBAKE_REPAIRS:
         sql = "replace({}, '{}', '{}')".format(sql, debris, repair.replace("'", "''"))
@@ -222,7 +226,7 @@ def _repaired_sql() -> str:
 )
 def _(t):
     text = F.col("text")
-    for mark, debris, _ in _DAMAGE:
+    for mark, debris in _DAMAGE:
         text = F.replace(text, F.lit(mark), F.lit(debris))
     fixed = t.documents.select("doc_id", repair_mojibake(text).alias("fixed"))
     return fixed.select(
