@@ -4,9 +4,7 @@ import pytest
 from oracle import connect, difference
 
 import __spark_entry__ as entry_points
-
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+from siftframe.plans.catalog import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +14,8 @@ def duck(folder):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -4,12 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_points
 from siftframe.operators import grouping as G
 from siftframe.operators import profiling as P
 from siftframe.operators import selection as S
+from siftframe.plans.catalog import QUERIES
 
-QUERIES = entry_points.queries()
 WRITERS = {"read_csv", "read_tsv", "persist_dataset", "open_dataset"}  # write before they read
 
 
