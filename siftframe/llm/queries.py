@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import decontamination, language, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,47 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         decontamination.is_contaminated().alias("contaminated"),
     )
+
+
+@query()
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+
+    def joined(spans):
+        return F.array_join(
+            F.transform(
+                spans,
+                lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
+            ),
+            ",",
+        )
+
+    base = F.filter("secrets", lambda s: s["kind"] != "literal")
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in secrets.LEAST),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def _held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_model(spark: SparkSession, folder: str):
+    """Trained on the labelled documents that are not held out."""
+    rows = table(spark, folder, "documents").where(~_held_out() & F.col("doc_id").isNotNull())
+    return language.train(rows, key=F.col("doc_id"))
+
+
+@query()
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = language.identify(docs, language_model(spark, folder))
+    return found.select("doc_id", _held_out().alias("held_out"), "language.lang_pred", "language.score")

@@ -128,3 +128,20 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         for k in range(size):
             out = out * _BASE + hashes[k : k + n]
         return mix(out)
+
+
+def cut_long(texts: list[bytes], most: int = SLICE_BYTES // 2) -> tuple[list[bytes], np.ndarray]:
+    """Texts, those over ``most`` bytes cut after a blank or line end (if there is one),
+    and the number of the text that each part comes from."""
+    parts, owner = [], []
+    for i, text in enumerate(texts):
+        at = 0
+        while len(text) - at > most:
+            end = max(text.rfind(b" ", at, at + most), text.rfind(b"\n", at, at + most)) + 1
+            end = end if end > at else at + most
+            parts.append(text[at:end])
+            owner.append(i)
+            at = end
+        parts.append(text[at:])
+        owner.append(i)
+    return parts, np.array(owner, dtype=np.int64)
