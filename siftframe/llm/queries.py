@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, secrets
+from . import decontamination, language, near, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,32 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = language.identify(docs, language_model(spark, folder))
     return found.select("doc_id", _held_out().alias("held_out"), "language.lang_pred", "language.score")
+
+
+@query(
+    f"""
+    WITH RECURSIVE doc AS (
+      SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w
+      FROM documents WHERE doc_id IS NOT NULL),
+    sh AS (
+      SELECT DISTINCT r, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+    size AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+    common AS (
+      SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+    link AS (
+      SELECT x, y FROM common JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE c >= 0.8 * (p.n + q.n - c)),
+    reach AS (
+      SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+    low AS (
+      SELECT x, min(d.doc_id) AS class_id FROM reach JOIN doc d ON d.r = y GROUP BY x),
+    n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+    SELECT doc_id, least(doc_id, coalesce(low.class_id, doc_id)) AS class_id,
+           CAST(coalesce(n.n, 0) AS BIGINT) AS n_links
+    FROM doc LEFT JOIN low ON low.x = r LEFT JOIN n ON n.x = r
+    UNION ALL SELECT doc_id, doc_id, 0 FROM documents WHERE doc_id IS NULL
+    """
+)
+def op10_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return near.near_copies(table(spark, folder, "documents"))
