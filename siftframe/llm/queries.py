@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, near, secrets
+from . import decontamination, language, near, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,16 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
 def op10_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of links of every document."""
     return near.near_copies(table(spark, folder, "documents"))
+
+
+def public_tokenizer(name: str) -> str:
+    """Where the installed public tokenizers have a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequence and offset of every token piece of every document."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizer("word_bpe_49k.json"))
