@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, near, packing, secrets
+from ..sources.scratch import scratch_path
+from . import archives, decontamination, language, near, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +161,26 @@ def public_tokenizer(name: str) -> str:
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequence and offset of every token piece of every document."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizer("word_bpe_49k.json"))
+
+
+@query(
+    """
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+           CASE WHEN strlen(coalesce(html, '')) >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN strlen(coalesce(html, '')) >= 1000 AND k > 1 THEN top END AS refers_to
+    FROM (SELECT page_id, html, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS k,
+                 max(page_id) OVER (PARTITION BY html) AS top FROM pages)
+    """
+)
+def op1_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's WARC record, by way of an ARC archive."""
+    root = scratch_path(spark, "archives")
+    legacy = archives.write_arc(table(spark, folder, "pages"), f"{root}/arc")
+    found = archives.read_warc(archives.convert(legacy, f"{root}/warc"))
+    return found.select(
+        F.col("id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
