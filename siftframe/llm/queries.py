@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
-from . import archives, decontamination, language, near, packing, secrets
+from . import archives, decontamination, language, licenses, near, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,49 @@ def op1_archives(spark: SparkSession, folder: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("bigint").alias("refers_to"),
     )
+
+
+def _licenses_sql() -> str:
+    """Brute force over all blocks and templates."""
+    rows = ", ".join(
+        f"('{label}', {sorted(set(text.split()))})" for label, text in licenses.TEMPLATES
+    )
+    phrases = " UNION ALL ".join(
+        f"SELECT r, i - {len(before)} - 1 AS start, '{label}' AS label FROM word WHERE w[i] = '{last}' AND "
+        + " AND ".join(f"w[i - {k}] = '{x}' AND i > {k}" for k, x in enumerate(reversed(before), 1))
+        for label, before, last in licenses.PHRASES
+    )
+    return f"""
+    WITH doc AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+    word AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc),
+    place AS ({phrases}),
+    base AS (
+      SELECT r, count(*) AS n, min(start) AS first_word, max(start) AS last_word,
+             list_sort(list_distinct(list(label))) AS labels FROM place GROUP BY r),
+    template AS (SELECT * FROM (VALUES {rows}) AS t(label, words)),
+    block AS (
+      SELECT r, list_distinct(w[s : s + {licenses.BLOCK - 1}]) AS b
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {licenses.STEP}, 1) + 1, {licenses.STEP})) AS s FROM doc)),
+    share AS (
+      SELECT r, label, len(list_intersect(words, b)) / CAST(len(words) AS DOUBLE) AS share FROM block, template),
+    found AS (
+      SELECT r, list(DISTINCT label) AS labels, max(share) AS share
+      FROM share WHERE share >= {licenses.THRESHOLD} - 1e-9 GROUP BY r)
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIGINT) AS n_base,
+           CAST(p.first_word AS BIGINT) AS first_word, CAST(p.last_word AS BIGINT) AS last_word,
+           array_to_string(coalesce(p.labels, []), ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(coalesce(p.labels, []), coalesce(f.labels, [])))), ',')
+             AS labels,
+           greatest(coalesce(f.share, 0.0), CASE WHEN p.n > 0 THEN 1.0 ELSE 0.0 END) AS score
+    FROM doc d LEFT JOIN base p ON p.r = d.r LEFT JOIN found f ON f.r = d.r
+    """
+
+
+@query(_licenses_sql())
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    found = licenses.find_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    joined = {n: F.array_join(f"licenses.{n}", ",").alias(n) for n in ("base_labels", "labels")}
+    plain = ("n_words", "n_base", "first_word", "last_word")
+    return found.select("doc_id", *(f"licenses.{n}" for n in plain), *joined.values(), "licenses.score")
