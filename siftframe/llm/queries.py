@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
-from . import archives, decontamination, language, licenses, near, packing, secrets
+from . import archives, decontamination, language, licenses, near, neighbours, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -230,3 +230,10 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     joined = {n: F.array_join(f"licenses.{n}", ",").alias(n) for n in ("base_labels", "labels")}
     plain = ("n_words", "n_base", "first_word", "last_word")
     return found.select("doc_id", *(f"licenses.{n}" for n in plain), *joined.values(), "licenses.score")
+
+
+@query()
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    rows = table(spark, folder, "embeddings")
+    return neighbours.nearest(rows, F.col("vec_id") % 20 == 0)
