@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
-from . import archives, decontamination, language, licenses, near, neighbours, packing, secrets
+from . import archives, decontamination, language, licenses, lm, near, neighbours, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -237,3 +237,12 @@ def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth vector."""
     rows = table(spark, folder, "embeddings")
     return neighbours.nearest(rows, F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op3_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    vocabulary = lm.vocabulary_of(docs, "text")
+    network = lm.train(docs, "text", vocabulary)
+    return lm.score(docs, network, vocabulary).select("doc_id", "lm.*")
