@@ -378,6 +378,7 @@ def near_copies(
         F.coalesce("class_low", "low").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
+    classes = stored(classes, "near-classes")
     full = prints.where("key IS NOT NULL").select("id", "key").join(classes, "key")
     empty = prints.where("key IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     nameless = rows.where("id IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
