@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
-from . import archives, decontamination, language, licenses, lm, near, neighbours, packing, secrets
+from . import archives, decontamination, language, licenses, lm, near, neighbours, packing, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -246,3 +246,21 @@ def op3_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = lm.vocabulary_of(docs, "text")
     network = lm.train(docs, "text", vocabulary)
     return lm.score(docs, network, vocabulary).select("doc_id", "lm.*")
+
+
+@query()
+def op9_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Place and contents of every token sequence, read back from the shards."""
+    root, end = scratch_path(spark, "training-order"), 50256
+    docs = table(spark, folder, "documents")
+    manifest, layout = shards.write_shards(docs, root, public_tokenizer("byte_bpe_50k.json"), end)
+    found = shards.read_shards(manifest, layout)
+    return found.select(
+        "doc_id",
+        "piece",
+        "slot",
+        "shard",
+        "offset",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.crc32(F.array_join("ids", " ")).alias("ids_crc32"),
+    )
