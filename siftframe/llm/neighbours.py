@@ -189,7 +189,7 @@ def nearest(
     least = rows.select("vec", "id").withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     blocks = max(spark.sparkContext.defaultParallelism, -(-usual["n"] // BLOCK_ROWS))
     entries = stored(
-        least.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).repartition(blocks), "near-entries"
+        least.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).repartition(blocks), "neighbour-entries"
     )
     different = entries.count()
     part = F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
@@ -200,12 +200,12 @@ def nearest(
     coder = Coder.learn(fitted, max(float(usual["norm"]) ** 0.5, 1e-300), bits, k, recall)
 
     asked = rows.where("asks").select("id", "vec", _key(F.col("vec")).alias("key"))
-    different_asked = stored(asked.groupBy("key").agg(F.first("vec").alias("vec")), "near-queries")
+    different_asked = stored(asked.groupBy("key").agg(F.first("vec").alias("vec")), "neighbour-queries")
     n_asked = different_asked.count()
     groups, found = max(1, -(-n_asked // QUERY_BLOCK)), None
     for g in range(groups):  # the query set in blocks, each against all rows
         some = different_asked.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == g).collect()
-        block = ([r["key"] for r in some], np.array([r["vec"] for r in some]).reshape(len(some), -1))
+        block = ([r["key"] for r in some], np.array([r["vec"] for r in some]).reshape(len(some), usual["size"]))
         pairs = _against(entries, spark.sparkContext.broadcast(block), coder, k + 1)
         found = pairs if found is None else found.unionAll(pairs)
     order = Window.partitionBy("key").orderBy("minus", "vec_id")
