@@ -42,7 +42,7 @@ def aggregate(
     df: DataFrame,
     wanted: list[tuple[str, str, str]],
     by: list[str] | None = None,
-    method: str = "auto",
+    method: str = "counting",
 ) -> DataFrame:
     """(alias, column, aggregate) triples in one pass, per group if ``by`` is given."""
     plain, quantiles = {}, []
@@ -64,7 +64,7 @@ def count_column(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(quoted(column)).alias("count"))
 
 
-def scalar_agg(df: DataFrame, column: str, agg: str, method: str = "auto") -> DataFrame:
+def scalar_agg(df: DataFrame, column: str, agg: str, method: str = "counting") -> DataFrame:
     return aggregate(df, [(f"{agg.lower()}_value", column, agg)], method=method)
 
 

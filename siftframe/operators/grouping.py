@@ -29,7 +29,7 @@ def _ranked(grouped: DataFrame, value: str, group: str, descending: bool) -> Dat
 
 
 def _grouped(
-    df: DataFrame, group: str, metric: str, agg: str, drop_null_group: bool, method: str = "auto"
+    df: DataFrame, group: str, metric: str, agg: str, drop_null_group: bool, method: str = "counting"
 ) -> DataFrame:
     agg = default_aggregate(metric) if agg.lower() == "auto" else agg
     return aggregate(
@@ -44,7 +44,7 @@ def group_agg(
     agg: str = "auto",
     descending: bool = True,
     drop_null_group: bool = True,
-    method: str = "auto",
+    method: str = "counting",
 ) -> DataFrame:
     """(group, value), ordered by value.
 

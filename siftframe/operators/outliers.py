@@ -13,7 +13,7 @@ from .quantiles import Quantile, aggregate_with_quantiles
 _FENCE = 1.5  # fixed value: whisker length in interquartile ranges
 
 
-def iqr_outliers(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
+def iqr_outliers(df: DataFrame, column: str, method: str = "counting") -> DataFrame:
     """Rows outside the 1.5 IQR fences, with the quartiles q1 and q3.
 
     The fences enter as a scalar subquery: the rows are filtered where they are
@@ -46,7 +46,7 @@ def zscore(df: DataFrame, column: str) -> DataFrame:
 
 
 def boxplot_stats(
-    df: DataFrame, columns: list[str] | None = None, method: str = "auto"
+    df: DataFrame, columns: list[str] | None = None, method: str = "counting"
 ) -> DataFrame:
     """Per column, on z-scores: q1, median, q3, whiskers and the number of fliers.
 

@@ -325,7 +325,7 @@ def readiness(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None, method: str = "auto"):
+def numeric_summary(df: DataFrame, columns: list[str] | None = None, method: str = "counting"):
     """(column_name, count, minimum, maximum, mean, stddev, variance, q1, median, q3)."""
     columns = numeric_columns(df) if columns is None else columns
     frames = []
@@ -366,7 +366,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, method: str
     return _union(frames)
 
 
-def column_profiles(df: DataFrame, method: str = "auto") -> DataFrame:
+def column_profiles(df: DataFrame, method: str = "counting") -> DataFrame:
     """One row per column: type, missing, distinct and, if numeric, statistics."""
     counts = column_counts(df).select(
         "position",
@@ -399,7 +399,7 @@ def column_profiles(df: DataFrame, method: str = "auto") -> DataFrame:
 _PROFILE_STATS = ["min", "max", "mean", "median", "std", "q25", "q75"]
 
 
-def stat_summary(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
+def stat_summary(df: DataFrame, column: str, method: str = "counting") -> DataFrame:
     """One row of descriptive statistics; ``count`` covers all non-null cells."""
     v = try_numeric(df, column)
     plain = {

@@ -1,23 +1,28 @@
 """Exact quantiles that never gather one column, or one group, into one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation
-buffer, which a continuous column at cluster scale does not fit. Beyond a small
-estimated input the quantile is located by counting instead, in three scans:
+buffer, which a continuous column at cluster scale does not fit. Here a quantile
+is located by counting, whatever the size of the input.
 
-1. count values per coarse bucket, 1024 buckets to each power of two. At most
-   about 4.4 million buckets exist for all doubles there are. The running
-   count shows the bucket that holds the wanted rank.
+Without groups, in three scans, each an ordinary count that combines on the map
+side, so a value that fills a third of the table costs one row per task:
+
+1. count values per coarse bucket, 256 buckets to each power of two (at most
+   about a million for all doubles there are). The running count shows the
+   bucket that holds the wanted rank.
 2. cut that bucket (its lowest to its highest value) into 2^22 equal steps,
    count again and pick the step that holds the rank.
-3. what is left holds at most 2^21 different doubles: count each of them and
+3. what is left holds at most 2^22 different doubles: count each of them and
    read the value at the rank.
 
-Every pass is an ordinary count that combines on the map side, so a value that
-fills a third of the table costs one row per task, and the running counts only
-see the bounded bucket tables. No value is dropped and the result is exact.
+What a pass found goes into the next as a scalar subquery of a few rows, so the
+scan itself filters and nothing is joined.
+
+Per group, in one scan: equal values are counted once per (group, bucket), the
+bucket totals show which bucket holds the rank, and only the values of those
+buckets are put in order. A large group is thus split over its buckets.
 
-Per group, only groups of more than a million rows are counted this way; all
-others are small enough for the built-in.
+No value is dropped and the result is exact.
 """
 
 from __future__ import annotations
@@ -30,18 +35,10 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import quoted
 
-_STEPS_PER_OCTAVE = 1024
+_STEPS_PER_OCTAVE = 256
 _FINE_STEPS = 1 << 22
 _OCTAVE_OFFSET = 1100  # lifts the smallest exponent of a double (-1074) above zero
 
-SMALL_INPUT_SETTING = "siftframe.quantile.smallInputBytes"
-SMALL_INPUT_DEFAULT = 1024 * 1024  # measured: beyond this, counting is the faster way too
-
-
-# A group with more rows than this is counted instead of held in one buffer.
-HOT_GROUP_SETTING = "siftframe.quantile.hotGroupRows"
-HOT_GROUP_DEFAULT = 1_000_000
-
 
 @dataclass(frozen=True)
 class Quantile:
@@ -52,92 +49,75 @@ class Quantile:
     prob: float
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df``, or None where it is not offered."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        return int(str(plan.stats().sizeInBytes()))
-    except Exception:  # e.g. a remote session has no JVM handle
-        return None
-
-
-def is_small(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT_SETTING, str(SMALL_INPUT_DEFAULT)))
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
-
-
 def aggregate_with_quantiles(
     df: DataFrame,
     plain: dict[str, Column],
     quantiles: list[Quantile],
     by: list[str] | None = None,
-    method: str = "auto",
+    method: str = "counting",
 ) -> DataFrame:
     """Aggregates and exact quantiles, one row in all or one per ``by`` group.
 
-    ``method`` is ``"builtin"`` (one ``percentile`` aggregation), ``"counting"``
-    (the three bounded passes) or ``"auto"``, which takes the built-in only for
-    an input the optimizer estimates as small.
+    ``method="builtin"`` asks for Spark's ``percentile`` instead of counting; it
+    holds the values of a group in one buffer.
     """
+    if method not in ("counting", "builtin"):
+        raise ValueError(f"unknown method {method!r}")
     names = list(by or [])
     by = [f"_g{i}" for i in range(len(names))]
-    if method == "auto":
-        # Only the columns in use, as the size estimate follows the row width.
-        values = {id(q.value): q.value for q in quantiles}.values()
-        used = df.select(*map(quoted, names), *[v.alias(f"_q{i}") for i, v in enumerate(values)])
-        method = "builtin" if is_small(used) else "counting"
     work = df.select("*", *[quoted(n).alias(g) for n, g in zip(names, by, strict=True)])
     plain_cols = [c.alias(a) for a, c in plain.items()]
     if method == "builtin" or not quantiles:
-        out = work.groupBy(*by).agg(*plain_cols, *_builtin(quantiles))
+        parts = _builtin(quantiles)
+        out = work.groupBy(*by).agg(*plain_cols, *parts)
+        out = out.select(*by, *[quoted(a) for a in plain], *_one_by_one(quantiles))
+    elif by:
+        out = _per_group(work, plain_cols, quantiles, by)
     else:
-        out = _by_counting(work, plain_cols, quantiles, by)
+        out = _in_all(work, plain_cols, quantiles)
     return out.select(
         *[F.col(g).alias(n) for n, g in zip(names, by, strict=True)],
         *[quoted(a) for a in (*plain, *[q.alias for q in quantiles])],
     )
 
 
-def _by_counting(
-    df: DataFrame, plain: list[Column], quantiles: list[Quantile], by: list[str]
-) -> DataFrame:
-    if not by:
-        row = _quantile_rows(df, quantiles, by).agg(*_pivot(quantiles))
-        if not plain:
-            return row
-        values = row.select(F.struct("*")).scalar()
-        return df.agg(*plain).withColumn("_q", values).select("*", "_q.*")
-    # Small groups fit one aggregation buffer. The large ones are at most one per
-    # ``limit`` rows of input, few enough to be broadcast.
-    limit = int(df.sparkSession.conf.get(HOT_GROUP_SETTING, str(HOT_GROUP_DEFAULT)))
-    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    is_hot = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-
-    def rows(kind: str) -> DataFrame:
-        return df.alias("l").join(F.broadcast(hot.select(*by)).alias("r"), is_hot, kind)
-
-    small = rows("left_anti").groupBy(*by).agg(*plain, *_builtin(quantiles))
-    # The plain side holds every group; a group without values has no rank to find.
-    base = rows("left_semi").groupBy(*by).agg(*plain, F.lit(1).alias("_one")).alias("b")
-    located = _quantile_rows(rows("left_semi"), quantiles, by)
-    per_group = located.groupBy(*by).agg(*_pivot(quantiles)).alias("p")
-    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in by]
-    large = base.join(per_group, same, "left").select(
-        "b.*", *[f"p.`{q.alias}`" for q in quantiles]
-    )
-    return small.unionByName(large.drop("_one"))
+def _builtin(quantiles: list[Quantile]) -> list[Column]:
+    """One buffer per column for all its quantiles."""
+    lanes = _lanes(quantiles)
+    return [
+        F.percentile(v, F.array(*[F.lit(float(p)) for _, p in wanted])).alias(f"_p{i}")
+        for i, (v, wanted) in enumerate(lanes)
+    ]
 
 
-def _builtin(quantiles: list[Quantile]) -> list[Column]:
-    return [F.percentile(q.value, F.lit(q.prob)).alias(q.alias) for q in quantiles]
+def _one_by_one(quantiles: list[Quantile]) -> list[Column]:
+    place = {
+        target: F.col(f"_p{i}")[k]
+        for i, (_, wanted) in enumerate(_lanes(quantiles))
+        for k, (target, _) in enumerate(wanted)
+    }
+    return [place[i].alias(q.alias) for i, q in enumerate(quantiles)]
+
+
+def _lanes(quantiles: list[Quantile]) -> list[tuple[Column, list[tuple[int, float]]]]:
+    """Different columns, each with its (number of the quantile, probability)."""
+    lanes: dict[int, tuple[Column, list[tuple[int, float]]]] = {}
+    for i, q in enumerate(quantiles):
+        lanes.setdefault(id(q.value), (q.value, []))[1].append((i, q.prob))
+    return list(lanes.values())
 
 
 def _pivot(quantiles: list[Quantile]) -> list[Column]:
-    return [
-        F.max(F.when(F.col("_target") == i, F.col("_value"))).alias(q.alias)
-        for i, q in enumerate(quantiles)
-    ]
+    """The value of each quantile from rows (_target, _side, _frac, _v)."""
+    out = []
+    for i, q in enumerate(quantiles):
+        low, high = (
+            F.max(F.when((F.col("_target") == i) & (F.col("_side") == side), F.col("_v"))) for side in (0, 1)
+        )
+        frac = F.max(F.when(F.col("_target") == i, F.col("_frac")))
+        value = F.when(low == high, low).otherwise(low * (F.lit(1.0) - frac) + high * frac)
+        out.append(value.alias(q.alias))
+    return out
 
 
 def _coarse_bucket(v: Column) -> Column:
@@ -154,152 +134,133 @@ def _coarse_bucket(v: Column) -> Column:
     return F.coalesce(F.signum(v) * size, F.lit(0.0))
 
 
-def _quantile_rows(df: DataFrame, quantiles: list[Quantile], by: list[str]) -> DataFrame:
-    """(by..., _target, _value): one row per wanted quantile that has values."""
-    # Quantiles that pass the same Column object share one lane of the unpivoted values.
-    lanes: dict[int, tuple[int, Column]] = {}
-    for q in quantiles:
-        lanes.setdefault(id(q.value), (len(lanes), q.value))
-    probs: dict[int, list[tuple[int, float]]] = {}
-    for i, q in enumerate(quantiles):
-        probs.setdefault(lanes[id(q.value)][0], []).append((i, q.prob))
-
-    values = (
-        df.select(
-            *by,
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("lane"), (v + F.lit(0.0)).alias("v"))
-                        for i, v in lanes.values()
-                    ]
-                )
-            ).alias("_e"),
-        )
-        .select(*by, F.col("_e.lane").alias("_lane"), F.col("_e.v").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .withColumn("_coarse", _coarse_bucket(F.col("_v")))
-    )
+def _values(df: DataFrame, quantiles: list[Quantile], by: list[str]) -> DataFrame:
+    """(by..., _lane, _v, _coarse): a row per value, quantiles of a column sharing a lane."""
+    lanes = [
+        F.struct(F.lit(i).alias("lane"), (v + F.lit(0.0)).alias("v"))
+        for i, (v, _) in enumerate(_lanes(quantiles))
+    ]
+    rows = df.select(*by, F.explode(F.array(*lanes)).alias("_e"))
+    rows = rows.select(*by, F.col("_e.lane").alias("_lane"), F.col("_e.v").alias("_v"))
+    return rows.where(F.col("_v").isNotNull()).withColumn("_coarse", _coarse_bucket(F.col("_v")))
 
-    # Pass 1: coarse counts, then the buckets that hold the wanted ranks.
-    coarse = values.groupBy(*by, "_lane", "_coarse").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
+
+def _wanted(counts: DataFrame, quantiles: list[Quantile], by: list[str]) -> DataFrame:
+    """``counts`` with ``_want``: the ranks that each bucket holds, as (target, side, rank, frac).
+
+    ``counts`` has (by..., _lane, _coarse, _n); side 0 and 1 are the values
+    below and above the quantile, and rank is the rank inside the bucket.
+    """
     whole = Window.partitionBy(*by, "_lane")
     upto = whole.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.create_map(
+    probs = F.array(
         *[
-            item
-            for lane, targets in probs.items()
-            for item in (
-                F.lit(lane),
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("target"), F.lit(float(p)).alias("prob"))
-                        for i, p in targets
-                    ]
-                ),
+            F.array(
+                *[F.struct(F.lit(i).alias("target"), F.lit(float(p)).alias("prob")) for i, p in wanted]
             )
+            for _, wanted in _lanes(quantiles)
         ]
     )
-    ranked = (
-        coarse.withColumn("_total", F.sum("_n").over(whole))
-        .withColumn("_end", F.sum("_n").over(upto))
-        .withColumn("_w", F.explode(F.element_at(wanted, F.col("_lane"))))
-        .withColumn("_pos", F.col("_w.prob") * (F.col("_total") - 1).cast("double"))
-        .withColumn(
-            "_side",
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("side"), F.floor("_pos").alias("rank")),
-                    F.struct(F.lit(1).alias("side"), F.ceil("_pos").alias("rank")),
+
+    def ranks(w: Column) -> Column:
+        position = w["prob"] * (F.col("_total") - 1).cast("double")
+        return F.array(
+            *[
+                F.struct(
+                    w["target"].alias("target"),
+                    F.lit(side).alias("side"),
+                    rounded(position).cast("bigint").alias("rank"),
+                    (position - F.floor(position)).alias("frac"),
                 )
-            ),
+                for side, rounded in ((0, F.floor), (1, F.ceil))
+            ]
         )
-        .where(
-            (F.col("_side.rank") < F.col("_end"))
-            & (F.col("_side.rank") >= F.col("_end") - F.col("_n"))
-        )
-    )
-    place = [*by, "_lane", "_coarse"]
-    targets = ranked.select(
-        *place,
-        F.col("_w.target").alias("_target"),
-        F.col("_side.side").alias("_side"),
-        (F.col("_side.rank") - (F.col("_end") - F.col("_n"))).alias("_rank"),
-        (F.col("_pos") - F.floor("_pos")).alias("_frac"),
-        "_lo",
-        "_hi",
-    )
 
-    # Pass 2: equal steps inside those buckets. A bucket is counted once, however
-    # many targets it holds; the targets meet the counts, not the values.
-    into = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    step = F.coalesce(F.floor(into * float(_FINE_STEPS)), F.lit(0).cast("long"))
-    buckets = targets.select(*place, "_lo", "_hi").distinct()
-    fine = (
-        _meet(values, buckets, by, place)
-        .groupBy(*place, step.alias("_step"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    targets = _holding_rank(fine, _ranks(targets), by, place, "_step")
-
-    # Pass 3: the remaining values one by one.
-    steps = targets.select(*place, "_step", "_lo", "_hi").distinct()
-    last = (
-        _meet(values, steps, by, place)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*place, "_step", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    found = _holding_rank(last, _ranks(targets), by, [*place, "_step"], "_v")
-    low = F.max(F.when(F.col("_side") == 0, F.col("_v")))
-    high = F.max(F.when(F.col("_side") == 1, F.col("_v")))
-    frac = F.max("_frac")
-    return found.groupBy(*by, "_target").agg(
-        F.when(low == high, low)
-        .otherwise(low * (F.lit(1.0) - frac) + high * frac)
-        .alias("_value")
-    )
+    rows = counts.withColumn("_total", F.sum("_n").over(whole)).withColumn("_end", F.sum("_n").over(upto))
+    rows = rows.withColumn("_want", F.flatten(F.transform(F.get(probs, F.col("_lane")), ranks)))
+    return _inside(rows)
 
 
-def _ranks(targets: DataFrame) -> DataFrame:
-    """The targets without their bounds.
+def _inside(rows: DataFrame) -> DataFrame:
+    """Keep the wanted ranks that fall into a row's own share [_end - _n, _end), counted from its begin."""
+    begin, end = F.col("_end") - F.col("_n"), F.col("_end")
+    own = F.transform(
+        F.filter("_want", lambda w: (w["rank"] >= begin) & (w["rank"] < end)),
+        lambda w: w.withField("rank", w["rank"] - begin),
+    )
+    return rows.withColumn("_want", own).where(F.size("_want") > 0)
 
-    The bounds are looked at once more, so that this branch needs the same
-    columns of the counts as the one that counts on: the two then share one
-    shuffle instead of scanning the table twice.
-    """
-    return targets.where(F.col("_lo") <= F.col("_hi")).drop("_lo", "_hi")
 
+def _found(rows: DataFrame, quantiles: list[Quantile], by: list[str]) -> DataFrame:
+    """One row per group from values that hold wanted ranks."""
+    each = rows.select(*by, "_v", F.explode("_want").alias("_w"))
+    each = each.select(
+        *by, "_v", F.col("_w.target").alias("_target"), F.col("_w.side").alias("_side"), F.col("_w.frac").alias("_frac")
+    )
+    return each.groupBy(*by).agg(*_pivot(quantiles))
 
-def _meet(left: DataFrame, right: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
-    """``left`` joined with the few rows of ``right`` that have the same ``keys``.
 
-    ``right`` has at most two rows per wanted quantile and large group, a number
-    known from the arguments and the size limit of small groups, so it is
-    broadcast.
-    """
+def _per_group(df: DataFrame, plain: list[Column], quantiles: list[Quantile], by: list[str]) -> DataFrame:
+    place = [*by, "_lane", "_coarse"]
+    counted = _values(df, quantiles, by).groupBy(*place, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = _wanted(counted.groupBy(*place).agg(F.sum("_n").alias("_n")), quantiles, by)
+    chosen = chosen.select(*place, "_want").alias("r")
     same = [
         F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) if k in by else F.col(f"l.{k}") == F.col(f"r.{k}")
-        for k in keys
+        for k in place
     ]
-    own = [F.col(f"r.{c}") for c in right.columns if c not in keys]
-    return left.alias("l").join(F.broadcast(right).alias("r"), same).select("l.*", *own)
+    rows = counted.alias("l").join(chosen, same).select("l.*", "r._want")
+    upto = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _inside(rows.withColumn("_end", F.sum("_n").over(upto)))
+    located = _found(rows, quantiles, by).alias("p")
+    # The plain side holds every group; a group without values has no rank to find.
+    base = df.groupBy(*by).agg(*plain, F.lit(1).alias("_one")).alias("b")
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in by]
+    return base.join(located, same, "left").select("b.*", *[f"p.`{q.alias}`" for q in quantiles]).drop("_one")
 
 
-def _holding_rank(
-    counts: DataFrame, targets: DataFrame, by: list[str], keys: list[str], order: str
-) -> DataFrame:
-    """Each target with the counted row that holds its rank; the rank goes on
-    inside that row."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    running = counts.withColumn("_end", F.sum("_n").over(upto))
-    return (
-        _meet(running, targets, by, keys)
-        .where(
-            (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n"))
-        )
-        .withColumn("_rank", F.col("_rank") - (F.col("_end") - F.col("_n")))
-        .drop("_n", "_end")
-    )
+def _by_lane(rows: DataFrame, keys: list[str]) -> Column:
+    """The few rows with wanted ranks as one value: lane -> array of (keys..., _want)."""
+    entry = F.struct(*keys, "_want").alias("entry")
+    lanes = rows.groupBy("_lane").agg(F.collect_list(entry).alias("entries"))
+    whole = lanes.agg(F.map_from_entries(F.collect_list(F.struct("_lane", "entries"))).alias("found"))
+    return whole.scalar()
+
+
+def _with_entry(rows: DataFrame, found: Column, matches) -> DataFrame:
+    """``rows`` with ``_b``: the entry of the row's lane that ``matches``; rows without one go."""
+    rows = rows.withColumn("_entries", F.element_at(found, F.col("_lane")))
+    rows = rows.withColumn("_b", F.get(F.filter("_entries", matches), F.lit(0)))
+    return rows.where(F.col("_b").isNotNull()).drop("_entries")
+
+
+def _in_all(df: DataFrame, plain: list[Column], quantiles: list[Quantile]) -> DataFrame:
+    values = _values(df, quantiles, [])
+    bounds = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    # Counts are bounded by the number of buckets, steps or doubles in a step, so one
+    # task can put them in order; that saves a shuffle for each window and total.
+    coarse = values.groupBy("_lane", "_coarse").agg(*bounds).repartition(1)
+    first = _by_lane(_wanted(coarse, quantiles, []), ["_coarse", "_lo", "_hi"])
+
+    def in_bucket(e: Column) -> Column:
+        return e["_coarse"] == F.col("_coarse")
+
+    into = F.try_divide(F.col("_v") - F.col("_b._lo"), F.col("_b._hi") - F.col("_b._lo"))
+    step = F.coalesce(F.floor(into * float(_FINE_STEPS)), F.lit(0).cast("long"))
+    fine = _with_entry(values, first, in_bucket).groupBy("_lane", "_coarse", step.alias("_step"))
+    fine = _with_entry(fine.agg(*bounds).repartition(1), first, in_bucket)
+    upto = Window.partitionBy("_lane", "_coarse").rowsBetween(Window.unboundedPreceding, 0)
+    fine = fine.withColumn("_want", F.col("_b._want")).withColumn("_end", F.sum("_n").over(upto.orderBy("_step")))
+    second = _by_lane(_inside(fine), ["_coarse", "_step", "_lo", "_hi"])
+
+    def in_step(e: Column) -> Column:
+        return in_bucket(e) & (F.col("_v") >= e["_lo"]) & (F.col("_v") <= e["_hi"])
+
+    last = _with_entry(values, second, in_step).groupBy("_lane", "_coarse", "_v")
+    last = _with_entry(last.agg(F.count(F.lit(1)).alias("_n")).repartition(1), second, in_step)
+    last = last.select("_lane", "_coarse", "_v", "_n", F.col("_b._step").alias("_step"), F.col("_b._want").alias("_want"))
+    upto = Window.partitionBy("_lane", "_coarse", "_step").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    row = _found(_inside(last.withColumn("_end", F.sum("_n").over(upto))), quantiles, [])
+    if not plain:
+        return row
+    return df.agg(*plain).withColumn("_q", row.select(F.struct("*")).scalar()).select("*", "_q.*")
