@@ -46,6 +46,35 @@ def _(t):
     return _round_trip(t, "\t", files.read_tsv)
 
 
+_QUOTED = """SELECT e.event_id, CAST(e.ts AS DATE) AS day, NULLIF(e.event_type, 'purchase') AS kind,
+  concat('say "', substr(d.text, 1, 40), '",', chr(10), 'then ', e.event_type) AS note
+  FROM events e JOIN documents d ON d.doc_id = e.event_id"""
+
+
+@query("read_csv_quoted", _QUOTED)
+def _(t):
+    """Line breaks, quotes, separators, NULLs and dates in the fields."""
+    note = F.concat(
+        F.lit('say "'), F.substring("text", 1, 40), F.lit('",\n'), F.lit("then "), F.col("event_type")
+    )
+    rows = t.events.join(t.documents, F.col("event_id") == F.col("doc_id")).select(
+        "event_id",
+        F.col("ts").cast("date").alias("day"),
+        F.nullif("event_type", F.lit("purchase")).alias("kind"),
+        note.alias("note"),
+    )
+    path = scratch_path(t.spark, "quoted")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return files.read_csv(t.spark, path, multi_line=True)
+
+
+@query("clean_names", "SELECT c_custkey AS a, c_name AS a_2, c_acctbal AS a_1, c_nationkey AS \"ID_1\", c_mktsegment AS \"id_1_1\" FROM customer")
+def _(t):
+    """Repeated names, in one case or two, beside names that look like their numbers."""
+    df = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_nationkey", "c_mktsegment")
+    return files.clean_names(df.toDF("a", " a ", "a_1", "ID_1", "id_1"))
+
+
 @query("read_parquet", "SELECT * FROM orders")
 def _(t):
     return files.read_parquet(t.spark, f"{t.folder}/orders.parquet")

@@ -20,23 +20,36 @@ def _strings(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def promote_header(df: DataFrame, position: str) -> DataFrame:
+def promote_header(
+    df: DataFrame,
+    position: str,
+    mark: str | None = None,
+    search_rows: int = HEADER_SEARCH_ROWS,
+) -> DataFrame:
     """Use the true header row of a headerless text table; drop all rows up to it.
 
-    It is the first of the leading 30 rows with a cell that starts with "s no",
-    or else the first row. ``position`` is a column that rises in row order
-    (see ``with_row_position``); it is dropped. Only the candidate rows, at most
-    30 of them, are looked at for the header; its names come to the driver, as
-    a schema has to be known there.
+    It is the first of the leading ``search_rows`` rows with a cell that starts
+    with ``mark``. Without a ``mark`` it is "s no", and a table that does not
+    have it begins with its header; a mark that was asked for and is not there
+    is a ValueError. ``position`` is a column that rises in row order (see
+    ``with_row_position``); it is dropped. Only the candidate rows are looked
+    at for the header; its names come to the driver, as a schema has to be
+    known there.
     """
+    if search_rows < 1:
+        raise ValueError(f"search_rows is {search_rows}; at least one row is needed")
     cells = [c for c in df.columns if c != position]
-    head = df.orderBy(position).limit(HEADER_SEARCH_ROWS)
+    head = df.orderBy(position).limit(search_rows)
     marked = F.exists(
         F.array(*[F.coalesce(F.lower(strip_space(quoted(c).cast("string"))), F.lit("")) for c in cells]),
-        lambda cell: cell.startswith(HEADER_MARK),
+        lambda cell: cell.startswith((HEADER_MARK if mark is None else mark).lower()),
     )
+    if mark is not None:
+        head = head.where(marked)
     header = head.orderBy(F.desc(marked), position).limit(1).collect()
     if not header:
+        if mark is not None:
+            raise ValueError(f"no cell of the first {search_rows} rows starts with {mark!r}")
         return df.drop(position)
     row = header[0]
     at = row[position]
