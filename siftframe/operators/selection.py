@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import all_of, quoted, try_numeric
@@ -14,7 +16,7 @@ from .correlation import corr_ranked
 
 # Page sizes.
 FILTER_PAGE = 100
-SAMPLE_DEFAULT, SAMPLE_MAX = 50, 500
+SAMPLE_DEFAULT = 50
 PREVIEW_ROWS, PREVIEW_WIDTH = 12, 16
 NUMERIC_SAMPLE_ROWS = 5000
 PAIR_SAMPLE_ROWS = 1000
@@ -68,8 +70,9 @@ def filter_between(df: DataFrame, column: str, low: float, high: float) -> DataF
 def sample_rows(
     df: DataFrame, limit: int = SAMPLE_DEFAULT, order_by: list[str] | None = None
 ) -> DataFrame:
-    """A page of 1 to 500 rows; the first ones of an order, if one is given."""
-    limit = max(1, min(int(limit), SAMPLE_MAX))
+    """A page of rows; the first ones of an order, if one is given."""
+    if limit < 1:
+        raise ValueError(f"limit is {limit}; at least one row is needed")
     return (df.orderBy(*order_by) if order_by else df).limit(limit)
 
 
@@ -159,47 +162,86 @@ def top_correlated_points(
     return pages
 
 
-# Statements that change something, and so are refused.
-FORBIDDEN_WORDS = (
-    "insert update delete drop alter create truncate copy attach detach install load pragma"
-).split()
-# Spark functions and sources through which a query could leave the table.
-_ESCAPES = re.compile(
-    r"\b(java_method|reflect|try_reflect)\s*\(|"
-    r"\b(parquet|orc|csv|json|text|xml|avro|binaryfile|delta)\s*\.\s*`",
-    re.IGNORECASE,
-)
-_QUOTED_OR_COMMENT = re.compile(
-    r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/",
-    re.DOTALL,
-)
+# Spark functions that run other code than the query's.
+_ESCAPES = {"java_method", "reflect", "try_reflect"}
+_CATALYST = "org.apache.spark.sql.catalyst"
 
 
 def clean_sql(text: str) -> str:
-    """Drop a surrounding code fence, leading chatter and the final semicolon."""
-    text = re.sub(r"^\s*```(?:sql)?\s*|\s*```\s*$", "", text or "", flags=re.IGNORECASE)
-    start = re.search(r"\b(?:select|with)\b", text, flags=re.IGNORECASE)
-    return (text[start.start() :] if start else text).strip().rstrip(";").strip()
-
+    """The statement in an answer: its fenced block, or from the first line that
+    begins one; without the closing semicolon."""
+    fenced = re.search(r"```[a-z]*\n?(.*?)(?:```|\Z)", text or "", re.DOTALL | re.IGNORECASE)
+    lines = (fenced[1] if fenced else text or "").strip().splitlines()
+    begins = [i for i, x in enumerate(lines) if re.match(r"\s*\(*(select|with)\b", x, re.IGNORECASE)]
+    return "\n".join(lines[begins[0] if begins else 0 :]).rstrip().rstrip(";").rstrip()
+
+
+def _reads_only(jvm, plan, names: set[str]) -> bool:
+    """Whether every relation below a parsed plan has one of ``names`` or of the plan's own
+    CTEs, and nothing is changed or run."""
+
+    def is_a(node, kind: str) -> bool:
+        return jvm.java.lang.Class.forName(f"{_CATALYST}.{kind}").isInstance(node)
+
+    def each(found):
+        return [found.apply(i) for i in range(found.size())]
+
+    def allowed(expression) -> bool:
+        if is_a(expression, "analysis.UnresolvedFunction"):
+            if each(expression.nameParts())[-1].lower() in _ESCAPES:
+                return False
+        if is_a(expression, "expressions.PlanExpression") and not _reads_only(
+            jvm, expression.plan(), names
+        ):
+            return False
+        return all(map(allowed, each(expression.children())))
+
+    if any(
+        is_a(plan, f"plans.logical.{kind}")
+        for kind in ("Command", "ParsedStatement", "CompoundPlanStatement")
+    ):
+        return False
+    if is_a(plan, "analysis.UnresolvedRelation"):
+        parts = each(plan.multipartIdentifier())
+        return len(parts) == 1 and parts[0].lower() in names
+    if is_a(plan, "analysis.UnresolvedTableValuedFunction"):
+        if each(plan.name())[-1].lower() in _ESCAPES:
+            return False
+    if is_a(plan, "plans.logical.UnresolvedWith"):
+        names = set(names)
+        for cte in each(plan.cteRelations()):
+            own = {cte._1().lower()} if plan.allowRecursion() else set()
+            if not _reads_only(jvm, cte._2(), names | own):
+                return False
+            names.add(cte._1().lower())
+        return _reads_only(jvm, plan.child(), names)
+    return all(map(allowed, each(plan.expressions()))) and all(
+        _reads_only(jvm, child, names) for child in each(plan.children())
+    )
 
-def is_read_only(sql: str) -> bool:
-    """One SELECT or WITH statement without a word that changes anything.
 
-    Quoted text, quoted names and comments are blanked first, so a column that
-    happens to be called `load` does not matter.
-    """
-    sql = clean_sql(sql)
-    bare = _QUOTED_OR_COMMENT.sub(lambda m: "``" if m.group().startswith("`") else " ", sql)
-    if not re.match(r"(?:select|with)\b", bare, flags=re.IGNORECASE) or ";" in bare:
+def is_read_only(sql: str, name: str = "main_table") -> bool:
+    """One query, by Spark's own parser, that reads ``name`` and its own CTEs only."""
+    spark, sql = SparkSession.active(), clean_sql(sql)
+    if not re.match(r"\(*\s*(?:select|with)\b", sql, flags=re.IGNORECASE):
         return False
-    if _ESCAPES.search(bare):
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException:
         return False
-    return not re.search(r"\b(?:" + "|".join(FORBIDDEN_WORDS) + r")\b", bare, re.IGNORECASE)
+    return _reads_only(spark._jvm, plan, {name.lower()})
 
 
 def readonly_sql(df: DataFrame, sql: str, name: str = "main_table") -> DataFrame:
-    """Run one read-only statement over ``df``, visible to it as ``main_table``."""
-    if not is_read_only(sql):
+    """Run one read-only statement over ``df``, visible to it as ``main_table``.
+
+    Nothing else of the session can be read, and no view of it is replaced.
+    """
+    if not is_read_only(sql, name):
         raise ValueError("only a single read-only SELECT or WITH statement is accepted")
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(clean_sql(sql))
+    private = f"_readonly_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(private)
+    try:
+        return df.sparkSession.sql(f"WITH `{name}` AS (SELECT * FROM {private}) ({clean_sql(sql)}\n)")
+    finally:
+        df.sparkSession.catalog.dropTempView(private)

@@ -60,6 +60,42 @@ def test_numeric_share_of_four_fifths(spark):
     assert cleaning.coerce_mostly_numeric(empty).dtypes == [("c", "string")]
 
 
+def test_header_marks(spark):
+    df = spark.createDataFrame([(i, "x" if i < 40 else "Key", "v") for i in range(50)], "at int, x string, y string")
+    assert cleaning.promote_header(df, "at", mark="key", search_rows=50).columns == ["Key", "v"]
+    with pytest.raises(ValueError, match="key"):
+        cleaning.promote_header(df, "at", mark="key")
+    with pytest.raises(ValueError):
+        cleaning.promote_header(df, "at", search_rows=0)
+
+
+@pytest.mark.parametrize("text", ['id,t\n1,"a\nb"\n', "id,t\n1,2,3\n", "id,t\n1\n"])
+def test_broken_rows_are_errors(spark, place, text):
+    (place / "b.csv").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.read_csv(spark, str(place / "b.csv"), "id bigint, t string").collect()
+
+
+def test_quoted_line_breaks_and_clashing_names(spark, place):
+    (place / "q.csv").write_text('ID,id,a,a,a_1\n1,2,"x\ny",,"say ""z"""\n')
+    df = files.read_csv(spark, str(place / "q.csv"), multi_line=True)
+    assert df.columns == ["ID", "id_1", "a", "a_2", "a_1"]
+    assert df.head()[:] == (1, 2, "x\ny", None, 'say "z"')
+
+
+def test_a_schema_must_fit_the_header(spark, place):
+    (place / "s.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, str(place / "s.csv"), "a int, b int").collect()
+    df = files.read_csv(spark, str(place / "s.csv"), "b int, a int")
+    assert df.dtypes == [("b", "bigint"), ("a", "bigint")]
+
+
+def test_names_stay_unique_without_case():
+    assert files.unique_names(["a", "a", "a_1"]) == ["a", "a_2", "a_1"]
+    assert files.unique_names(["ID", "id", "Id"]) == ["ID", "id_1", "Id_2"]
+
+
 def test_unique_names():
     assert files.unique_names([" a ", "a", None, "a\n b", ""]) == ["a", "a_1", "Unnamed", "a b", "Unnamed_1"]
 
@@ -85,13 +121,36 @@ def test_read_only_guard(spark):
     assert readonly_sql(df, "SELECT SUM(`load`) AS s FROM main_table;").head()["s"] == 90
     assert readonly_sql(df, "SELECT 'drop table x' AS t FROM main_table -- delete").count() == 10
     assert clean_sql("Sure:\n```sql\nSELECT 1;\n```") == "SELECT 1"
+    assert clean_sql("Here is the query with totals:\nSELECT 1") == "SELECT 1"
     assert is_read_only("with a as (select 1) select * from a")
+    assert readonly_sql(df, "SELECT load FROM main_table ORDER BY id DESC LIMIT 1").head()[0] == 18
+    nested = "WITH a AS (SELECT * FROM main_table), b AS (SELECT id FROM a) SELECT * FROM b WHERE id IN (SELECT id FROM a WHERE load > 10)"
+    assert readonly_sql(df, nested).count() == 4
+    spark.range(3).createOrReplaceTempView("main_table")
+    spark.range(3).createOrReplaceTempView("other")
+    try:
+        assert readonly_sql(df, "SELECT * FROM main_table").count() == 10
+        assert spark.table("main_table").count() == 3
+        for bad in (
+            "SELECT * FROM other",
+            "SELECT * FROM main_table WHERE id IN (SELECT id FROM other)",
+            "SELECT (SELECT max(id) FROM other)",
+            "SELECT * FROM (WITH other AS (SELECT 1 AS id) SELECT * FROM other) JOIN other USING (id)",
+            "WITH other AS (SELECT * FROM other) SELECT * FROM other",
+        ):
+            assert not is_read_only(bad), bad
+    finally:
+        spark.catalog.dropTempView("main_table")
+        spark.catalog.dropTempView("other")
     for bad in (
         "DROP TABLE main_table",
         "SELECT 1; DELETE FROM main_table",
         "WITH x AS (SELECT 1) INSERT INTO main_table SELECT * FROM x",
         "SELECT * FROM csv.`/etc/passwd`",
+        "SELECT * FROM `text`.`/etc/passwd`",
         "SELECT reflect('java.lang.System', 'exit', 1)",
+        "SELECT `reflect`('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT * FROM main_table WHERE Try_Reflect('java.lang.System', 'x') IS NULL",
         "",
     ):
         assert not is_read_only(bad), bad
