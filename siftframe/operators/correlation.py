@@ -1,4 +1,9 @@
-"""Pearson correlations, all pairs from a single scan, and least-squares lines."""
+"""Pearson correlations, all pairs from a single scan, and least-squares lines.
+
+Every row becomes one row per column, with the other columns beside it, and one
+aggregation by column has an aggregate for each of the others. The plan so has
+as many aggregates as there are columns, not pairs of columns.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import ladder, pearson, try_numeric
 from ..functions.roles import numeric_columns
-from .profiling import _as_rows, _chunks, _union
-
-_PAIRS_PER_SCAN = 120
+from .profiling import _as_rows
 
 # Words for |r|, highest threshold first.
 STRENGTH_SCALES = {
@@ -39,31 +42,36 @@ def corr_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(pearson(try_numeric(df, x), try_numeric(df, y)).alias("correlation"))
 
 
+def _correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, j, r) of every two of the columns, in both orders and with themselves."""
+    rows = df.select(F.array(*[try_numeric(df, c) for c in columns]).alias("_v"))
+    rows = rows.select("_v", F.posexplode("_v").alias("i", "_x")).where(F.col("_x").isNotNull())
+    r = [pearson(F.col("_x"), F.get("_v", F.lit(j))).alias(f"r{j}") for j in range(len(columns))]
+    wide = rows.groupBy("i").agg(*r)
+    return wide.select("i", F.posexplode(F.array(*[F.col(f"r{j}") for j in range(len(columns))])).alias("j", "r"))
+
+
+def _names(columns: list[str], number: str) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col(number))
+
+
 def _pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, j, column_x, column_y, correlation) for i < j."""
-    names = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    if not names:
+    if len(columns) < 2:
         raise ValueError("correlations need at least two numeric columns")
-    frames = []
-    for chunk in _chunks(names, _PAIRS_PER_SCAN):
-        wide = df.agg(
-            *[
-                pearson(try_numeric(df, columns[i]), try_numeric(df, columns[j])).alias(f"r{i}_{j}")
-                for i, j in chunk
-            ]
-        )
-        rows = [
-            {
-                "i": F.lit(i),
-                "j": F.lit(j),
-                "column_x": F.lit(columns[i]),
-                "column_y": F.lit(columns[j]),
-                "correlation": F.col(f"r{i}_{j}"),
-            }
-            for i, j in chunk
-        ]
-        frames.append(_as_rows(wide, rows))
-    return _union(frames)
+    # Columns without a value have no group; their pairs are there, without correlation.
+    size = F.lit(len(columns) - 1)
+    every = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), size)).alias("i"))
+    every = every.select("i", F.explode(F.sequence(F.lit(0), size)).alias("j")).where("i < j")
+    found = _correlations(df, columns).where("i < j")
+    # One row per pair of columns on either side: the schema bounds the broadcast.
+    return every.join(F.broadcast(found), ["i", "j"], "left").select(
+        "i",
+        "j",
+        _names(columns, "i").alias("column_x"),
+        _names(columns, "j").alias("column_y"),
+        F.col("r").alias("correlation"),
+    )
 
 
 def corr_pairs(
@@ -104,35 +112,18 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 for c in columns
             ],
         )
-    size = len(columns)
-    upper = [(i, j) for i in range(size) for j in range(i, size)]
-    frames = []
-    for chunk in _chunks(upper, _PAIRS_PER_SCAN):
-        wide = df.agg(
-            *[
-                F.coalesce(
-                    F.round(pearson(try_numeric(df, columns[i]), try_numeric(df, columns[j])), 4),
-                    F.lit(0.0),
-                ).alias(f"r{i}_{j}")
-                for i, j in chunk
-            ]
-        )
-        cells = [(i, j, f"r{i}_{j}") for i, j in chunk]
-        cells += [(j, i, f"r{i}_{j}") for i, j in chunk if i != j]
-        frames.append(
-            _as_rows(
-                wide,
-                [
-                    {
-                        "row": F.lit(columns[i]),
-                        "column": F.lit(columns[j]),
-                        "correlation": F.col(r),
-                    }
-                    for i, j, r in cells
-                ],
-            )
-        )
-    return _union(frames)
+    size = F.lit(len(columns) - 1)
+    every = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), size)).alias("i"))
+    every = every.select("i", F.explode(F.sequence(F.lit(0), size)).alias("j"))
+    # One value for both orders of a pair; a column by itself is 1 unless it is constant.
+    found = _correlations(df, columns).where("i <= j").select("i", "j", F.round("r", 4).alias("r"))
+    near, far = F.least("i", "j"), F.greatest("i", "j")
+    every = every.select(F.col("i").alias("row"), F.col("j").alias("column"), near.alias("i"), far.alias("j"))
+    return every.join(F.broadcast(found), ["i", "j"], "left").select(
+        _names(columns, "row").alias("row"),
+        _names(columns, "column").alias("column"),
+        F.coalesce("r", F.lit(0.0)).alias("correlation"),
+    )
 
 
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:

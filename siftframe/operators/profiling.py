@@ -155,18 +155,43 @@ def column_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
+def _canonical(value: Column, kind: T.DataType) -> Column:
+    """Text that is equal exactly where Spark groups values together: NULL is
+    marked, everything else has its length before it, -0.0 is 0.0 and NaN is NaN."""
+    if isinstance(kind, T.StringType):
+        body = value
+    elif isinstance(kind, T.BinaryType):
+        body = F.hex(value)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        body = (value.cast("double") + F.lit(0.0)).cast("string")
+    elif isinstance(kind, T.ArrayType):
+        body = F.concat_ws("", F.transform(value, lambda x: _canonical(x, kind.elementType)))
+    elif isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        # In the order of the canonical texts, as entries need not be comparable.
+        texts = F.transform(F.map_entries(value), lambda e: _canonical(e, entry))
+        body = F.concat_ws("", F.array_sort(texts))
+    elif isinstance(kind, T.StructType):
+        parts = [_canonical(value.getField(f.name), f.dataType) for f in kind.fields]
+        body = F.concat(*parts) if parts else F.lit("")
+    else:
+        body = value.cast("string")
+    return F.when(value.isNull(), F.lit("-")).otherwise(
+        F.concat(F.length(body).cast("string"), F.lit(":"), body)
+    )
+
+
 def _row_groups(df: DataFrame) -> DataFrame:
-    """(copies, nulls): one row per distinct row of ``df``."""
-    keys = [_key(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
-    names = [f"k{i}" for i in range(len(df.columns))]
+    """(copies, nulls): one row per distinct row of ``df``, told by a SHA-256 of the row."""
     nulls = F.lit(0)
-    for n in names:
-        nulls = nulls + F.col(n).isNull().cast("int")
+    for c in df.columns:
+        nulls = nulls + quoted(c).isNull().cast("int")
+    row = F.concat(F.lit(""), *[_canonical(quoted(f.name), f.dataType) for f in df.schema.fields])
     return (
-        df.select(*keys)
-        .groupBy(*names)
+        df.select(F.unhex(F.sha2(row, 256)).alias("row"), nulls.alias("nulls"))
+        .groupBy("row", "nulls")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .select("copies", nulls.alias("nulls"))
+        .select("copies", "nulls")
     )
 
 
