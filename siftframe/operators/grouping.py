@@ -14,7 +14,6 @@ from ..functions.expressions import percent_of, quoted
 from .aggregates import aggregate, default_aggregate
 
 # Fixed values.
-RANK_MAX = 100
 TOP_CATEGORIES = 15
 CATEGORY_ROWS = 8
 
@@ -45,14 +44,15 @@ def group_agg(
     descending: bool = True,
     drop_null_group: bool = True,
     method: str = "counting",
+    ordered: bool = True,
 ) -> DataFrame:
     """(group, value), ordered by value.
 
     ``agg="auto"`` sums money and quantity metrics and averages all others.
+    ``ordered=False`` saves the sort where the result is aggregated further.
     """
-    return _ranked(
-        _grouped(df, group, metric, agg, drop_null_group, method), "value", group, descending
-    )
+    grouped = _grouped(df, group, metric, agg, drop_null_group, method)
+    return _ranked(grouped, "value", group, descending) if ordered else grouped
 
 
 def group_sorted(df: DataFrame, group: str, metric: str, agg: str, ascending: bool) -> DataFrame:
@@ -62,8 +62,9 @@ def group_sorted(df: DataFrame, group: str, metric: str, agg: str, ascending: bo
 def top_n_groups(
     df: DataFrame, group: str, metric: str, agg: str = "SUM", n: int = 1, lowest: bool = False
 ) -> DataFrame:
-    """The ``n`` (1 to 100) groups with the highest aggregate, or the lowest."""
-    n = max(1, min(int(n), RANK_MAX))
+    """The ``n`` groups with the highest aggregate, or the lowest."""
+    if n < 1:
+        raise ValueError(f"n is {n}; at least one group is needed")
     return group_agg(df, group, metric, agg, descending=not lowest).limit(n)
 
 

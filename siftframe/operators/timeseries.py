@@ -12,36 +12,48 @@ _STABLE_PCT = 1.0  # fixed value: changes up to this count as stable
 
 
 def trend(
-    df: DataFrame, date: str, metric: str, grain: str = "day", agg: str = "SUM"
+    df: DataFrame,
+    date: str,
+    metric: str,
+    grain: str = "day",
+    agg: str = "SUM",
+    ordered: bool = True,
 ) -> DataFrame:
-    """(period, value): the sum or average per calendar period; weeks start on Monday."""
+    """(period, value): the sum or average per calendar period; weeks start on Monday.
+
+    ``ordered=False`` saves the sort where the result is aggregated further.
+    """
     if grain not in GRAINS:
         raise ValueError(f"unknown grain {grain!r}; one of {', '.join(GRAINS)}")
     combine = {"SUM": F.sum, "AVG": F.avg}[agg.upper()]
     day = try_date(df, date)
     period = day if grain == "day" else F.date_trunc(grain, day).cast("date")
-    return (
+    values = (
         df.select(period.alias("period"), try_numeric(df, metric).alias("_m"))
         .where(F.col("period").isNotNull())
         .groupBy("period")
         .agg(combine("_m").alias("value"))
-        .orderBy("period")
     )
+    return values.orderBy("period") if ordered else values
 
 
-def daily_series(df: DataFrame, date: str, metric: str | None = None) -> DataFrame:
+def daily_series(
+    df: DataFrame, date: str, metric: str | None = None, ordered: bool = True
+) -> DataFrame:
     """(day, value): the sum of a metric, or the number of rows, per day."""
     rows = df.select(
         try_date(df, date).alias("day"),
         (try_numeric(df, metric) if metric else F.lit(1.0)).alias("_m"),
     ).where(F.col("day").isNotNull())
     value = F.sum("_m") if metric else F.count(F.lit(1))
-    return rows.groupBy("day").agg(value.alias("value")).orderBy("day")
+    values = rows.groupBy("day").agg(value.alias("value"))
+    return values.orderBy("day") if ordered else values
 
 
 def normalized_series(df: DataFrame, date: str, metrics: list[str]) -> DataFrame:
-    """(day, metric, value, normalized) of up to three metrics, each scaled to 0..1."""
-    metrics = metrics[:3]
+    """(day, metric, value, normalized) of the metrics, each scaled to 0..1."""
+    if not metrics:
+        raise ValueError("at least one metric is needed")
     daily = (
         df.select(
             try_date(df, date).alias("day"),
@@ -119,7 +131,7 @@ def linear_forecast(df: DataFrame, date: str, metric: str, horizon: int = 7) ->
 
     Known days have ``y``, the ``horizon`` days after the last one ``forecast``.
     """
-    daily = trend(df, date, metric, "day")
+    daily = trend(df, date, metric, "day", ordered=False)
     days = F.datediff("period", F.lit("1970-01-01").cast("date")).cast("double")
     line = daily.agg(
         F.regr_slope("value", days).alias("slope"),

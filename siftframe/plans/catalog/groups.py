@@ -184,7 +184,7 @@ _BY_SUPPLIER = "SELECT l_suppkey AS label, SUM(l_extendedprice) AS value FROM li
                round(MAX(value) * 100.0 / SUM(value), 2) AS top_share_pct FROM r""",
 )
 def _(t):
-    grouped = G.group_agg(t.lineitem, "l_suppkey", "l_extendedprice", "SUM")
+    grouped = G.group_agg(t.lineitem, "l_suppkey", "l_extendedprice", "SUM", ordered=False)
     return rounded(G.explain_groups(grouped, "l_suppkey"), 2)
 
 
@@ -202,7 +202,7 @@ def _(t):
                round(MAX(value) * 100.0 / SUM(value), 2) AS highest_share_pct FROM r""",
 )
 def _(t):
-    grouped = G.group_agg(t.lineitem, "l_suppkey", "l_extendedprice", "SUM")
+    grouped = G.group_agg(t.lineitem, "l_suppkey", "l_extendedprice", "SUM", ordered=False)
     return rounded(G.group_spread(grouped, "l_suppkey"), 2)
 
 
@@ -375,7 +375,8 @@ def _(t):
 
 
 _DAILY = """d AS (SELECT CAST(ts AS DATE) AS day, COALESCE(SUM(value), 0) AS a,
-                   CAST(SUM(user_id) AS DOUBLE) AS b, CAST(SUM(1) AS DOUBLE) AS c
+                   CAST(SUM(user_id) AS DOUBLE) AS b, CAST(SUM(1) AS DOUBLE) AS c,
+                   CAST(SUM(event_id) AS DOUBLE) AS e
                   FROM events WHERE ts IS NOT NULL GROUP BY 1)"""
 
 
@@ -386,13 +387,13 @@ _DAILY = """d AS (SELECT CAST(ts AS DATE) AS day, COALESCE(SUM(value), 0) AS a,
         f"""SELECT day, '{name}' AS metric, round({c}, 4) AS value,
               round(COALESCE(({c} - (SELECT MIN({c}) FROM d))
                 / NULLIF((SELECT MAX({c}) - MIN({c}) FROM d), 0), 0), 4) AS normalized FROM d"""
-        for name, c in (("value", "a"), ("user_id", "b"), ("one", "c"))
+        for name, c in (("value", "a"), ("user_id", "b"), ("one", "c"), ("event_id", "e"))
     ),
 )
 def _(t):
     return rounded(
         T.normalized_series(
-            t.events.withColumn("one", F.lit(1)), "ts", ["value", "user_id", "one"]
+            t.events.withColumn("one", F.lit(1)), "ts", ["value", "user_id", "one", "event_id"]
         )
     )
 
@@ -408,7 +409,7 @@ def _(t):
               CAST(MAX(v) FILTER (down = 1) AS DOUBLE) AS low_value FROM r""",
 )
 def _(t):
-    return T.series_peak_low(T.daily_series(t.events, "ts"))
+    return T.series_peak_low(T.daily_series(t.events, "ts", ordered=False))
 
 
 @query(
@@ -423,7 +424,9 @@ def _(t):
                    WHEN f <> 0 THEN 'stable' END AS direction FROM e""",
 )
 def _(t):
-    return rounded(T.trend_change(T.trend(t.orders, "o_orderdate", "o_totalprice", "month")), 2)
+    return rounded(T.trend_change(
+            T.trend(t.orders, "o_orderdate", "o_totalprice", "month", ordered=False)
+        ), 2)
 
 
 @query(

@@ -59,10 +59,13 @@ def _union(lines: list[DataFrame]) -> DataFrame:
     return out.orderBy("position")
 
 
-def findings(df: DataFrame, metric: str | None = None) -> DataFrame:
-    """Up to six observations: (position, headline, text, level).
+def findings(
+    df: DataFrame, metric: str | None = None, max_categories: int | None = 1
+) -> DataFrame:
+    """Observations: (position, headline, text, level).
 
-    ``level`` is "good", "info", "warning" or "critical".
+    ``level`` is "good", "info", "warning" or "critical". The diversity of the
+    first ``max_categories`` category columns is told, of all if it is None.
     """
     numeric, dates = numeric_columns(df), datetime_columns(df)
     categories = categorical_columns(df, include_datetime=False)
@@ -119,10 +122,10 @@ def findings(df: DataFrame, metric: str | None = None) -> DataFrame:
         distinct = F.col("distinct_count")
         lines.append(
             _line(
-                column_counts(df, categories[:1]),
+                column_counts(df, categories[:max_categories]),
                 5,
                 "Category diversity",
-                _said(f"{categories[0]} has ", distinct, " distinct values"),
+                _said(F.col("column_name"), " has ", distinct, " distinct values"),
                 F.when(distinct > MANY_CATEGORIES, F.lit("warning")).otherwise(F.lit("info")),
             )
         )
@@ -202,12 +205,12 @@ def summary_blocks(df: DataFrame, metric: str | None = None) -> DataFrame:
 
 def category_charts(
     df: DataFrame,
-    max_charts: int = MAX_CATEGORY_CHARTS,
+    max_charts: int | None = MAX_CATEGORY_CHARTS,
     max_categories: int = CHART_MAX_CATEGORIES,
     rows: int = CATEGORY_ROWS,
 ) -> DataFrame:
     """(column_name, value, count): the most frequent values of the first columns
-    that have few enough categories.
+    that have few enough categories; of all such columns, if ``max_charts`` is None.
 
     Which columns qualify is found first and only their values are counted as
     text, so a column of long unique texts never travels.
@@ -218,9 +221,9 @@ def category_charts(
     counts = column_counts(df, columns)
     few = (F.col("distinct_count") > 1) & (F.col("distinct_count") <= max_categories)
     # At most one row per column from here on.
-    chosen = counts.where(few).orderBy("position").limit(max_charts).select(
-        "position", "column_name"
-    )
+    chosen = counts.where(few).select("position", "column_name")
+    if max_charts is not None:
+        chosen = chosen.orderBy("position").limit(max_charts)
     values = (
         df.select(
             F.inline(
@@ -250,9 +253,16 @@ def category_charts(
     )
 
 
-def profile_bundle(df: DataFrame, order_by: list[str] | None = None) -> dict[str, DataFrame]:
+def profile_bundle(
+    df: DataFrame,
+    order_by: list[str] | None = None,
+    max_histograms: int | None = MAX_HISTOGRAMS,
+    max_category_charts: int | None = MAX_CATEGORY_CHARTS,
+) -> dict[str, DataFrame]:
     """Everything the dashboard shows, each part a DataFrame of its own.
 
+    Histograms and category charts are drawn for the first columns of their
+    kind; None as a maximum means all of them.
     The parts read only the columns they need; nothing is cached here. Persist
     ``df`` first if it is costly to compute and fits the cluster.
     """
@@ -264,9 +274,9 @@ def profile_bundle(df: DataFrame, order_by: list[str] | None = None) -> dict[str
         "sample": sample_rows(df, SAMPLE_ROWS, order_by),
     }
     if numeric:
-        parts["histograms"] = histograms(df, numeric[:MAX_HISTOGRAMS])
+        parts["histograms"] = histograms(df, numeric[:max_histograms])
     if categorical_columns(df):
-        parts["categories"] = category_charts(df)
+        parts["categories"] = category_charts(df, max_charts=max_category_charts)
     if len(numeric) > 1:
         parts["correlation"] = corr_matrix(df, numeric)
     return parts

@@ -216,10 +216,17 @@ def test_tables_without_numbers_or_categories(spark):
 
 def test_limits(spark):
     df = spark.range(1000)
-    assert S.sample_rows(df, 0).count() == 1 and S.sample_rows(df, 9999).count() == 500
+    assert S.sample_rows(df, 9999).count() == 1000
     groups = df.select((F.col("id") % 300).alias("g"), "id")
-    assert G.top_n_groups(groups, "g", "id", "SUM", 1000).count() == 100
-    assert G.bottom_n_groups(groups, "g", "id", "MIN", 0).head()["g"] == 0
+    assert G.top_n_groups(groups, "g", "id", "SUM", 1000).count() == 300
+    assert G.bottom_n_groups(groups, "g", "id", "MIN", 1).head()["g"] == 0
+    for wrong in (
+        lambda: S.sample_rows(df, 0),
+        lambda: G.top_n_groups(groups, "g", "id", "SUM", 0),
+        lambda: T.normalized_series(df, "id", []),
+    ):
+        with pytest.raises(ValueError):
+            wrong()
     with pytest.raises(ValueError):
         S.filter_rows(df, [])
     with pytest.raises(ValueError):
@@ -255,3 +262,55 @@ def test_trend_directions(spark):
 
     assert change(100.0, 101.0) == "stable" and change(100.0, 102.0) == "increased"
     assert change(-100.0, -102.0) == "decreased" and change(0.0, 5.0) is None
+
+
+def test_duplicates_like_a_plain_group(spark):
+    rows = [
+        ("a", 0.0, float("nan"), [1.0, -0.0], (1, None), b"x", {"k": 1, "l": 2}),
+        ("a", -0.0, float("nan"), [1.0, 0.0], (1, None), b"x", {"l": 2, "k": 1}),
+        ("a", 0.0, None, [1.0, 0.0], (1, None), b"x", {"k": 1}),
+        ("a", 0.0, None, [1.0, 0.0], (None, "1"), b"x", {"k": 1}),
+        (None, 0.0, None, [1.0, 0.0], (1, None), b"x", {"k": 1}),
+        ("", 0.0, None, [1.0, 0.0], (1, None), b"x", {"k": 1}),
+        ("", 0.0, None, [1.0], None, None, None),
+        ("", 0.0, None, [1.0, None], None, None, None),
+        ("1:a", 1.0, None, [], None, None, {}),
+        ("1:a", 1.0, None, [], None, None, {}),
+    ]
+    df = spark.createDataFrame(
+        rows, "s string, d double, n double, a array<double>, t struct<x:int,y:string>, b binary, m map<string,int>"
+    )
+    plain = df.withColumn("m", F.array_sort(F.map_entries("m")))
+    want = len(rows) - plain.groupBy(*plain.columns).count().count()
+    out = P.overview(df).head()
+    assert out["duplicate_rows"] == want == 2
+    assert out["total_missing_cells"] == sum(v is None for r in rows for v in r)
+
+
+def test_rows_travel_as_digests(spark, folder):
+    df = P.duplicate_rows(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    exchange = next(x for x in text.splitlines() if "hashpartitioning" in x)
+    assert "embedding" not in exchange
+
+
+def test_correlations_of_many_columns_take_one_scan(spark, tmp_path):
+    wide = spark.range(200).select(*[F.when(F.col("id") % (i + 2) != 0, F.sin(F.col("id") * (i + 1))).alias(f"c{i}") for i in range(100)])
+    wide.write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    pairs = C.corr_pairs(df)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    table = df.toPandas()
+    want = table.corr()
+    rows = pairs.collect()
+    assert len(rows) == 4950
+    for r in rows[::97]:
+        assert r["correlation"] == pytest.approx(want.loc[r["column_x"], r["column_y"]], abs=1e-9)
+
+
+def test_columns_without_values_have_no_correlation(spark):
+    df = spark.sql("SELECT id AS a, CAST(NULL AS INT) AS b, id * 2 AS c FROM range(5)")
+    assert [tuple(r)[2] for r in C.corr_pairs(df).orderBy("column_x", "column_y").collect()] == [None, pytest.approx(1.0), None]
+    matrix = {(r["row"], r["column"]): r["correlation"] for r in C.corr_matrix(df).collect()}
+    assert (len(matrix), matrix["a", "c"], matrix["b", "b"]) == (9, 1.0, 0.0)
