@@ -154,6 +154,10 @@ INSIGHT = [
     "overall summary", "dataset summary", "summarize the dataset",
     "summarize this dataset", "overall takeaway", "takeaway", "conclude",
 ]
+LATE_INSIGHT = [
+    "main insight", "key insight", "main takeaway", "key takeaway",
+    "give me an insight", "give me insights", "what can you conclude",
+]
 DISTRIBUTION = ["distribution", "breakdown by"]
 STATISTICS = [
     "correlation", "correlate", "median", "standard deviation", "std dev",
@@ -238,6 +242,41 @@ def _plain(name: str) -> str:
     return " ".join(re.sub(r"[_\-]+", " ", name.strip().lower()).split())
 
 
+def _mentions(norm: Column, columns: list[str]) -> Column:
+    """The columns named in a normalized text, in text order.
+
+    The first place of each name counts. Where names overlap, the one that
+    starts first is taken, or the longer one of two that start together.
+    """
+    places = []
+    for c in columns:
+        name = _plain(c)
+        if name:
+            whole = r"(?<![\p{L}\p{N}_])" + re.escape(name) + r"(?![\p{L}\p{N}_])"
+            start = F.when(F.contains(norm, F.lit(name)), F.regexp_instr(norm, F.lit(whole)))
+            start = start.otherwise(F.lit(0))
+            places.append(
+                F.struct(
+                    start.alias("start"), F.lit(-len(name)).alias("size"), F.lit(c).alias("name")
+                )
+            )
+    nothing = F.array().cast("array<string>")
+    if not places:
+        return nothing
+    found = F.array_sort(F.filter(F.array(*places), lambda p: p["start"] > 0))
+    return F.aggregate(
+        found,
+        F.struct(F.lit(0).alias("end"), nothing.alias("names")),
+        lambda acc, p: F.when(p["start"] < acc["end"], acc).otherwise(
+            F.struct(
+                (p["start"] - p["size"]).alias("end"),
+                F.concat(acc["names"], F.array(p["name"])).alias("names"),
+            )
+        ),
+        lambda acc: acc["names"],
+    )
+
+
 def tag_intent(
     questions: DataFrame,
     text: str = "text",
@@ -248,7 +287,8 @@ def tag_intent(
     """``questions`` with ``intent``: the kind of analysis each question asks for.
 
     ``columns``, ``numeric`` and ``groups`` name the columns of the table the
-    questions are about. The first rule that applies decides.
+    questions are about. The first rule that applies decides. Words count as
+    whole words, with any sign next to them; so do "vs" and "versus".
     """
     columns, numeric, groups = columns or [], numeric or [], groups or []
     # Worked out once per row, ahead of the many rules that read them: the
@@ -280,7 +320,12 @@ def tag_intent(
             total = total + test.cast("int")
         return total
 
-    whole_numeric = count_of([_whole(norm, _plain(c)) for c in numeric])
+    # A name inside a longer one that is mentioned does not count.
+    every = [*columns, *[c for c in numeric if c not in columns]]
+    wanted = F.array(*[F.lit(c) for c in numeric]) if numeric else F.array().cast("array<string>")
+    compared = F.when(
+        has(COMPARISON), F.size(F.array_intersect(_mentions(norm, every), wanted)) >= 2
+    ).otherwise(F.lit(False))
     named_group = count_of([_whole(norm, _plain(c)) for c in groups]) > 0
     # Columns are also recognised inside words here, as in "attendance percentages".
     mentioned = count_of(
@@ -303,7 +348,7 @@ def tag_intent(
     rules = [
         (has(FOLLOWUP), "contextual_followup"),
         (has(DERIVED), "derived_metrics"),
-        (has(COMPARISON) & (whole_numeric >= 2), "comparison"),
+        (compared, "comparison"),
         (has(SCENARIO), "scenario"),
         (has(FORECAST), "forecast"),
         (has(ANOMALY), "anomaly_detection"),
@@ -318,6 +363,7 @@ def tag_intent(
         (grouped & has(GROUPED_AGGREGATION), "grouped_analysis"),
         (has(AGGREGATION) & (mentioned >= 1), "numeric_analysis"),
         (has(PERCENTAGE) & ~has(RANKING_EXTREMES), "percentage_analysis"),
+        (has(LATE_INSIGHT), "main_insight"),
         (has(RANKING_EXTREMES), "grouped_analysis"),
         (grouped_last, "grouped_analysis"),
         (has(SCALAR), "numeric_analysis"),
@@ -350,32 +396,4 @@ def mentioned_columns(
     longer one of two that start together.
     """
     prepared = questions.withColumn("_norm", normalize_text(quoted(text)))
-    places = []
-    for c in columns:
-        name = _plain(c)
-        if name:
-            whole = r"(?<![\p{L}\p{N}_])" + re.escape(name) + r"(?![\p{L}\p{N}_])"
-            start = F.when(
-                F.contains("_norm", F.lit(name)), F.regexp_instr("_norm", F.lit(whole))
-            ).otherwise(F.lit(0))
-            places.append(
-                F.struct(
-                    start.alias("start"), F.lit(-len(name)).alias("size"), F.lit(c).alias("name")
-                )
-            )
-    found = F.array_sort(F.filter(F.array(*places), lambda p: p["start"] > 0))
-    nothing = F.struct(
-        F.lit(0).alias("end"), F.array().cast("array<string>").alias("names")
-    )
-    kept = F.aggregate(
-        found,
-        nothing,
-        lambda acc, p: F.when(p["start"] < acc["end"], acc).otherwise(
-            F.struct(
-                (p["start"] - p["size"]).alias("end"),
-                F.concat(acc["names"], F.array(p["name"])).alias("names"),
-            )
-        ),
-        lambda acc: acc["names"],
-    )
-    return prepared.withColumn("mentioned", kept).drop("_norm")
+    return prepared.withColumn("mentioned", _mentions(F.col("_norm"), columns)).drop("_norm")

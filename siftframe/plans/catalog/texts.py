@@ -325,6 +325,9 @@ _QUESTIONS = [
     "laptops on a desktop",
     "Net revenue and then revenue against cost-of region, units sold",
     "revenue, not net revenue",
+    "Give me insights",
+    "Compare net revenue and region",
+    "Compare net revenue and revenue",
 ]
 _COLUMNS = ["region", "channel", "revenue", "cost", "units_sold", "net_revenue"]
 _NUMERIC = ["revenue", "cost", "units_sold", "net_revenue"]
@@ -374,9 +377,17 @@ def _intent_sql() -> str:
     def holds(parts):
         return _sql_holds("q", parts)
 
+    # "net revenue" holds "revenue", the only name here that is part of another; the first
+    # place of a name decides.
+    before = "regexp_extract(n, '(?s)^(.*?)\\brevenue\\b', 1)"
+    bare = (
+        _sql_has("n", ["revenue"])
+        + f" AND NOT regexp_matches({before}, '(^|[^\\p{{L}}\\p{{N}}_])net $')"
+    )
     whole = _sql_count([_sql_has("n", [c.replace("_", " ")]) if " " not in c.replace("_", " ")
                         else f"regexp_matches(n, '(^|[^\\p{{L}}\\p{{N}}_]){c.replace('_', ' ')}($|[^\\p{{L}}\\p{{N}}_])')"
-                        for c in _NUMERIC])
+                        for c in _NUMERIC if c != "revenue"]
+                       + [f"({bare})"])
     mentioned = _sql_count([f"contains(q, '{c.replace('_', ' ')}')" for c in _COLUMNS])
     group = _sql_has("n", _GROUPS)
     condition = (
@@ -409,6 +420,7 @@ def _intent_sql() -> str:
         ),
         (f"{has(Q.AGGREGATION)} AND {mentioned} >= 1", "numeric_analysis"),
         (f"{has(Q.PERCENTAGE)} AND NOT {has(Q.RANKING_EXTREMES)}", "percentage_analysis"),
+        (has(Q.LATE_INSIGHT), "main_insight"),
         (has(Q.RANKING_EXTREMES), "grouped_analysis"),
         (f"{holds(Q.GROUPING)} OR {ends} OR {two}", "grouped_analysis"),
         (has(Q.SCALAR), "numeric_analysis"),

@@ -84,6 +84,42 @@ NUMERIC = COLUMNS[1:]
         ("students per class", "grouped_analysis"),
         ("how many students", "numeric_analysis"),
         ("laptop stopover", "local_query"),
+        ("Give me insights", "main_insight"),
+        ("give me an insight please", "main_insight"),
+        ("What is the main takeaway", "main_insight"),
+        ("Any key findings?", "main_insight"),
+        ("Compare Percentage and Attendance-Percent", "comparison"),
+        ("Compare attendance percent", "percentage_analysis"),
+        ("difference between Mathematics, Programming", "comparison"),
+        ("Mathematics vs. Programming", "comparison"),
+        ("Compare Mathematics with department", "local_query"),
+        ("data quality report", "data_quality"),
+        ("Which rows have missing values", "data_quality"),
+        ("Are there unusual marks?", "anomaly_detection"),
+        ("predict total marks", "forecast"),
+        ("Is there a correlation?", "statistics"),
+        ("variance of programming", "statistics"),
+        ("monthly trend", "trend"),
+        ("programming below 40", "filtering"),
+        ("total marks at least 300", "filtering"),
+        ("mathematics > 90", "filtering"),
+        ("mathematics overheads", "local_query"),
+        ("lowest programming", "numeric_analysis"),
+        ("sum of mathematics", "numeric_analysis"),
+        ("Which department has the highest programming", "grouped_analysis"),
+        ("bottom 5 departments", "grouped_analysis"),
+        ("bottom5 departments", "local_query"),
+        ("count for each department", "grouped_analysis"),
+        ("how many students per department", "grouped_analysis"),
+        ("median", "statistics"),
+        ("department wise", "grouped_analysis"),
+        ("breakdown by department", "grouped_analysis"),
+        ("breakdown by students", "grouped_analysis"),
+        ("the ratio of passes", "percentage_analysis"),
+        ("rate of the best", "grouped_analysis"),
+        ("count of students", "numeric_analysis"),
+        ("students across years", "grouped_analysis"),
+        ("", "local_query"),
     ],
 )
 def test_intents(spark, question, intent):
@@ -91,6 +127,21 @@ def test_intents(spark, question, intent):
     assert Q.tag_intent(df, "text", COLUMNS, NUMERIC, ["department"]).head()["intent"] == intent
 
 
+@pytest.mark.parametrize(
+    "question, intent",
+    [
+        ("Compare net revenue and region", "local_query"),
+        ("Compare net revenue and revenue", "local_query"),
+        ("Compare revenue and net_revenue", "comparison"),
+        ("Compare net-revenue", "local_query"),
+    ],
+)
+def test_a_name_inside_a_longer_one_is_no_second_column(spark, question, intent):
+    df = spark.createDataFrame([(question,)], "text string")
+    numeric = ["revenue", "net_revenue"]
+    assert Q.tag_intent(df, "text", ["region", *numeric], numeric).head()["intent"] == intent
+
+
 def test_aggregates_and_columns(spark):
     df = spark.createDataFrame(
         [("How many rows, in total?",), ("the AVERAGE_total",), ("subtotal",)], "text string"
