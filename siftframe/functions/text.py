@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expressions import any_of
+
 # Debris that UTF-8 text leaves when it is read as Windows-1252,
 # and its repair, applied in this order.
 MOJIBAKE_REPAIRS = [
@@ -56,19 +58,59 @@ def normalize_text(col: Column) -> Column:
     return F.regexp_replace(F.lower(strip_space(col)), rf"(?U)[{_SPACE}_\-]+", " ")
 
 
+def _where(col: Column, marks: list[str], repair) -> Column:
+    """``repair(text)`` for texts that hold one of ``marks``, the others as they are.
+
+    The text is bound to a name first, so that it is worked out once.
+    """
+
+    def guarded(text: Column) -> Column:
+        return F.when(any_of([F.contains(text, F.lit(m)) for m in marks]), repair(text)).otherwise(text)
+
+    return F.get(F.transform(F.array(col), guarded), F.lit(0))
+
+
+def _replaced(pairs: list[tuple[str, str]]):
+    def apply(text: Column) -> Column:
+        for debris, repair in pairs:
+            text = F.replace(text, F.lit(debris), F.lit(repair))
+        return text
+
+    return apply
+
+
+def _matched(pairs: list[tuple[str, str]]):
+    def apply(text: Column) -> Column:
+        for pattern, repair in pairs:
+            text = F.regexp_replace(text, pattern, repair)
+        return text
+
+    return apply
+
+
+def _repaired(text: Column) -> Column:
+    """Literal repairs by their common beginning, then the leftovers, each only where it can match."""
+    starts = ("â€", "Â", "ï¿½", "\ufffd")  # in the order of the repairs
+    for start in starts:
+        text = _where(text, [start], _replaced([p for p in MOJIBAKE_REPAIRS if p[0].startswith(start)]))
+    first, *others = MOJIBAKE_LEFTOVERS
+    text = _where(text, ["â€¦"], _matched([first]))
+    return _where(text, ["â", "Ã"], _matched(others))
+
+
+# What each of the spacing repairs needs to match.
+_SPACING_MARKS = (["  ", "\t"], [f" {c}" for c in ",.;:!?"], ["\n ", "\n\t"])
+
+
 def repair_mojibake(col: Column) -> Column:
     """Undo the usual debris of text read in the wrong encoding.
 
-    Text without a suspicious character skips the long list of repairs.
+    Plain searches come before the patterns: a text without a suspicious
+    character, or without the blanks that a pattern is about, skips it.
     """
-    repaired = col
-    for debris, repair in MOJIBAKE_REPAIRS:
-        repaired = F.replace(repaired, F.lit(debris), F.lit(repair))
-    for pattern, repair in MOJIBAKE_LEFTOVERS:
-        repaired = F.regexp_replace(repaired, pattern, repair)
-    col = F.when(col.rlike("[ÂÃâï\ufffd]"), repaired).otherwise(col)
-    for pattern, repair in SPACING_REPAIRS:
-        col = F.regexp_replace(col, pattern, repair)
+    col = _where(col, ["Â", "Ã", "â", "ï", "\ufffd"], _repaired)
+    for marks, repair in zip(_SPACING_MARKS, SPACING_REPAIRS, strict=True):
+        col = _where(col, marks, _matched([repair]))
     return strip_space(col)
 
 
