@@ -24,6 +24,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _own(spark: SparkSession) -> str:
+    """The part of the scratch folder that belongs to this application."""
+    return f"{scratch_root(spark)}/siftframe/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the scratch folder, never used before."""
-    return f"{scratch_root(spark)}/siftframe/{name}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has put into the scratch folder.
+
+    To be called when no result that was built from it is needed any more, at
+    the end of a session at the latest.
+    """
+    remove_path(spark, _own(spark))

@@ -1,13 +1,13 @@
 """Keep a table under an id and open it again later.
 
-A table is written to a new folder of its own; one metadata row, appended
-afterwards, makes it the current version. A writer that dies half-way leaves
-the previous version in place, and readers never see a partial one.
+A table is written to a new folder of its own; one metadata row, written
+afterwards under the next version number, makes it the current version. A writer
+that dies half-way leaves the previous version in place, readers never see a
+partial one, and of two writers with the same number the later one fails.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
 from dataclasses import dataclass
 
@@ -15,9 +15,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_METADATA = (
-    "dataset_id string, filename string, row_count bigint, version string, written_at bigint"
-)
+from .scratch import remove_path
+
+_METADATA = "dataset_id string, filename string, row_count bigint, folder string, version bigint"
 
 
 @dataclass(frozen=True)
@@ -38,37 +38,68 @@ def _base(root: str, dataset_id: str) -> str:
     return f"{root.rstrip('/')}/{dataset_id}"
 
 
+def _log(spark: SparkSession, base: str) -> DataFrame | None:
+    """One row per version; None if there is none."""
+    try:
+        return spark.read.schema(_METADATA).parquet(f"{base}/metadata/*")
+    except AnalysisException:
+        return None
+
+
 def persist_dataset(df: DataFrame, root: str, dataset_id: str, filename: str) -> Dataset:
-    """Write ``df`` as the current version of ``dataset_id`` below ``root``."""
-    spark, base, version = df.sparkSession, _base(root, dataset_id), uuid.uuid4().hex
-    df.write.parquet(f"{base}/data/{version}")
+    """Write ``df`` as the next version of ``dataset_id`` below ``root``.
+
+    AnalysisException if another writer has taken the version number meanwhile.
+    """
+    spark, base, folder = df.sparkSession, _base(root, dataset_id), uuid.uuid4().hex
+    log = _log(spark, base)
+    version = 1 if log is None else (log.agg(F.max("version")).head()[0] or 0) + 1
+    df.write.parquet(f"{base}/data/{folder}")
     # Counted from what was written: Parquet footers hold the number of rows.
-    written = spark.read.parquet(f"{base}/data/{version}")
+    written = spark.read.parquet(f"{base}/data/{folder}")
     row = written.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(dataset_id).alias("dataset_id"),
         F.lit(filename).alias("filename"),
         "row_count",
-        F.lit(version).alias("version"),
-        F.lit(time.time_ns()).alias("written_at"),
+        F.lit(folder).alias("folder"),
+        F.lit(version).cast("bigint").alias("version"),
     )
-    row.coalesce(1).write.mode("append").parquet(f"{base}/metadata")
+    row.coalesce(1).write.mode("errorifexists").parquet(f"{base}/metadata/{version:012d}")
     return open_dataset(spark, root, dataset_id)
 
 
 def open_dataset(spark: SparkSession, root: str, dataset_id: str) -> Dataset:
     """The current version of a dataset; KeyError if there is none."""
     base = _base(root, dataset_id)
-    try:
-        log = spark.read.schema(_METADATA).parquet(f"{base}/metadata")
-    except AnalysisException as missing:
-        raise KeyError(dataset_id) from missing
-    latest = log.orderBy(F.desc("written_at")).limit(1)
+    log = _log(spark, base)
+    if log is None:
+        raise KeyError(dataset_id)
+    latest = log.orderBy(F.desc("version")).limit(1)
     row = latest.head()
     if row is None:
         raise KeyError(dataset_id)
     return Dataset(
         dataset_id=row["dataset_id"],
         filename=row["filename"],
-        table=spark.read.parquet(f"{base}/data/{row['version']}"),
+        table=spark.read.parquet(f"{base}/data/{row['folder']}"),
         metadata=latest.select("dataset_id", "filename", "row_count"),
     )
+
+
+def vacuum(spark: SparkSession, root: str, dataset_id: str, keep: int = 1) -> int:
+    """Delete all versions but the last ``keep``; how many went.
+
+    Readers of older versions must have ended. Their metadata goes first, so no
+    version is ever listed without its data.
+    """
+    if keep < 1:
+        raise ValueError(f"keep is {keep}; the current version stays")
+    base = _base(root, dataset_id)
+    log = _log(spark, base)
+    if log is None:
+        raise KeyError(dataset_id)
+    rows = log.select("version", "folder").orderBy(F.desc("version")).collect()  # one per version
+    for row in rows[keep:]:
+        remove_path(spark, f"{base}/metadata/{row['version']:012d}")
+        remove_path(spark, f"{base}/data/{row['folder']}")
+    return len(rows[keep:])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftframe.operators.selection import clean_sql, is_read_only, readonly_sql
-from siftframe.sources import cleaning, files, store
+from siftframe.sources import cleaning, files, scratch, store
 
 
 @pytest.fixture
@@ -114,6 +114,24 @@ def test_store_keeps_the_last_complete_version(spark, place):
     assert again.metadata.head()[:] == ("d", "seven.csv", 7) and again.columns == ["id"]
     with pytest.raises(ValueError):
         store.open_dataset(spark, root, "../d")
+    store.persist_dataset(spark.range(2), root, "d", "two.csv")
+    assert store.vacuum(spark, root, "d", keep=2) == 1
+    assert store.vacuum(spark, root, "d") == 1
+    assert store.open_dataset(spark, root, "d").filename == "two.csv"
+    # A version that another writer has taken already is not overwritten.
+    spark.range(1).write.parquet(f"{root}/d/metadata/000000000004")
+    with pytest.raises(Exception, match="(?i)exists"):
+        store.persist_dataset(spark.range(9), root, "d", "nine.csv")
+    with pytest.raises(ValueError):
+        store.vacuum(spark, root, "d", keep=0)
+
+
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_root", lambda _: str(tmp_path))
+    spark.range(1).write.parquet(scratch.scratch_path(spark, "x"))
+    assert len(list(tmp_path.glob("siftframe/*/x-*"))) == 1
+    scratch.clear_scratch(spark)
+    assert not list(tmp_path.glob("siftframe/*"))
 
 
 def test_read_only_guard(spark):
