@@ -272,6 +272,59 @@ def _(t):
     return out
 
 
+_PART_NUMBERS = ("p_partkey", "p_size", "p_retailprice")
+
+
+@query(
+    "profile_bundle_contents",
+    """SELECT 'overview' AS part, 'row_count' AS item, CAST(COUNT(*) AS DOUBLE) AS value FROM part
+       UNION ALL SELECT 'overview', 'duplicate_rows',
+         (SELECT COUNT(*) FROM part) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM part))
+       UNION ALL SELECT 'sample', CAST(p_partkey AS VARCHAR), p_retailprice
+         FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 20)"""
+    + "".join(
+        f""" UNION ALL SELECT 'columns', '{c}', COUNT(DISTINCT {c}) FROM part"""
+        for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    )
+    + "".join(
+        f""" UNION ALL SELECT 'categories', concat('{c}=', v), n FROM (
+              SELECT {c} AS v, COUNT(*) AS n, row_number() OVER (ORDER BY COUNT(*) DESC, {c}) AS place
+              FROM part GROUP BY 1)
+            WHERE place <= 15 AND (SELECT COUNT(DISTINCT {c}) FROM part) BETWEEN 2 AND 50"""
+        for c in ("p_name", "p_brand", "p_type")
+    )
+    + "".join(
+        f" UNION ALL SELECT 'histograms', '{c}', COUNT({c}) FROM part" for c in _PART_NUMBERS
+    )
+    + "".join(
+        f""" UNION ALL SELECT 'correlation', '{a},{b}', COALESCE(round(corr({a}, {b}), 3), 0) FROM part"""
+        for a in _PART_NUMBERS
+        for b in _PART_NUMBERS
+    ),
+)
+def _(t):
+    """The contents of the parts in long form."""
+    parts = profile_bundle(t.part, ["p_partkey"])
+    number = {c: F.col(c).cast("double") for c in ("row_count", "duplicate_rows")}
+
+    def rows(name, item, value, df=None):
+        df = parts[name] if df is None else df
+        return df.select(F.lit(name).alias("part"), item.alias("item"), value.cast("double").alias("value"))
+
+    bins = parts["histograms"].groupBy("column_name").agg(F.sum("count").alias("n"))
+    out = rows("overview", F.lit("row_count"), number["row_count"])
+    for more in (
+        rows("overview", F.lit("duplicate_rows"), number["duplicate_rows"]),
+        rows("sample", F.col("p_partkey").cast("string"), F.col("p_retailprice")),
+        rows("columns", F.col("column_name"), F.col("distinct_count")),
+        rows("categories", F.concat_ws("=", "column_name", "value"), F.col("count")),
+        rows("histograms", F.col("column_name"), F.col("n"), bins),
+        rows("correlation", F.concat_ws(",", "row", "column"), F.round("correlation", 3)),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
 # -- histograms --------------------------------------------------------------
 
 
