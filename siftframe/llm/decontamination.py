@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, WORD_PATTERN, _IN_WORD, encoded, sliced
+from .text import _IN_WORD, LOWER, release, text_parts, WORD_PATTERN
 
 WINDOW_WORDS = 13
 BLOCK_BYTES = 32 << 20
@@ -184,7 +184,7 @@ def _scanner(source):
         if not kept:
             kept.append(Matcher(source.value))
         for texts in batches:
-            rows = [r for part in sliced(encoded(texts)) for r in kept[0].search(part)]
+            rows = [r for part in text_parts(texts) for r in kept[0].search(part)]
             spans = [r[1] for r in rows]
             yield pa.StructArray.from_arrays(
                 [
@@ -196,6 +196,7 @@ def _scanner(source):
                 ],
                 names=["n_words", "n_hit", "items", "starts", "ends"],
             )
+        release()
 
     return scan.asNondeterministic()
 

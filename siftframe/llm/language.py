@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import cut_long, encoded, mix, sliced
+from .text import cut_long, encoded, mix, release, sliced, text_parts
 
 UNKNOWN = "und"
 TRAINING_DOCUMENTS = 20_000
@@ -173,6 +173,7 @@ def train(
                         [pa.array([lang] * len(codes)), pa.array(codes, pa.int64()), pa.array(times, pa.int64())],
                         names=["lang", "gram", "n"],
                     )
+        release()
 
     counted = (
         rows.select("lang", "text")
@@ -212,12 +213,13 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", into:
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             names, scores = [], []
-            for part in sliced(encoded(texts)):
+            for part in text_parts(texts):
                 some, shares = shared.value.predict(part)
                 names += some
                 scores += shares
             yield pa.StructArray.from_arrays(
                 [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
             )
+        release()
 
     return docs.withColumn(into, predict.asNondeterministic()(F.col(text_col)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, encoded, sliced, words_of
+from .text import release, text_parts, Words, words_of
 
 WORDS, BUCKETS, CLASSES = 4096, 1024, 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
@@ -150,11 +150,12 @@ def vocabulary_of(docs: DataFrame, text_col: str, words: int = WORDS, buckets: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [words_of(part).hashes() for part in sliced(encoded(batch.column(0)))]
+            found = [words_of(part).hashes() for part in text_parts(batch.column(0))]
             hashes, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"]
             )
+        release()
 
     counted = docs.select(text_col).mapInArrow(count, "word bigint, n bigint")
     counted = counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -195,7 +196,7 @@ def train(
             own, seen = begin.value.unflat(begin.value.flat()), 0
             sums = [np.zeros(p.shape, np.float32) for p in own.parts]
             for batch in batches:
-                for part in sliced(encoded(batch.column(0))):
+                for part in text_parts(batch.column(0)):
                     words = words_of(part)
                     ids = known.value.ids(words.hashes())
                     row, place = _laid_out(words, ids, known.value.none)
@@ -253,7 +254,7 @@ def score(
     def likelihood(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             counts, sums = [], []
-            for part in sliced(encoded(texts)):
+            for part in text_parts(texts):
                 n, s = score_texts(*model.value, part)
                 counts += n.tolist()
                 sums += np.round(s, 4).tolist()
@@ -262,5 +263,6 @@ def score(
                 [pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())],
                 names=["n_words", "log_likelihood", "mean_log_likelihood"],
             )
+        release()
 
     return docs.withColumn(into, likelihood.asNondeterministic()(F.col(text_col)))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
-from .text import encoded, shingle_hashes, sliced, words_of
+from .text import encoded, release, shingle_hashes, sliced, text_parts, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -77,15 +77,17 @@ def _fingerprint(size: int):
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             keys, sizes, marks = [], [], []
-            for shingles in shingle_sets(encoded(texts), size):
-                full = len(shingles) > 0
-                keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if full else None)
-                sizes.append(len(shingles))
-                marks.append(least_hashes(shingles).tobytes() if full else None)
+            for part in text_parts(texts):
+                for shingles in shingle_sets(part, size):
+                    full = len(shingles) > 0
+                    keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if full else None)
+                    sizes.append(len(shingles))
+                    marks.append(least_hashes(shingles).tobytes() if full else None)
             yield pa.StructArray.from_arrays(
                 [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary())],
                 names=["key", "size", "marks"],
             )
+        release()
 
     return fingerprint.asNondeterministic()
 
@@ -184,6 +186,7 @@ def _per_group(rows: DataFrame, f, schema: str) -> DataFrame:
                 yield from pa.concat_tables(done).to_batches()
         if open_group is not None and len(open_group):
             yield from f(open_group).to_batches()
+        release()
 
     return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(apply, schema)
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import release
+
 # The patterns that always count, with the least length of what must be long.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -202,6 +204,7 @@ def find_secrets(
                 for t in texts.to_pylist()
             ]
             yield pa.array(rows, pa.list_(kind))
+        release()
 
     return docs.withColumn(into, scan.asNondeterministic()(F.col(text_col)))
 

@@ -7,11 +7,13 @@ Arrow batches are cut into words without a Python loop over them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,6 +65,28 @@ def sliced(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[list[bytes]]
         yield part
 
 
+def text_parts(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The texts of an Arrow batch as ``encoded`` and ``sliced`` give them, without holding
+    all of them a second time."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > at and total + n > most:
+            yield encoded(texts.slice(at, i - at))
+            at, total = i, 0
+        total += n
+    if at < len(texts):
+        yield encoded(texts.slice(at))
+
+
+def release() -> None:
+    """Give freed memory back to the system, as workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @dataclass
 class Words:
     """Words of some texts: word ``i`` is ``data[starts[i]:ends[i]]``, lower-cased;
