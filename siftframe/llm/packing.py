@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import open_tokenizer
+from .chunks import SLICE_BYTES, open_tokenizer
 from .storage import stored
-from .text import encoded, sliced
+from .text import release, text_parts
 
 CAPACITY = 2048
 ROUNDS = 100
@@ -55,7 +55,7 @@ def pieces(
         tok = open_tokenizer(tokenizer)
         for texts in batches:
             rows = []
-            for part in sliced(encoded(texts)):
+            for part in text_parts(texts, SLICE_BYTES):
                 ids, first = tok.encode(part)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     own = np.append(ids[a:b], 0).astype("<u4")
@@ -73,6 +73,7 @@ def pieces(
                         )
                     rows.append(out)
             yield pa.array(rows, kind)
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), cut.asNondeterministic()(F.col(text_col)).alias("pieces"))
     rows = rows.select("id", F.explode("pieces").alias("p")).select("id", "p.*")

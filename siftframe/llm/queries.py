@@ -262,5 +262,5 @@ def op9_training_order(spark: SparkSession, folder: str) -> DataFrame:
         "shard",
         "offset",
         F.size("ids").cast("bigint").alias("n_tokens"),
-        F.crc32(F.array_join("ids", " ")).alias("ids_crc32"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
     )

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
 from .archives import _open
-from .chunks import open_tokenizer
-from .text import encoded, mix, sliced
+from .chunks import SLICE_BYTES, open_tokenizer
+from .text import mix, release, text_parts
 
 SEQ_LEN = 512
 SHARD_ROWS = 32_768
@@ -96,8 +96,8 @@ _MANIFEST = "shard bigint, path string, first_slot bigint, records bigint, strid
 
 def _sequences(batch: pa.RecordBatch, tok, layout: Layout) -> Iterator[tuple[list, list[bytes], np.ndarray, np.ndarray]]:
     """(ids, texts, token counts with the end, sequence counts) of some documents at a time."""
-    ids, texts, at = batch.column(0).to_pylist(), encoded(batch.column(1)), 0
-    for part in sliced(texts):
+    ids, at = batch.column(0).to_pylist(), 0
+    for part in text_parts(batch.column(1), SLICE_BYTES):
         tokens = tok.counts(part) + 1
         yield ids[at : at + len(part)], part, tokens, -(-tokens // layout.seq_len)
         at += len(part)
@@ -137,6 +137,7 @@ def write_shards(
                 total, check = total + int(n.sum()), zlib.crc32(n.astype("<i8").tobytes(), check)
         columns = [pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), total, check)]
         yield pa.RecordBatch.from_arrays(columns, names=["task", "n", "check"])
+        release()
 
     counts = sorted(rows.mapInArrow(count, "task bigint, n bigint, check bigint").collect())  # a row per task
     first, total = {}, 0
@@ -145,6 +146,7 @@ def write_shards(
         total += n
     begin = spark.sparkContext.broadcast(first)
     order = Permutation(max(1, total), key)
+    stride, size = layout.record.itemsize, order.size
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = open_tokenizer(tokenizer)
@@ -159,27 +161,27 @@ def write_shards(
                 out["doc_id"] = np.array([NO_ID if i is None else i for i in ids], np.int64)[owner]
                 out["piece"] = piece
                 out["length"] = np.minimum(tokens[owner] - piece * seq_len, seq_len)
-                out["ids"] = end_id
-                # Every token's row and column among the records of these documents.
-                doc = np.repeat(np.arange(len(texts)), tokens - 1)
-                at = np.arange(len(flat)) - place[doc]
-                row = (np.cumsum(n) - n)[doc] + at // seq_len
-                out["ids"][row, at % seq_len] = flat
+                # The rows of a document follow each other, so its tokens do in the flat table.
+                padded = np.full(len(owner) * seq_len, end_id, layout.token)
+                shift = (np.cumsum(n) - n) * seq_len - place[:-1]
+                padded[np.repeat(shift, tokens - 1) + np.arange(len(flat))] = flat
+                out["ids"] = padded.reshape(-1, seq_len)
                 slots = order.slot(number + seen + np.arange(len(owner)))
                 seen, checked = seen + len(owner), zlib.crc32(n.astype("<i8").tobytes(), checked)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(slots // shard_rows),
                         pa.array(slots),
-                        pa.array([r.tobytes() for r in out], pa.binary()),
+                        pa.FixedSizeBinaryArray.from_buffers(
+                            pa.binary(stride), len(out), [None, pa.py_buffer(out.tobytes())]
+                        ).cast(pa.binary()),
                     ],
                     names=["shard", "slot", "record"],
                 )
+        release()
         if (seen, checked) != (expected, check):
             raise RuntimeError("the documents were not scanned in the same way twice")
 
-    stride, size = layout.record.itemsize, order.size
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, path, shard, slot, check = None, "", -1, 0, 0
         for batch in batches:
@@ -236,7 +238,11 @@ def read_shards(manifest: DataFrame, layout: Layout, first_slot: int = 0) -> Dat
                 at = max(0, first_slot - first)
                 for records in read_from(path, at, layout):
                     place = np.arange(at, at + len(records))
-                    ids = [r[:n].astype(np.int32) for r, n in zip(records["ids"], records["length"], strict=True)]
+                    length = records["length"]
+                    ids = pa.ListArray.from_arrays(
+                        np.concatenate([[0], np.cumsum(length)]).astype(np.int32),
+                        pa.array(records["ids"][np.arange(layout.seq_len) < length[:, None]].astype(np.int32)),
+                    )
                     docs = [None if i == NO_ID else i for i in records["doc_id"].tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -245,7 +251,7 @@ def read_shards(manifest: DataFrame, layout: Layout, first_slot: int = 0) -> Dat
                             pa.array(place * layout.record.itemsize),
                             pa.array(docs, pa.int64()),
                             pa.array(np.ascontiguousarray(records["piece"])),
-                            pa.array(ids, pa.list_(pa.int32())),
+                            ids,
                         ],
                         names=["slot", "shard", "offset", "doc_id", "piece", "ids"],
                     )
