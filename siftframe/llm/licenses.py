@@ -77,6 +77,7 @@ def find_licenses(
     templates: list[tuple[str, str]] | None = None,
     threshold: float = THRESHOLD,
     into: str = "licenses",
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with a column ``into``: {n_words, n_base, first_word, last_word, base_labels, labels, score}.
 
@@ -86,8 +87,9 @@ def find_licenses(
     matched templates, both sorted. ``score`` is the largest share of a
     template's words found in a block of those that match, 1 for a phrase, 0
     without either. Null texts are empty; texts without words match nothing.
-    Repeated rows stay separate. Other columns are kept, whatever their names,
-    but must be of types that Spark can group by; one named ``into`` is replaced.
+    Repeated rows stay separate. The columns named in ``keep`` (default: all) are
+    kept, whatever their names; one named ``into`` is replaced. What is kept goes
+    through the one shuffle that brings a text's blocks together again.
     """
     templates = TEMPLATES if templates is None else templates
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
@@ -109,7 +111,7 @@ def find_licenses(
     prefixes = F.array(*(F.lit(w) for w in sorted({r[0] for r in rows})))
     ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
 
-    others = [c for c in docs.columns if c != into]
+    others = [c for c in (docs.columns if keep is None else keep) if c != into]
     words = F.coalesce(words_column(F.col(text_col)), F.array().cast("array<string>"))
     kept = docs.select(F.struct(*others).alias("kept"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
     none = F.array().cast("array<struct<start:bigint,label:string>>")

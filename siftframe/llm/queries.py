@@ -226,7 +226,7 @@ def _licenses_sql() -> str:
 @query(_licenses_sql())
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and notices in every document."""
-    found = licenses.find_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    found = licenses.find_licenses(table(spark, folder, "documents"), keep=["doc_id"])
     joined = {n: F.array_join(f"licenses.{n}", ",").alias(n) for n in ("base_labels", "labels")}
     plain = ("n_words", "n_base", "first_word", "last_word")
     return found.select("doc_id", *(f"licenses.{n}" for n in plain), *joined.values(), "licenses.score")
