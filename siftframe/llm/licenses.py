@@ -34,9 +34,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "it under the terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", "under the terms of the gnu lesser general public license"),
-    ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),

@@ -7,7 +7,7 @@ WANT = {
     50: (1, 3, 3, ["mit"], ["mit"], 1.0),
     51: (2, 0, 2, ["apache", "gpl"], ["apache", "gpl"], 1.0),
     52: (0, None, None, [], ["cc-by-nc"], 1.0),
-    53: (0, None, None, [], ["bsd"], 12 / 14),
+    53: (0, None, None, [], ["bsd"], 11 / 13),
     54: (0, None, None, [], [], 0.0),
     55: (3, 0, 4, ["mit"], ["mit"], 1.0),
 }
