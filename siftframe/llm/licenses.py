@@ -10,7 +10,10 @@ the whole corpus, rarest first. With ``a`` words needed of ``t``:
 * *length*: the block has at least ``a`` different words of any template;
 * *position*: from the first common word on, both have enough words left.
 
-What passes is compared exactly. Only built-in functions are used.
+What passes is compared exactly. A short set of words does not tell a notice from
+its siblings, so a match also needs the template's own *mark* in the block: a word
+of its name, with what stands before and behind it. Only built-in functions are
+used.
 """
 
 from __future__ import annotations
@@ -39,6 +42,35 @@ TEMPLATES: list[tuple[str, str]] = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+# Siblings of a template above that differ from it by a word or two.
+SIBLINGS: list[tuple[str, str]] = [
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-nd", "licensed under cc by nd 4 0"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0"),
+]
+_KINDS = ["nc", "sa", "nd"]
+_OTHER_GPL = ["lesser", "library", "affero"]
+#: (mark, word, conditions on the words at a distance from it: one of, or none of if false)
+MARKS: list[tuple[str, str, list[tuple[int, list[str], bool]]]] = [
+    ("mit", "mit", [(-1, ["the", "under"], True)]),  # a common word of German
+    ("mit", "mit", [(1, ["license"], True)]),
+    ("apache", "apache", []),
+    ("lgpl", "lesser", []),
+    ("mpl", "mozilla", []),
+    ("other gpl", "public", [(-2, _OTHER_GPL, True)]),
+    ("other gpl", "public", [(-1, _OTHER_GPL, True)]),
+    ("gpl", "public", []),
+    ("cc-by", "by", [(-1, ["cc", "commons"], True), (1, _KINDS, False)]),
+    ("cc-by-sa", "by", [(1, ["sa"], True)]),
+    ("cc-by-nd", "by", [(1, ["nd"], True)]),
+    ("cc-by-nc-sa", "by", [(1, ["nc"], True), (2, ["sa"], True)]),
+    ("cc-by-nc-nd", "by", [(1, ["nc"], True), (2, ["nd"], True)]),
+    ("cc-by-nc", "by", [(1, ["nc"], True)]),
+]
+#: A template with its label's mark only in other words matches unless this is there and the mark is not.
+UNLESS = {"gpl": "other gpl"}
 #: (label, words before, last word): where these stand in a row is a place of the label.
 PHRASES = [
     ("mit", ["mit"], "license"),
@@ -63,6 +95,23 @@ def _places(words: Column) -> Column:
     return F.filter(F.transform(words, place), lambda p: p.isNotNull())
 
 
+def _mark(words: Column, i: Column) -> Column:
+    """The first of ``MARKS`` that stands at place ``i`` (from 0), or null."""
+    out = F.lit(None).cast("string")
+    for mark, word, around in reversed(MARKS):
+        here = F.get(words, i) == word
+        for apart, some, wanted in around:
+            inside = F.coalesce(F.get(words, i + apart).isin(some), F.lit(False))
+            here = here & (inside if wanted else ~inside)
+        out = F.when(here, mark).otherwise(out)
+    return F.when(F.get(words, i).isin(sorted({m[1] for m in MARKS})), out)
+
+
+def _own_mark(label: str, words: list[str]) -> str | None:
+    """The mark that a match with a template needs: its label's, if the template has such a word."""
+    return label if any(m == label and w in words for m, w, _ in MARKS) else None
+
+
 def word_counts(docs: DataFrame, text_col: str, words: list[str]) -> dict[str, int]:
     """How often each of ``words`` occurs in all texts."""
     rows = docs.select(F.explode(words_column(F.col(text_col))).alias("word")).where(F.col("word").isin(words))
@@ -89,7 +138,7 @@ def find_licenses(
     kept, whatever their names; one named ``into`` is replaced. What is kept goes
     through the one shuffle that brings a text's blocks together again.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES + SIBLINGS if templates is None else templates
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
     if too_long := [label for label, text in templates if len(text.split()) > BLOCK - STEP + 1]:
         raise ValueError(f"templates over {BLOCK - STEP + 1} words: {too_long}")
@@ -102,9 +151,11 @@ def find_licenses(
         words = sorted(words, key=rank.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
         prefix = words[: len(words) - need + 1]
-        rows += [(w, k, label, need, [rank[x] for x in words]) for k, w in enumerate(prefix)]
+        mark = _own_mark(label, words)
+        unless = UNLESS.get(mark)
+        rows += [(w, k, label, need, [rank[x] for x in words], mark, unless) for k, w in enumerate(prefix)]
     index = docs.sparkSession.createDataFrame(
-        rows, "token string, at int, label string, need int, template array<int>"
+        rows, "token string, at int, label string, need int, template array<int>, mark string, unless string"
     )
     prefixes = F.array(*(F.lit(w) for w in sorted({r[0] for r in rows})))
     ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
@@ -115,9 +166,14 @@ def find_licenses(
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     places = F.when(F.array_contains("words", "license"), _places(F.col("words"))).otherwise(none)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - STEP, F.lit(1)), F.lit(STEP))
-    blocks = F.filter(
-        F.transform(starts, lambda s: F.array_distinct(F.slice("words", s, BLOCK))),
-        lambda b: F.arrays_overlap(b, prefixes),
+    near = F.filter(starts, lambda s: F.arrays_overlap(F.slice("words", s, BLOCK), prefixes))
+
+    def marks(s: Column) -> Column:
+        places = F.sequence(s - 1, F.least(s + BLOCK - 1, F.size("words")) - 1)
+        return F.array_distinct(F.filter(F.transform(places, lambda i: _mark(F.col("words"), i)), lambda m: m.isNotNull()))
+
+    blocks = F.transform(
+        near, lambda s: F.struct(F.array_distinct(F.slice("words", s, BLOCK)).alias("words"), marks(s).alias("marks"))
     )
     scanned = kept.select(
         "kept",
@@ -127,7 +183,8 @@ def find_licenses(
         F.when(F.arrays_overlap("words", prefixes), blocks).alias("blocks"),
     )
     # A block as the sorted ranks of its words that any template has, exploded by prefix word.
-    block = scanned.withColumn("block", F.explode_outer("blocks")).drop("blocks")
+    block = scanned.withColumn("found", F.explode_outer("blocks")).drop("blocks")
+    block = block.withColumns({"block": F.col("found.words"), "marks": F.col("found.marks")}).drop("found")
     block = block.withColumn("token", F.explode_outer(F.array_intersect("block", prefixes)))
     own = F.array_sort(F.filter(F.transform("block", lambda w: ranks[w]), lambda x: x.isNotNull()))
     block = block.withColumn("block", F.when(F.col("token").isNotNull(), own))
@@ -137,7 +194,10 @@ def find_licenses(
     left = F.least(F.size("template") - F.col("at"), F.size("block") - here)
     passes = (F.size("block") >= F.col("need")) & (left >= F.col("need"))
     first = F.get(common, F.lit(0)) == ranks[F.col("token")]  # a pair counts at its first common word
-    share = F.when(passes & first & (F.size(common) >= F.col("need")), F.size(common) / F.size("template"))
+    own_mark = F.col("mark").isNull() | F.array_contains("marks", F.col("mark"))
+    own_mark = own_mark | (F.col("unless").isNotNull() & ~F.array_contains("marks", F.col("unless")))
+    enough = passes & first & (F.size(common) >= F.col("need"))
+    share = F.when(enough & own_mark, F.size(common) / F.size("template"))
     matched = joined.select("row", "kept", "n_words", "places", "label", share.alias("share"))
     grouped = matched.groupBy("row").agg(
         F.first("kept").alias("kept"),

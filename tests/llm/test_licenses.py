@@ -45,3 +45,32 @@ def test_no_python_in_the_plan(docs_of):
 def test_long_templates_are_refused(docs_of):
     with pytest.raises(ValueError, match="long"):
         licenses.find_licenses(docs_of(ROWS), templates=[("long", "word " * 26)])
+
+
+SIBLINGS = [
+    ("Licensed under CC BY 4.0.", ["cc-by"]),
+    ("Licensed under CC BY-SA 4.0.", ["cc-by-sa"]),
+    ("Licensed under CC BY-NC 4.0 by Jane", ["cc-by-nc"]),
+    ("Licensed under CC BY-NC-SA 4.0", ["cc-by-nc-sa"]),
+    ("Licensed under CC BY-ND 4.0", ["cc-by-nd"]),
+    ("Licensed under CC BY-NC-ND 3.0", ["cc-by-nc-nd"]),
+    ("Licensed under CC BY 4.0, the pictures under CC BY-NC 4.0", ["cc-by", "cc-by-nc"]),
+    ("under the terms of the GNU General Public License", ["gpl"]),
+    ("under the terms of the GNU Lesser General Public License", ["gpl", "lgpl"]),  # the phrase gives gpl
+    ("it under the terms of the GNU Lesser Public License as published by the Free Software Foundation", ["lgpl"]),
+    ("it under the terms of the GNU Public License as published by the Free Software Foundation", ["gpl"]),
+    ("released under the BSD license", []),
+    ("released under the new trade license", []),
+    ("released under the Apache License", ["apache"]),
+    ("This work is licensed under the GNU General Public License, version 3. Die tzente in mit.", ["gpl"]),
+    ("released under the MIT or the Apache License", ["apache", "mit"]),
+    ("licensed under the Mozilla Public License version 2.0", []),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mpl"]),
+    ("This Source Code Form is subject to the terms of the Trade Public License, v. 2.0", []),
+]
+
+
+def test_siblings_are_told_apart(docs_of):
+    out = licenses.find_licenses(docs_of([(i, t) for i, (t, _) in enumerate(SIBLINGS)])).collect()
+    have = {SIBLINGS[r["doc_id"]][0]: r["licenses"]["labels"] for r in out}
+    assert have == dict(SIBLINGS)
