@@ -12,10 +12,12 @@ substrings, so probing those buckets retrieves every code within the radius; the
 are checked in full and reranked by the inner product of the original vectors.
 The radius is learned from the sample; a block with too few codes inside is
 probed again with a larger one. Equal vectors are one entry with its least ids.
+An id may occur many times: every cut keeps k rows whichever id asks.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,22 +123,44 @@ class MultiIndex:
         return rows[apart <= radius]
 
 
+def _best(scores: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int) -> tuple[list[tuple[float, int]], bool]:
+    """The best (-score, id), so many that ``k`` are left without any one id; and whether there are so many.
+
+    An id is taken ``k`` times at most, as no query needs more of it, so these are up to ``2 * k``.
+    """
+    most = k + 1
+    while True:
+        some, own = rows, scores
+        if len(rows) > most:
+            least = np.partition(scores, len(rows) - most)[len(rows) - most]
+            some, own = rows[scores >= least], scores[scores >= least]
+        kept, times, highest = [], Counter(), 0
+        for minus, i in sorted((-s, i) for r, s in zip(some.tolist(), own.tolist(), strict=True) for i in ids[r]):
+            if times[i] < k:
+                times[i] += 1
+                highest = max(highest, times[i])
+                kept.append((minus, i))
+                if len(kept) - highest >= k:
+                    return kept, True
+        if len(rows) <= most:
+            return kept, False
+        most *= 4
+
+
 def _search(coder: Coder, vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray, codes: np.ndarray, k: int):
-    """For each query the ``k`` best (score, id) of a block."""
+    """For each query the best (-score, id) of a block, ``k`` without any one id."""
     index = MultiIndex(coder.codes(vectors))
     bits = 16 * codes.shape[1]
     for n, (query, code) in enumerate(zip(queries, codes, strict=True)):
         radius = coder.radius
-        rows = index.within(code, radius)
-        while len(rows) < min(k, len(vectors)) and radius < bits:
+        while True:
+            rows, best, enough = index.within(code, radius), [], False
+            if radius >= bits or len(rows) >= min(k + 1, len(vectors)):
+                best, enough = _best(vectors[rows] @ query, rows, ids, k)
+            if enough or radius >= bits or len(rows) == len(vectors):
+                break
             radius = min(bits, radius + max(2, bits // 32))
-            rows = index.within(code, radius)
-        scores = vectors[rows] @ query
-        if len(rows) > k:
-            least = np.partition(scores, len(rows) - k)[len(rows) - k]
-            rows, scores = rows[scores >= least], scores[scores >= least]
-        best = [(-s, i) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for i in ids[r]]
-        yield n, sorted(best)[:k]
+        yield n, best
 
 
 def valid(rows: DataFrame, vec_col: str) -> DataFrame:
@@ -185,11 +209,14 @@ def nearest(
         return spark.createDataFrame([], _RESULT)
     rows = rows.where(F.size("vec") == usual["size"])
 
+    # k + 1 ids of a vector, each k times at most, leave k without any one of them.
     by_vector = Window.partitionBy("vec").orderBy("id")
-    least = rows.select("vec", "id").withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
+    least = rows.groupBy("vec", "id").agg(F.count(F.lit(1)).alias("times"))
+    least = least.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
+    copies = F.array_repeat("id", F.least("times", F.lit(k)).cast("int"))
     blocks = max(spark.sparkContext.defaultParallelism, -(-usual["n"] // BLOCK_ROWS))
     entries = stored(
-        least.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).repartition(blocks), "neighbour-entries"
+        least.groupBy("vec").agg(F.sort_array(F.flatten(F.collect_list(copies))).alias("ids")).repartition(blocks), "neighbour-entries"
     )
     different = entries.count()
     part = F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
@@ -206,10 +233,14 @@ def nearest(
     for g in range(groups):  # the query set in blocks, each against all rows
         some = different_asked.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == g).collect()
         block = ([r["key"] for r in some], np.array([r["vec"] for r in some]).reshape(len(some), usual["size"]))
-        pairs = _against(entries, spark.sparkContext.broadcast(block), coder, k + 1)
+        pairs = _against(entries, spark.sparkContext.broadcast(block), coder, k)
         found = pairs if found is None else found.unionAll(pairs)
-    order = Window.partitionBy("key").orderBy("minus", "vec_id")
-    top = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    # The same over all blocks: a row counts while fewer than k before it are left without some id.
+    of_id = Window.partitionBy("key", "vec_id").orderBy("minus")
+    order = Window.partitionBy("key").orderBy("minus", "vec_id", "times")
+    before = F.coalesce(F.max("times").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = found.repartition("key").withColumn("times", F.row_number().over(of_id)).where(F.col("times") <= k)
+    top = top.select("*", F.row_number().over(order).alias("n"), before.alias("before")).where(F.col("n") - 1 - F.col("before") < k)
     top = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("minus", "vec_id"))).alias("best"))
     answered = asked.select("id", "key").join(top, "key")
     own = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("id")), 1, k)
@@ -222,7 +253,7 @@ def nearest(
 
 
 def _against(entries: DataFrame, block, coder: Coder, k: int) -> DataFrame:
-    """(key, minus, vec_id): the ``k`` best of each block of entries for each query."""
+    """(key, minus, vec_id): the best of each block of entries for each query, ``k`` without any one id."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, queries = block.value

@@ -76,6 +76,26 @@ def test_awkward_rows(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_repeated_query_rows(spark, alike):
+    """Rows with the id of the query take no places of others, be their vectors equal or only close."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).round(3).tolist(), 0) for i in range(3, 203)]
+    for q, times in ((1, 2), (2, 30)):
+        own = (10 * rng.normal(size=8)).round(3)
+        rows += [(q, (own if alike else own + 0.001 * n).tolist(), 0) for n in range(times)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    out = neighbours.nearest(df, F.col("vec_id") < 3).collect()
+    for q, times in ((1, 2), (2, 30)):
+        assert sorted(r["rank"] for r in out if r["query_id"] == q) == sorted(list(range(1, 21)) * times)
+        assert all(r["vec_id"] != q for r in out if r["query_id"] == q)
+    own = np.array(next(v for i, v, _ in rows if i == 2))
+    if alike:
+        want = [i for _, i in sorted((-float(own @ np.array(v)), i) for i, v, _ in rows if i != 2)[:20]]
+        have = {r["rank"]: r["vec_id"] for r in out if r["query_id"] == 2}
+        assert len(set(have.values()) & set(want)) >= 18
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 2**16, (400, 4)).astype(np.uint16)
