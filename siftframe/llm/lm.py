@@ -14,6 +14,7 @@ groups, and the next round starts from the average.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
 from .text import release, text_parts, Words, words_of
 
-WORDS, BUCKETS, CLASSES = 4096, 1024, 64
+WORDS, CLASSES = 4096, 64  # the least number of words with an id; there is a bucket for every four
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-TRAIN_EVERY, ROUNDS, RATE, BATCH = 8, 2, 0.05, 1024
+TRAIN_EVERY, ROUNDS, RATE, BATCH = 2, 2, 0.05, 1024
 _GROUP = 32
 
 
@@ -131,6 +133,11 @@ def _laid_out(words: Words, ids: np.ndarray, none: int) -> tuple[np.ndarray, np.
 _AROUND = np.array([d for d in range(-SIDE, SIDE + 1) if d])
 
 
+def _chosen(words: Words, k: int, every: int) -> np.ndarray:
+    """The tokens whose position in their text is ``k`` modulo ``every``."""
+    return np.flatnonzero((np.arange(words.first[-1]) - np.repeat(words.first[:-1], words.counts)) % every == k % every)
+
+
 def score_texts(network: Network, vocabulary: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Number of words and sum of log-probabilities of each text."""
     words = words_of(texts)
@@ -145,8 +152,10 @@ def score_texts(network: Network, vocabulary: Vocabulary, texts: list[bytes]) ->
     return words.counts, sums[words.first[1:]] - sums[words.first[:-1]]
 
 
-def vocabulary_of(docs: DataFrame, text_col: str, words: int = WORDS, buckets: int = BUCKETS, classes: int = CLASSES) -> Vocabulary:
-    """Counted over all words of all texts."""
+def vocabulary_of(
+    docs: DataFrame, text_col: str, words: int | None = None, buckets: int | None = None, classes: int = CLASSES
+) -> Vocabulary:
+    """Counted over all words of all texts; ``words`` is their root by default, ``buckets`` a quarter of it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +167,11 @@ def vocabulary_of(docs: DataFrame, text_col: str, words: int = WORDS, buckets: i
         release()
 
     counted = docs.select(text_col).mapInArrow(count, "word bigint, n bigint")
-    counted = counted.groupBy("word").agg(F.sum("n").alias("n"))
+    counted = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    if words is None:
+        words = max(WORDS, math.isqrt(counted.agg(F.sum("n")).head()[0] or 0))
+    if buckets is None:
+        buckets = max(1, words // 4)
     top = counted.orderBy(F.desc("n"), "word").limit(words)
     frequent = top.collect()  # ``words`` rows
     # The same bucket as Vocabulary.ids: the hash, unsigned, modulo the number of buckets.
@@ -184,7 +197,12 @@ def train(
     every: int = TRAIN_EVERY,
     rate: float = RATE,
 ) -> Network:
-    """Train on all documents; without words the network stays as it begins."""
+    """Train on all positions of all documents; without words the network stays as it begins.
+
+    ``rounds`` must be a multiple of ``every``, or some positions would be hidden less often than others.
+    """
+    if every < 1 or rounds % every:
+        raise ValueError(f"{rounds} rounds do not cover {every} residues of positions equally")
     spark = docs.sparkSession
     network = Network.fresh(vocabulary.none + 1, classes)
     known = spark.sparkContext.broadcast(vocabulary)
@@ -200,7 +218,7 @@ def train(
                     words = words_of(part)
                     ids = known.value.ids(words.hashes())
                     row, place = _laid_out(words, ids, known.value.none)
-                    chosen = np.arange(k % every, len(ids), every)
+                    chosen = _chosen(words, k, every)
                     for a in range(0, len(chosen), BATCH):
                         some = chosen[a : a + BATCH]
                         own.step(row[place[some, None] + _AROUND], known.value.group[ids[some]], sums, rate)
@@ -210,10 +228,10 @@ def train(
 
         trained = docs.select(text_col).mapInArrow(fit, "sums binary, n bigint")
         parts = docs.sparkSession.sparkContext.defaultParallelism * _GROUP
-        while parts > _GROUP:
+        while parts > 1:
             parts = -(-parts // _GROUP)
             trained = trained.repartition(parts).mapInArrow(_added, "sums binary, n bigint")
-        rows = trained.collect()  # at most _GROUP rows of the size of the network
+        rows = trained.collect()  # one row of the size of the network
         if not rows:
             break
         total = sum(np.frombuffer(r["sums"]) for r in rows)

@@ -69,3 +69,24 @@ def test_empty_tables(docs_of):
     network = lm.train(docs, "text", vocabulary)
     assert lm.score(docs, network, vocabulary).count() == 0
     assert lm.score(docs_of([(1, "a b")]), network, vocabulary).head()["lm"]["n_words"] == 2
+
+
+def test_every_position_is_a_target_in_production(docs_of):
+    texts = [b"one", b"one two three four five six seven", b"", b"a b " * 50]
+    words = words_of(texts)
+    chosen = [lm._chosen(words, k, lm.TRAIN_EVERY) for k in range(lm.ROUNDS)]
+    assert sorted(np.concatenate(chosen).tolist()) == sorted(list(range(108)) * (lm.ROUNDS // lm.TRAIN_EVERY))
+    docs = docs_of([(1, "red fox")])
+    vocabulary = lm.vocabulary_of(docs, "text")
+    begin, network = lm.Network.fresh(vocabulary.none + 1, lm.CLASSES), lm.train(docs, "text", vocabulary)
+    for w in vocabulary.ids(words_of([b"red fox"]).hashes()):
+        assert (begin.parts[0][w] != network.parts[0][w]).any()  # each is context of the other
+    with pytest.raises(ValueError, match="residues"):
+        lm.train(docs, "text", vocabulary, every=8)
+
+
+def test_vocabulary_grows_with_the_corpus(docs_of, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS", 4)
+    few = lm.vocabulary_of(docs_of([(1, "a b c d e f g h")]), "text")
+    many = lm.vocabulary_of(docs_of([(i, " ".join(f"w{j}" for j in range(40))) for i in range(10)]), "text")
+    assert (few.words, many.words, many.buckets) == (4, 20, 5)
