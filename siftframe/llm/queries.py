@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
-from . import archives, decontamination, language, licenses, lm, near, neighbours, packing, secrets, shards
+from . import (
+    archives,
+    decontamination,
+    divergence,
+    language,
+    licenses,
+    lm,
+    near,
+    neighbours,
+    packing,
+    periods,
+    search,
+    secrets,
+    shards,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -264,3 +278,148 @@ def op9_training_order(spark: SparkSession, folder: str) -> DataFrame:
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.xxhash64("ids").alias("ids_xxhash64"),
     )
+
+
+@query(
+    """
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id, e FROM (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+    s AS (
+      SELECT q.r, q.vec_id AS query_id, c.vec_id,
+             CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT)
+               AS score
+      FROM v q JOIN v c ON c.r <> q.r WHERE q.vec_id % 50 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+    WHERE rank <= 5
+"""
+)
+def op11_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 rows of largest inner product for every fiftieth vector."""
+    rows = table(spark, folder, "embeddings")
+    return search.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+@query(
+    r"""
+    WITH doc AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    word AS (SELECT r, lang, source, unnest(w) AS term FROM doc),
+    kept AS (SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+    size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    many AS (SELECT lang, source, term, count(*) AS c FROM word JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    grp AS (SELECT DISTINCT lang, source FROM doc),
+    total AS (
+      SELECT lang, source, coalesce(sum(c), 0) AS n FROM grp LEFT JOIN many USING (lang, source) GROUP BY lang, source),
+    share AS (
+      SELECT lang, source, term, coalesce(c, 0) AS c,
+             CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 5)) // (n + 5 * v) AS BIGINT) AS p
+      FROM total JOIN size USING (lang) JOIN kept USING (lang) LEFT JOIN many USING (lang, source, term)),
+    whole AS (
+      SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (sum(c) + 5)) // (any_value(n) + 5 * any_value(v)) AS BIGINT) AS q
+      FROM share JOIN (SELECT lang, sum(n) AS n FROM total GROUP BY lang) USING (lang) JOIN size USING (lang)
+      GROUP BY lang, term),
+    pair AS (
+      SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+      FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN (SELECT s.lang, s.source, o.source AS item, sum(abs(s.p - o.p)) AS value
+                 FROM share s JOIN share o ON s.lang = o.lang AND s.term = o.term AND s.source <> o.source
+                 GROUP BY s.lang, s.source, o.source) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+    found AS (
+      SELECT lang, source, 'pair' AS part, item, value FROM pair
+      UNION ALL
+      SELECT lang, source, 'term', term, p - q FROM share JOIN whole USING (lang, term) WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM found)
+    WHERE part = 'pair' OR rank <= 50
+"""
+)
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of each language are apart, and the terms that mark them."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents, of every tenth (by the checksum of its id) the words from some place on
+    replaced by a repeated passage. Built-in functions only; a null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0).alias("w"), h.alias("h"))
+    words = words.withColumn("n", F.size("w").cast("bigint")).withColumn("g", F.floor(F.col("h") / 10))
+    words = words.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    words = words.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))))
+    a, p, n = (F.col(c).cast("int") for c in ("a", "p", "n"))
+    passage = F.slice("w", a + 1, p)
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    changed = F.slice(F.concat(F.slice("w", F.lit(1), a), F.flatten(F.array_repeat(passage, times))), F.lit(1), n)
+    text = F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(changed, " ")).otherwise(F.col("text"))
+    return words.select("doc_id", text.alias("text"))
+
+
+@query(
+    r"""
+    WITH doc AS (
+      SELECT row_number() OVER () AS r, doc_id,
+             coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w0,
+             list_reduce(
+               list_prepend(CAST(4294967295 AS BIGINT),
+                            list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+               lambda x, c: list_reduce(
+                 list_prepend(xor(x, c), CAST(range(8) AS BIGINT[])),
+                 lambda y, i: xor(y >> 1, (y & 1) * CAST(3988292384 AS BIGINT)))) AS crc
+      FROM documents),
+    planted AS (
+      SELECT r, doc_id, w0, len(w0) AS n, xor(crc, CAST(4294967295 AS BIGINT)) AS h,
+             xor(crc, CAST(4294967295 AS BIGINT)) // 10 AS g FROM doc),
+    place AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM planted),
+    full_doc AS (
+      SELECT r, doc_id, n,
+             CASE WHEN h % 10 = 0 AND n > 0
+                  THEN list_transform(range(n), lambda i: w0[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1])
+                  ELSE w0 END AS w
+      FROM place),
+    word AS (SELECT r, n, unnest(w) AS w, unnest(range(n)) AS i FROM full_doc),
+    same AS (
+      SELECT a.r, b.i - a.i AS q, a.i AS i FROM word a JOIN word b
+        ON a.r = b.r AND a.w = b.w AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+    stretch AS (
+      SELECT r, q, min(i) AS s, count(*) + q AS l
+      FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same)
+      GROUP BY r, q, island HAVING count(*) >= 3 * q AND count(*) + q >= 6),
+    run AS (SELECT r, s, l, min(q) AS q FROM stretch GROUP BY r, s, l),
+    told AS (
+      SELECT r, count(*) AS n_runs, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS line
+      FROM run GROUP BY r),
+    best AS (
+      SELECT r, s, l, q FROM (
+        SELECT *, row_number() OVER (PARTITION BY r ORDER BY l // q DESC, CAST(l % q AS DOUBLE) / q DESC, s, q) AS k FROM run)
+      WHERE k = 1),
+    gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM run),
+    short AS (
+      SELECT r, string_agg(w, ' ' ORDER BY i) AS line FROM word ANTI JOIN gone USING (r, i)
+      WHERE r IN (SELECT r FROM run) GROUP BY r)
+    SELECT d.doc_id, CAST(coalesce(t.n_runs, 0) AS BIGINT) AS n_runs, CAST(b.s AS BIGINT) AS start,
+           CAST(b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.l // b.q AS BIGINT) AS exponent_milli,
+           sha256(coalesce(t.line, '')) AS runs_sha256,
+           sha256(CASE WHEN t.r IS NULL THEN array_to_string(d.w, ' ') ELSE k.line END) AS collapsed_sha256
+    FROM full_doc d LEFT JOIN told t ON t.r = d.r LEFT JOIN best b ON b.r = d.r LEFT JOIN short k ON k.r = d.r
+    """
+)
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document, and the document without their repeats."""
+    docs = with_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    found = periods.find_periodic_runs(docs)
+    best = F.col("periodic.best")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("periodic.runs").cast("bigint").alias("n_runs"),
+        *(best[name].cast("bigint").alias(name) for name in ("start", "length", "period")),
+        F.floor(F.lit(1000).cast("bigint") * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("periodic.runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"),
+    )
