@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import finite, try_numeric
 from ..functions.roles import numeric_columns
 from .profiling import _as_rows, _chunks, _union
-from .quantiles import Quantile, aggregate_with_quantiles
+from .quantiles import Quantile, aggregate_with_quantiles, summaries
 
 _FENCE = 1.5  # fixed value: whisker length in interquartile ranges
 
@@ -58,15 +58,12 @@ def boxplot_stats(
     frames = []
     for chunk in _chunks(columns):
         values = [finite(try_numeric(df, c)) for c in chunk]
-        plain, quantiles = {}, []
-        for i, v in enumerate(values):
-            plain |= {f"m{i}": F.avg(v), f"s{i}": F.stddev_pop(v)}
-            quantiles += [
-                Quantile(f"a{i}", v, 0.25),
-                Quantile(f"b{i}", v, 0.5),
-                Quantile(f"c{i}", v, 0.75),
-            ]
-        first = aggregate_with_quantiles(df, plain, quantiles, method=method)
+        found = summaries(df, [(v, None) for v in values], [0.25, 0.5, 0.75], method)
+        box = {"m": F.col("mean"), "s": F.col("std_pop")}
+        box |= {n: F.get("quantiles", F.lit(k)) for k, n in enumerate("abc")}
+        first = found.agg(
+            *[F.max(F.when(F.col("lane") == i, c)).alias(f"{n}{i}") for i in range(len(chunk)) for n, c in box.items()]
+        )
         boxes = first.select(F.struct("*")).scalar()
         # The boxes become one column, so that the many uses below read it.
         boxed = df.select(

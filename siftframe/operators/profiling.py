@@ -19,9 +19,10 @@ from ..functions.roles import (
     datetime_columns,
     numeric_columns,
 )
-from .quantiles import Quantile, aggregate_with_quantiles
+from .quantiles import Quantile, aggregate_with_quantiles, summaries
 
 _LONG_TEXT = 64  # longer values are compared by digest, so they are not shuffled whole
+_QUARTILES = [0.25, 0.5, 0.75]
 _COLUMNS_PER_SCAN = 40  # keeps the generated aggregation code small on wide tables
 
 # Fixed values.
@@ -355,38 +356,13 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, method: str
     columns = numeric_columns(df) if columns is None else columns
     frames = []
     for chunk in _chunks(columns):
-        plain, quantiles, rows = {}, [], []
-        for i, c in enumerate(chunk):
-            v = try_numeric(df, c)
-            plain |= {
-                f"n{i}": F.count(v),
-                f"lo{i}": F.min(v),
-                f"hi{i}": F.max(v),
-                f"avg{i}": F.avg(v),
-                f"sd{i}": F.stddev_samp(v),
-                f"var{i}": F.var_samp(v),
-            }
-            quantiles += [
-                Quantile(f"q1{i}", v, 0.25),
-                Quantile(f"q2{i}", v, 0.5),
-                Quantile(f"q3{i}", v, 0.75),
-            ]
-            rows.append(
-                {
-                    "column_name": F.lit(c),
-                    "count": F.col(f"n{i}"),
-                    "minimum": F.col(f"lo{i}"),
-                    "maximum": F.col(f"hi{i}"),
-                    "mean": F.col(f"avg{i}"),
-                    "stddev": F.col(f"sd{i}"),
-                    "variance": F.col(f"var{i}"),
-                    "q1": F.col(f"q1{i}"),
-                    "median": F.col(f"q2{i}"),
-                    "q3": F.col(f"q3{i}"),
-                }
-            )
+        found = summaries(df, [(try_numeric(df, c), None) for c in chunk], _QUARTILES, method)
         frames.append(
-            _as_rows(aggregate_with_quantiles(df, plain, quantiles, method=method), rows)
+            found.select(
+                F.get(F.array(*[F.lit(c) for c in chunk]), F.col("lane")).alias("column_name"),
+                *("count", "minimum", "maximum", "mean", "stddev", "variance"),
+                *(F.get("quantiles", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3"))),
+            )
         )
     return _union(frames)
 
@@ -425,22 +401,17 @@ _PROFILE_STATS = ["min", "max", "mean", "median", "std", "q25", "q75"]
 
 
 def stat_summary(df: DataFrame, column: str, method: str = "counting") -> DataFrame:
-    """One row of descriptive statistics; ``count`` covers all non-null cells."""
-    v = try_numeric(df, column)
-    plain = {
-        "count": F.count(quoted(column)),
-        "mean": F.avg(v),
-        "stddev": F.stddev_samp(v),
-        "variance": F.var_samp(v),
-        "min": F.min(v),
-        "max": F.max(v),
-    }
-    quantiles = [
-        Quantile("q1", v, 0.25),
-        Quantile("median", v, 0.5),
-        Quantile("q3", v, 0.75),
-    ]
-    return aggregate_with_quantiles(df, plain, quantiles, method=method)
+    """One row of descriptive statistics; ``count`` covers all non-null cells.
+
+    Two scans; one with ``method="sketch"``, whose quartiles are approximate."""
+    found = summaries(df, [(try_numeric(df, column), quoted(column))], _QUARTILES, method)
+    return found.select(
+        F.col("raw").alias("count"),
+        *("mean", "stddev", "variance"),
+        F.col("minimum").alias("min"),
+        F.col("maximum").alias("max"),
+        *(F.get("quantiles", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3"))),
+    )
 
 
 def column_minmax(df: DataFrame) -> DataFrame:

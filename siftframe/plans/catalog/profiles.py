@@ -297,7 +297,7 @@ _PART_NUMBERS = ("p_partkey", "p_size", "p_retailprice")
         f" UNION ALL SELECT 'histograms', '{c}', COUNT({c}) FROM part" for c in _PART_NUMBERS
     )
     + "".join(
-        f""" UNION ALL SELECT 'correlation', '{a},{b}', COALESCE(round(corr({a}, {b}), 3), 0) FROM part"""
+        f""" UNION ALL SELECT 'correlation', '{a},{b}', COALESCE(round(corr({a}, {b}), 4), 0) FROM part"""
         for a in _PART_NUMBERS
         for b in _PART_NUMBERS
     ),
@@ -319,7 +319,7 @@ def _(t):
         rows("columns", F.col("column_name"), F.col("distinct_count")),
         rows("categories", F.concat_ws("=", "column_name", "value"), F.col("count")),
         rows("histograms", F.col("column_name"), F.col("n"), bins),
-        rows("correlation", F.concat_ws(",", "row", "column"), F.round("correlation", 3)),
+        rows("correlation", F.concat_ws(",", "row", "column"), F.col("correlation")),
     ):
         out = out.unionByName(more)
     return out
