@@ -108,6 +108,11 @@ from .operators.selection import (
     sample_rows,
     top_correlated_points,
 )
+from .operators.statistics import (
+    approximate_profiles,
+    column_statistics,
+    merge_statistics,
+)
 from .operators.timeseries import (
     daily_series,
     linear_forecast,

@@ -112,11 +112,16 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 for c in columns
             ],
         )
+    return matrix_of(_correlations(df, columns), columns)
+
+
+def matrix_of(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The matrix of correlations (i, j, r), numbered in the order of ``columns``."""
     size = F.lit(len(columns) - 1)
-    every = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), size)).alias("i"))
+    every = found.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), size)).alias("i"))
     every = every.select("i", F.explode(F.sequence(F.lit(0), size)).alias("j"))
     # One value for both orders of a pair; a column by itself is 1 unless it is constant.
-    found = _correlations(df, columns).where("i <= j").select("i", "j", F.round("r", 4).alias("r"))
+    found = found.where("i <= j").select("i", "j", F.round("r", 4).alias("r"))
     near, far = F.least("i", "j"), F.greatest("i", "j")
     every = every.select(F.col("i").alias("row"), F.col("j").alias("column"), near.alias("i"), far.alias("j"))
     return every.join(F.broadcast(found), ["i", "j"], "left").select(

@@ -103,11 +103,11 @@ def _sketched(quantiles: list[Quantile]) -> list[Column]:
     out = []
     for i, (v, wanted) in enumerate(_lanes(quantiles)):
         probs = F.array(*[F.lit(float(p)) for _, p in wanted])
-        out.append(_from_sketch(_sketch(v), probs).alias(f"_p{i}"))
+        out.append(_from_sketch(sketch_of(v), probs).alias(f"_p{i}"))
     return out
 
 
-def _sketch(v: Column) -> Column:
+def sketch_of(v: Column) -> Column:
     """NaN is the greatest value, like in Spark's order, and the sketch takes no NaN."""
     v = v + F.lit(0.0)
     return F.kll_sketch_agg_double(F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v), _SKETCH_SIZE)
@@ -319,11 +319,17 @@ def states(df: DataFrame, lanes: list[tuple[Column, list[float], Column | None]]
     state = df.select(F.inline(F.array(*entries))).groupBy("lane").agg(
         F.count(v).alias("n"), F.sum("raw").alias("raw"), F.min(v).alias("minimum"), F.max(v).alias("maximum"),
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("stddev"), F.var_samp(v).alias("variance"),
-        F.stddev_pop(v).alias("std_pop"), _sketch(v).alias("sketch"),
+        F.stddev_pop(v).alias("std_pop"), sketch_of(v).alias("sketch"),
     )
+    return read_states(state, [probs for _, probs, _ in lanes])
+
+
+def read_states(state: DataFrame, wanted: list[list[float]]) -> list[State]:
+    """A job: states from a row per lane with (lane, n, raw, moments, sketch); ``wanted``
+    are the probabilities of each lane."""
     # Lanes mostly share their probabilities; a rank must be a literal of the plan.
     kinds: dict[tuple[float, ...], list[int]] = {}
-    for i, (_, probs, _) in enumerate(lanes):
+    for i, probs in enumerate(wanted):
         kinds.setdefault(tuple(probs), []).append(i)
     cuts = F.lit(None).cast("array<double>")
     for probs, members in kinds.items():
@@ -331,9 +337,9 @@ def states(df: DataFrame, lanes: list[tuple[Column, list[float], Column | None]]
         if ranks:
             own = _from_sketch(F.col("sketch"), F.array(*ranks))
             cuts = F.when(F.col("lane").isin(members), own).otherwise(cuts)
-    out = [State()] * len(lanes)
+    out = [State()] * len(wanted)
     for row in state.withColumn("cuts", cuts).drop("sketch").collect():  # one row per lane
-        probs, size = lanes[row["lane"]][1], _CUTS + 1
+        probs, size = wanted[row["lane"]], _CUTS + 1
         bands = tuple(
             _band(p, row["n"], row["cuts"][k * size : (k + 1) * size]) for k, p in enumerate(probs) if row["n"]
         )
@@ -368,6 +374,36 @@ def _located(df: DataFrame, quantiles: list[Quantile], found: list[State]) -> Da
     # two uses of the counts, and the scan would not be shared.
     cells = held.select(F.inline(F.array(*entries))).where(F.col("_cell") >= 0)
     counted = cells.groupBy("_lane", "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return _ranked(counted, quantiles, found)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: list[float], found: list[State]) -> DataFrame:
+    """(lane, quantiles) from rows (lane, v, n): how often each value of a column occurs."""
+    lane, v = F.col("lane"), F.col("v") + F.lit(0.0)
+    cell = F.lit(-1)
+    for i, s in enumerate(found):
+        cell = F.when(lane == i, _cell(v, s.bands)).otherwise(cell)
+    rows = counts.where(F.col("v").isNotNull()).select(lane.alias("_lane"), cell.alias("_cell"), v.alias("_v"), "n")
+    inside = F.when(F.col("_cell") % 2 == 1, F.col("_v")).alias("_v")
+    rows = rows.select("_lane", "_cell", inside, "n").where(F.col("_cell") >= 0)
+    counted = rows.groupBy("_lane", "_cell", "_v").agg(F.sum("n").alias("_n"))
+    wanted = [Quantile(f"_q{i}_{k}", c, p) for i, c in _lane_columns(found) for k, p in enumerate(probs)]
+    row = _ranked(counted, wanted, found)
+    each = [
+        F.struct(F.lit(i).alias("lane"), F.array(*[F.col(f"_q{i}_{k}") for k in range(len(probs))]).alias("quantiles"))
+        for i in range(len(found))
+    ]
+    return row.select(F.inline(F.array(*each)))
+
+
+def _lane_columns(found: list[State]) -> list[tuple[int, Column]]:
+    """A column object of its own for each lane; quantiles with the same one share a lane."""
+    return [(i, F.lit(i)) for i in range(len(found))]
+
+
+def _ranked(counted: DataFrame, quantiles: list[Quantile], found: list[State]) -> DataFrame:
+    """One row of quantiles from (_lane, _cell, _v, _n): counts of the values inside the
+    bands, and of all values between them."""
     none = F.lit(None).cast("array<double>")
     every = F.array(
         *[F.array(none, *[F.array(*map(F.lit, band)) for band in s.bands]) for s in found]

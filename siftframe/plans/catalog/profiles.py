@@ -9,6 +9,7 @@ from ...functions.roles import numeric_columns
 from ...operators import correlation as C
 from ...operators import outliers as O
 from ...operators import profiling as P
+from ...operators import statistics as S
 from ..report import category_charts, profile_bundle
 from .registry import EVENTS_WITH_GAPS, Tables, query
 
@@ -325,6 +326,35 @@ def _(t):
     return out
 
 
+_MERGED = ("event_id", "user_id", "value")
+
+
+@query(
+    "merged_statistics",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, COUNT({c}) AS n,
+              CAST(MIN({c}) AS DOUBLE) AS minimum, CAST(MAX({c}) AS DOUBLE) AS maximum, round(AVG({c}), 4) AS mean,
+              round(stddev_samp({c}), 4) AS stddev, round(corr({c}, value), 6) AS with_value
+            FROM {EVENTS_WITH_GAPS}"""
+        for c in _MERGED
+    ),
+)
+def _(t):
+    """Statistics of three parts of the events, put together."""
+    events = t.events_with_gaps
+    part = F.pmod(F.col("event_id"), F.lit(3))
+    stats = S.merge_statistics(*[S.column_statistics(events.where(part == k)) for k in range(3)])
+    stats = S.merge_statistics(stats)
+    r = S.correlations_of(stats, list(_MERGED)).where(F.col("j") == 2)
+    names = F.array(*[F.lit(c) for c in _MERGED])
+    r = r.select(F.get(names, F.col("i")).alias("column_name"), F.round("r", 6).alias("with_value"))
+    plain = stats.where(F.col("column_name").isin(*_MERGED)).select(
+        "column_name", "rows", "nulls", "n", "minimum", "maximum", F.round("mean", 4).alias("mean"),
+        F.round(F.sqrt(F.col("m2") / (F.col("n") - 1)), 4).alias("stddev"),
+    )
+    return plain.join(F.broadcast(r), "column_name")
+
+
 # -- histograms --------------------------------------------------------------
 
 

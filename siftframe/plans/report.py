@@ -8,17 +8,30 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import quoted, try_numeric
 from ..functions.roles import categorical_columns, datetime_columns, numeric_columns
-from ..operators.correlation import corr_matrix, corr_ranked
+from ..operators.correlation import corr_ranked, matrix_of
 from ..operators.profiling import (
     CHART_MAX_CATEGORIES,
+    _counts_of,
+    _missing_chart,
+    _overview,
+    _profiles,
     column_counts,
-    column_profiles,
-    histograms,
-    missing_chart,
+    column_table,
     null_counts,
     overview,
+    surely_more_than,
+    value_census,
 )
 from ..operators.selection import sample_rows
+from ..operators.statistics import (
+    column_statistics,
+    correlations_of,
+    histograms_of,
+    null_counts_of,
+    numeric_counts_of,
+    summary_of,
+)
+from ..sources.scratch import stored
 
 # How much of a table the dashboard shows.
 MAX_HISTOGRAMS, MAX_CATEGORY_CHARTS, CATEGORY_ROWS, SAMPLE_ROWS = 12, 8, 15, 20
@@ -212,12 +225,18 @@ def category_charts(
     """(column_name, value, count): the most frequent values of the first columns
     that have few enough categories; of all such columns, if ``max_charts`` is None.
 
-    Which columns qualify is found first and only their values are counted as
-    text, so a column of long unique texts never travels.
+    A job with a sketch per column finds those with far more values, which go; the
+    values of the others are counted exactly, so a column of long unique texts never
+    travels.
     """
     columns = categorical_columns(df)
     if not columns:
         raise ValueError("the table has no categorical column")
+    many = surely_more_than(df, columns, max_categories)
+    columns = [c for c in columns if c not in many]
+    if not columns:
+        none = column_table(df, df.columns[:1]).where(F.lit(False))
+        return none.select("column_name", F.lit("").alias("value"), F.lit(0).cast("bigint").alias("count"))
     counts = column_counts(df, columns)
     few = (F.col("distinct_count") > 1) & (F.col("distinct_count") <= max_categories)
     # At most one row per column from here on.
@@ -263,20 +282,35 @@ def profile_bundle(
 
     Histograms and category charts are drawn for the first columns of their
     kind; None as a maximum means all of them.
-    The parts read only the columns they need; nothing is cached here. Persist
-    ``df`` first if it is costly to compute and fits the cluster.
+
+    ``df`` is scanned twice for overview, columns, missing, histograms and correlation
+    together, when this is called: once for the statistics of all columns, once for a
+    census of values and rows. Both are stored in the scratch folder (one row per column,
+    and one per distinct value) and the five parts are read from there. The sample and
+    the category charts, which need texts, read ``df`` when they are asked for.
     """
     numeric = numeric_columns(df)
+    stats = stored(column_statistics(df), "statistics")
+    census = stored(value_census(df, rows=True), "census")
+    copies = F.when(F.col("position") == -1, F.col("occurrences") - 1)
+    totals = census.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("duplicates"))
+    sizes = stats.agg(F.max("rows").alias("rows"), F.sum("nulls").alias("missing"))
+    totals = sizes.select("*", totals.scalar().alias("duplicates"))
+    columns = census.where(F.col("position") >= 0).drop("as_row")
+    counts = _counts_of(columns, column_table(df))
     parts = {
-        "overview": overview(df),
-        "columns": column_profiles(df),
-        "missing": missing_chart(df),
+        "overview": _overview(totals, df),
+        "missing": _missing_chart(null_counts_of(stats)),
         "sample": sample_rows(df, SAMPLE_ROWS, order_by),
     }
     if numeric:
-        parts["histograms"] = histograms(df, numeric[:max_histograms])
+        values = numeric_counts_of(columns, df, numeric)
+        parts["columns"] = _profiles(counts, numeric, summary_of(stats, values, numeric))
+        parts["histograms"] = histograms_of(stats, values, numeric, numeric[:max_histograms])
+    else:
+        parts["columns"] = _profiles(counts, numeric, None)
     if categorical_columns(df):
         parts["categories"] = category_charts(df, max_charts=max_category_charts)
     if len(numeric) > 1:
-        parts["correlation"] = corr_matrix(df, numeric)
+        parts["correlation"] = matrix_of(correlations_of(stats, numeric), numeric)
     return parts
