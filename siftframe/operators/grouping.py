@@ -12,11 +12,14 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import percent_of, quoted
 from .aggregates import aggregate, default_aggregate
+from .profiling import _key
 
 # Fixed values.
 TOP_CATEGORIES = 15
 CATEGORY_ROWS = 8
 
+_TRACKED = 10_000  # values that a task's sketch of frequent values keeps
+
 
 def _present(df: DataFrame, group: str, drop_null_group: bool) -> DataFrame:
     return df.where(quoted(group).isNotNull()) if drop_null_group else df
@@ -96,8 +99,42 @@ def group_distribution(df: DataFrame, group: str) -> DataFrame:
     return group_count(df, group)
 
 
+def frequent_candidates(df: DataFrame, column: str, limit: int) -> list[int] | None:
+    """A job: hashes of the values among which the ``limit`` most frequent ones are, ties
+    included, or None where a sketch can't prove it.
+
+    The sketch counts up to ``_TRACKED`` values per task; what it leaves out, and the error
+    of what it reports, is at most ``error``: seven rows in ``_TRACKED``, twice the bound
+    of the sketch itself. If the last estimate wanted is above two errors, any value
+    outside is rarer than it, and so is one whose estimate is an error below it.
+    """
+    value = quoted(column)
+    item = F.xxhash64(_key(df, column))
+    found = df.where(value.isNotNull()).agg(
+        F.call_function("approx_top_k", item, F.lit(_TRACKED), F.lit(_TRACKED)).alias("top"), F.count(F.lit(1)).alias("n")
+    ).head()
+    error = 7 * found["n"] / _TRACKED
+    counts = sorted((r["count"] for r in found["top"]), reverse=True)
+    if len(counts) < limit or counts[limit - 1] <= 2 * error:
+        return None
+    return [r["item"] for r in found["top"] if r["count"] >= counts[limit - 1] - error]
+
+
+def _most_frequent(df: DataFrame, column: str, limit: int) -> DataFrame:
+    """(value, count) of the most frequent values, ties by value.
+
+    A sketch first finds the candidates (see :func:`frequent_candidates`); then only these
+    are counted, exactly. Where the sketch can't tell, as with flat or unique values, all
+    values are counted.
+    """
+    candidates = frequent_candidates(df, column, limit)
+    if candidates is not None:
+        df = df.where(quoted(column).isNotNull() & F.xxhash64(_key(df, column)).isin(candidates))
+    return _counts(df, column).orderBy(F.desc("count"), quoted(column)).limit(limit)
+
+
 def group_most_records(df: DataFrame, group: str) -> DataFrame:
-    return group_count(df, group).limit(1)
+    return _most_frequent(df, group, 1)
 
 
 def group_fewest_records(df: DataFrame, group: str) -> DataFrame:
@@ -105,13 +142,10 @@ def group_fewest_records(df: DataFrame, group: str) -> DataFrame:
 
 
 def top_categories(df: DataFrame, column: str, limit: int = TOP_CATEGORIES) -> DataFrame:
-    """(value, count) of the most frequent values."""
-    return (
-        _counts(df, column)
-        .orderBy(F.desc("count"), quoted(column))
-        .limit(limit)
-        .select(quoted(column).alias("value"), "count")
-    )
+    """(value, count) of the most frequent values, found by a sketch and counted exactly."""
+    if limit < 1:
+        raise ValueError(f"limit is {limit}; at least one value is needed")
+    return _most_frequent(df, column, limit).select(quoted(column).alias("value"), "count")
 
 
 def _with_share_of_shown(shown: DataFrame, value: str) -> DataFrame:

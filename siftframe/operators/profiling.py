@@ -120,7 +120,7 @@ def value_census(df: DataFrame, columns: list[str] | None = None, rows: bool = F
     columns = df.columns if columns is None else columns
     lanes = list(enumerate(_lane(df, c) for c in columns))
     if rows:
-        lanes.append((-1, ("as_row", "binary", _row_digest(df))))
+        lanes.append((-1, ("as_row", "binary", row_digest(df))))
     slots = {slot: slot_type for _, (slot, slot_type, _) in lanes}
     entries = [
         F.struct(
@@ -215,7 +215,7 @@ def _canonical(value: Column, kind: T.DataType) -> Column:
     )
 
 
-def _row_digest(df: DataFrame) -> Column:
+def row_digest(df: DataFrame) -> Column:
     """SHA-256 of a row, equal exactly where the rows are."""
     row = F.concat(F.lit(""), *[_canonical(quoted(f.name), f.dataType) for f in df.schema.fields])
     return F.unhex(F.sha2(row, 256))
@@ -227,7 +227,7 @@ def _row_groups(df: DataFrame) -> DataFrame:
     for c in df.columns:
         nulls = nulls + quoted(c).isNull().cast("int")
     return (
-        df.select(_row_digest(df).alias("row"), nulls.alias("nulls"))
+        df.select(row_digest(df).alias("row"), nulls.alias("nulls"))
         .groupBy("row", "nulls")
         .agg(F.count(F.lit(1)).alias("copies"))
         .select("copies", "nulls")

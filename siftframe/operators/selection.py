@@ -8,11 +8,13 @@ import uuid
 from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expressions import all_of, quoted, try_numeric
-from ..functions.roles import is_datetime
+from ..functions.roles import is_datetime, numeric_columns
 from ..functions.text import shorten
 from .correlation import corr_ranked
+from .profiling import row_digest
 
 # Page sizes.
 FILTER_PAGE = 100
@@ -89,17 +91,70 @@ def preview_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     return page.select(*[shown(c) for c in df.columns])
 
 
+def keyed_hash(key: Column, seed: int = 0) -> Column:
+    """The place of a row in a sample: MD5 of seed and key, as hexadecimal text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+
+
+def _bottom(df: DataFrame, lanes: list[dict[str, Column]], place: Column, limit: int) -> DataFrame:
+    """(lane, fields...): of every lane the ``limit`` rows with the smallest ``place``.
+
+    A lane is a set of fields, all of which must be there for a row to take part. A first
+    scan counts the rows of each lane by the first three digits of the place; the second
+    one takes only rows up to the digits that reach ``limit``, and no more than ``limit``
+    of a task leave it. Rows with the same place and fields are the same in the result.
+    """
+    if limit < 1:
+        raise ValueError(f"limit is {limit}; at least one row is needed")
+    names = list(lanes[0])
+    entries = [F.struct(F.lit(i).alias("lane"), *[c.alias(n) for n, c in lane.items()]) for i, lane in enumerate(lanes)]
+    rows = df.select(place.alias("_h"), F.inline(F.array(*entries)))
+    rows = rows.where(all_of([F.col(n).isNotNull() for n in names]))
+    rows = rows.withColumn("_p", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    counts = rows.groupBy("lane", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("lane").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    enough = counts.withColumn("_n", F.sum("_n").over(upto)).where(F.col("_n") >= limit)
+    last = enough.groupBy("lane").agg(F.min("_p").alias("_p"))
+    last = last.agg(F.map_from_entries(F.collect_list(F.struct("lane", "_p")))).scalar()
+    every = F.coalesce(F.element_at(last, F.col("lane")), F.lit(1 << 12))
+    order = Window.partitionBy("lane").orderBy("_h", *names)
+    chosen = rows.where(F.col("_p") <= every).withColumn("_n", F.row_number().over(order))
+    return chosen.where(F.col("_n") <= limit).select("lane", *names)
+
+
+def keyed_samples(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    key: str | None = None,
+    limit: int = NUMERIC_SAMPLE_ROWS,
+    seed: int = 0,
+) -> DataFrame:
+    """(column_name, value): up to ``limit`` numeric values of each column, drawn by a hash.
+
+    The rows with the smallest hash of ``key`` (a column with a value of its own per row;
+    without one, the whole row) and ``seed`` are taken, so the sample represents the table
+    and is the same however its rows are laid out. All columns share the two scans.
+    """
+    columns = numeric_columns(df) if columns is None else columns
+    place = keyed_hash(F.hex(row_digest(df)) if key is None else quoted(key), seed)
+    found = _bottom(df, [{"value": try_numeric(df, c)} for c in columns], place, limit)
+    return found.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("lane")).alias("column_name"), "value")
+
+
 def numeric_sample(
     df: DataFrame,
     column: str,
     order_by: list[str] | None = None,
     limit: int = NUMERIC_SAMPLE_ROWS,
+    key: str | None = None,
+    seed: int = 0,
 ) -> DataFrame:
-    """Up to ``limit`` numeric values of a column for a plot."""
-    rows = df.select(*(order_by or []), try_numeric(df, column).alias("value")).where(
-        F.col("value").isNotNull()
-    )
-    return (rows.orderBy(*order_by) if order_by else rows).limit(limit).select("value")
+    """Up to ``limit`` numeric values of a column for a plot: the first ones of an order,
+    if one is given, else those drawn by a hash as in :func:`keyed_samples`."""
+    if not order_by:
+        return keyed_samples(df, [column], key, limit, seed).select("value")
+    rows = df.select(*order_by, try_numeric(df, column).alias("value")).where(F.col("value").isNotNull())
+    return rows.orderBy(*order_by).limit(limit).select("value")
 
 
 def pair_sample(
@@ -108,12 +163,18 @@ def pair_sample(
     y: str,
     order_by: list[str] | None = None,
     limit: int = PAIR_SAMPLE_ROWS,
+    key: str | None = None,
+    seed: int = 0,
 ) -> DataFrame:
-    """Up to ``limit`` points at which both columns are numbers."""
-    rows = df.select(
-        *(order_by or []), try_numeric(df, x).alias("x"), try_numeric(df, y).alias("y")
-    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return (rows.orderBy(*order_by) if order_by else rows).limit(limit).select("x", "y")
+    """Up to ``limit`` points at which both columns are numbers, the first of an order or,
+    without one, drawn by a hash as in :func:`keyed_samples`."""
+    point = {"x": try_numeric(df, x), "y": try_numeric(df, y)}
+    if not order_by:
+        place = keyed_hash(F.hex(row_digest(df)) if key is None else quoted(key), seed)
+        return _bottom(df, [point], place, limit).select("x", "y")
+    rows = df.select(*order_by, *[c.alias(n) for n, c in point.items()])
+    rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return rows.orderBy(*order_by).limit(limit).select("x", "y")
 
 
 def top_correlated_points(

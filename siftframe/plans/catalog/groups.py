@@ -271,6 +271,53 @@ def _(t):
     return S.preview_rows(rows, [F.desc("event_id")])
 
 
+def _by_hash(column: str, table: str, key: str, limit: int) -> str:
+    return f"""SELECT {column} FROM (
+        SELECT {column}, row_number() OVER (ORDER BY md5(concat('0:', CAST({key} AS VARCHAR)))) AS k FROM {table})
+      WHERE k <= {limit}"""
+
+
+@query(
+    "numeric_samples_by_hash",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM ("
+        + _by_hash(c, f"(SELECT * FROM {EVENTS_WITH_GAPS} WHERE {c} IS NOT NULL)", "event_id", 700)
+        + ")"
+        for c in ("event_id", "user_id", "value")
+    ),
+)
+def _(t):
+    """A sample of every numeric column, from the same two scans."""
+    return S.keyed_samples(t.events_with_gaps, None, "event_id", 700)
+
+
+@query("pair_sample_by_hash", _by_hash("p_size AS x, p_retailprice AS y", "part", "p_partkey", 1000).replace(
+    "SELECT p_size AS x, p_retailprice AS y FROM (", "SELECT CAST(x AS DOUBLE) AS x, y FROM (", 1))
+def _(t):
+    return S.pair_sample(t.part, "p_size", "p_retailprice", key="p_partkey")
+
+
+_FREQUENT = """SELECT {c} AS value, COUNT(*) AS count FROM {t} WHERE {c} IS NOT NULL
+  GROUP BY 1 ORDER BY count DESC, value LIMIT {n}"""
+
+
+@query("top_categories_skewed", _FREQUENT.format(c="v", t="""(
+  SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' WHEN l_orderkey % 5 = 0 THEN concat('warm', l_linenumber)
+              ELSE concat('cold', l_orderkey) END AS v FROM lineitem)""", n=6))
+def _(t):
+    """Few frequent values among very many rare ones: only the frequent ones are counted."""
+    key, number = F.col("l_orderkey"), F.col("l_linenumber").cast("string")
+    v = F.when(key % 3 == 0, F.lit("hot")).when(key % 5 == 0, F.concat(F.lit("warm"), number))
+    rows = t.lineitem.select(v.otherwise(F.concat(F.lit("cold"), key.cast("string"))).alias("v"))
+    return G.top_categories(rows, "v", 6)
+
+
+@query("top_categories_flat", _FREQUENT.format(c="c_name", t="customer", n=15))
+def _(t):
+    """Unique values: all tie, and all are counted."""
+    return G.top_categories(t.customer, "c_name")
+
+
 @query(
     "numeric_sample",
     "SELECT value FROM events WHERE value IS NOT NULL ORDER BY event_id LIMIT 5000",
