@@ -14,7 +14,7 @@ from ...functions.text import (
     repair_mojibake,
 )
 from ...operators import questions as Q
-from ...sources import cleaning, files, store
+from ...sources import cleaning, files, sniffing, store
 from ...sources.scratch import scratch_path
 from .registry import Tables, query
 
@@ -46,19 +46,19 @@ def _(t):
     return _round_trip(t, "\t", files.read_tsv)
 
 
-_QUOTED = """SELECT e.event_id, CAST(e.ts AS DATE) AS day, NULLIF(e.event_type, 'purchase') AS kind,
-  concat('say "', substr(d.text, 1, 40), '",', chr(10), 'then ', e.event_type) AS note
-  FROM events e JOIN documents d ON d.doc_id = e.event_id"""
+_QUOTED = """SELECT e.event_id, d.doc_id, CAST(e.ts AS DATE) AS day, NULLIF(e.event_type, 'purchase') AS kind,
+  'say "' || coalesce(d.text, 'nothing') || '",' || chr(10) || 'then ' || coalesce(e.event_type, 'stop') AS note
+  FROM events e FULL JOIN documents d ON d.doc_id = e.event_id"""
 
 
 @query("read_csv_quoted", _QUOTED)
 def _(t):
-    """Line breaks, quotes, separators, NULLs and dates in the fields."""
-    note = F.concat(
-        F.lit('say "'), F.substring("text", 1, 40), F.lit('",\n'), F.lit("then "), F.col("event_type")
-    )
-    rows = t.events.join(t.documents, F.col("event_id") == F.col("doc_id")).select(
+    """Line breaks, quotes, separators, NULLs, dates and long texts in the fields."""
+    text = F.coalesce("text", F.lit("nothing"))
+    note = F.concat(F.lit('say "'), text, F.lit('",\n'), F.lit("then "), F.coalesce("event_type", F.lit("stop")))
+    rows = t.events.join(t.documents, F.col("event_id") == F.col("doc_id"), "full").select(
         "event_id",
+        "doc_id",
         F.col("ts").cast("date").alias("day"),
         F.nullif("event_type", F.lit("purchase")).alias("kind"),
         note.alias("note"),
@@ -68,6 +68,73 @@ def _(t):
     return files.read_csv(t.spark, path, multi_line=True)
 
 
+# Customers as text with damage: codes with leading zeros, a few balances that are no
+# numbers, dates and timestamps in one column, a number too long for 64 bits.
+_DAMAGED = """SELECT c_custkey AS id, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS code,
+    CASE WHEN c_custkey % 40 = 0 THEN 'n/a' WHEN c_custkey % 9 <> 0 THEN CAST(CAST(c_custkey AS DOUBLE) / 4 AS VARCHAR) END AS balance,
+    CASE WHEN c_custkey % 2 = 0 THEN '2024-02-29' ELSE '2024-03-01 10:20:30' END AS seen,
+    CASE WHEN c_custkey % 90 = 1 THEN 'maybe' WHEN c_custkey % 3 = 0 THEN 'TRUE' ELSE 'false' END AS flag,
+    concat('9', repeat('0', 20), c_custkey) AS long
+  FROM customer"""
+
+
+def _damaged(t: Tables, tolerance: float) -> sniffing.Loaded:
+    key = F.col("c_custkey")
+    balance = F.when(key % 40 == 0, F.lit("n/a")).when(key % 9 != 0, (key.cast("double") / 4).cast("string"))
+    flag = F.when(key % 90 == 1, F.lit("maybe")).when(key % 3 == 0, F.lit("TRUE")).otherwise(F.lit("false"))
+    rows = t.customer.select(
+        key.alias("id"),
+        F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("code"),
+        balance.alias("balance"),
+        F.when(key % 2 == 0, F.lit("2024-02-29")).otherwise(F.lit("2024-03-01 10:20:30")).alias("seen"),
+        flag.alias("flag"),
+        F.concat(F.lit("9" + "0" * 20), key.cast("string")).alias("long"),
+    )
+    path = scratch_path(t.spark, "damaged")
+    rows.write.option("header", True).csv(path)
+    return sniffing.load_delimited(t.spark, path, tolerance=tolerance)
+
+
+@query(
+    "read_csv_sniffed",
+    f"""SELECT id, code, TRY_CAST(balance AS DOUBLE) AS balance, CAST(seen AS TIMESTAMP) AS seen,
+          TRY_CAST(flag AS BOOLEAN) AS flag, long FROM ({_DAMAGED})""",
+)
+def _(t):
+    """Types from all values: codes stay text, few bad cells become NULL."""
+    return _damaged(t, 0.05).table
+
+
+@query(
+    "read_csv_rejects",
+    f"""SELECT 'balance' AS column_name, balance AS value, 'not a double' AS reason, COUNT(*) AS cells
+        FROM ({_DAMAGED}) WHERE balance = 'n/a' GROUP BY ALL
+        UNION ALL SELECT 'flag', flag, 'not a boolean', COUNT(*) FROM ({_DAMAGED}) WHERE flag = 'maybe' GROUP BY ALL""",
+)
+def _(t):
+    """The cells that did not fit the type of their column."""
+    return _damaged(t, 0.05).rejects.groupBy("column_name", "value", "reason").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query(
+    "sniff_types",
+    f"""SELECT * FROM (VALUES ('id', 'bigint'), ('code', 'string'), ('balance', 'string'), ('seen', 'timestamp_ntz'),
+          ('flag', 'string'), ('long', 'string')) AS k(column_name, type)
+        JOIN (SELECT column_name, COUNT(value) AS values FROM (
+          UNPIVOT (SELECT CAST(id AS VARCHAR) AS id, code, balance, seen, flag, long FROM ({_DAMAGED}))
+          ON id, code, balance, seen, flag, long INTO NAME column_name VALUE value) GROUP BY 1) USING (column_name)""",
+)
+def _(t):
+    """Without tolerance a single bad cell makes a column text."""
+    raw = _damaged(t, 0.05).table.select(
+        F.col("id").cast("string").alias("id"), "code",
+        F.coalesce(F.col("balance").cast("string"), F.when(F.col("id") % 40 == 0, F.lit("n/a"))).alias("balance"),
+        F.when(F.col("id") % 2 == 0, F.lit("2024-02-29")).otherwise(F.col("seen").cast("string")).alias("seen"),
+        F.coalesce(F.col("flag").cast("string"), F.lit("maybe")).alias("flag"), "long",
+    )
+    return sniffing.sniff_types(raw).select("column_name", "type", "values")
+
+
 @query("clean_names", "SELECT c_custkey AS a, c_name AS a_2, c_acctbal AS a_1, c_nationkey AS \"ID_1\", c_mktsegment AS \"id_1_1\" FROM customer")
 def _(t):
     """Repeated names, in one case or two, beside names that look like their numbers."""
