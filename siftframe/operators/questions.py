@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expressions import any_of, quoted
+from ..functions.expressions import quoted
 from ..functions.text import normalize_text, strip_space
 
 # Turns of one conversation are handled in runs of this many turn numbers, so a
@@ -226,16 +226,88 @@ def _is_word(phrase: str) -> bool:
     return " " not in phrase and "-" not in phrase
 
 
-_DECIDING_WORDS = {
-    w
-    for phrases in (
-        FOLLOWUP, DERIVED, COMPARISON, SCENARIO, FORECAST, ANOMALY, QUALITY, INSIGHT,
-        STATISTICS, TREND, CONDITION_WORDS, RANKING_EXTREMES, AGGREGATION,
-        GROUPED_AGGREGATION, PERCENTAGE, SCALAR, ["top", "bottom"],
-    )
-    for w in phrases
-    if _is_word(w)
-}
+# How a phrase is looked for: as one whole word, anywhere in the text with a blank put
+# before and behind it, anywhere in the text itself, between signs that are no letters
+# or digits, or at the end of the text.
+WORD, INSIDE, PART, WHOLE, ENDS = "word", "inside", "part", "whole", "ends"
+
+
+def _by_shape(name: str, phrases: list[str]) -> list[tuple[str, str, str]]:
+    """Single words whole, longer phrases as they are."""
+    return [(name, p, WORD if _is_word(p) else INSIDE) for p in phrases]
+
+
+def _default_phrases() -> list[tuple[str, str, str]]:
+    """(clue, phrase, how): what in a text is a clue to an intent."""
+    rows: list[tuple[str, str, str]] = []
+    for name, phrases in (
+        ("followup", FOLLOWUP), ("derived", DERIVED), ("comparison", COMPARISON), ("scenario", SCENARIO),
+        ("forecast", FORECAST), ("anomaly", ANOMALY), ("quality", QUALITY), ("insight", INSIGHT),
+        ("statistics", STATISTICS), ("trend", TREND), ("ranking", RANKING), ("aggregation", AGGREGATION),
+        ("grouped aggregation", GROUPED_AGGREGATION), ("percentage", PERCENTAGE), ("late insight", LATE_INSIGHT),
+        ("ranking or extreme", RANKING_EXTREMES), ("scalar", SCALAR),
+    ):
+        rows += _by_shape(name, phrases)
+    rows += [("condition", w, WORD if _is_word(w) else WHOLE) for w in CONDITION_WORDS]
+    rows += [("condition", sign, PART) for sign in (">", "<", "=")]
+    rows += [("distribution", p, PART) for p in DISTRIBUTION]
+    rows += [("hint", p, PART) for p in (*GROUPING, *RANK_TARGETS)]
+    rows += [("grouped", p, PART) for p in (*GROUPING, " each ")] + [("grouped", " grouped", ENDS)]
+    rows += [("grouping", p, PART) for p in GROUPING] + [("grouping", " grouped", ENDS)]
+    rows += [("compare", "compare", PART), ("between", " between ", PART), ("and", " and ", PART)]
+    return rows
+
+
+def _default_rules() -> list[tuple[int, str, list[str], list[str]]]:
+    """(priority, intent, clues that must be there, clues that must not)."""
+    both = ["compare", "between", "and"]
+    rules: list[tuple[str, list[tuple[list[str], list[str]]]]] = [
+        ("contextual_followup", [(["followup"], [])]),
+        ("derived_metrics", [(["derived"], [])]),
+        ("comparison", [(["comparison", "two numeric"], [])]),
+        ("scenario", [(["scenario"], [])]),
+        ("forecast", [(["forecast"], [])]),
+        ("anomaly_detection", [(["anomaly"], [])]),
+        ("data_quality", [(["quality"], [])]),
+        ("main_insight", [(["insight"], [])]),
+        ("grouped_analysis", [(["distribution", "named group"], [])]),
+        ("statistics", [(["statistics"], [])]),
+        ("trend", [(["trend"], [])]),
+        ("filtering", [(["mentioned", "condition"], [])]),
+        ("numeric_analysis", [(["ranking", "one mentioned"], ["hint"])]),
+        ("grouped_analysis", [(["top n"], []), (["ranking", "hint"], [])]),
+        ("grouped_analysis", [(["grouped", "grouped aggregation"], []), ([*both, "grouped aggregation"], [])]),
+        ("numeric_analysis", [(["aggregation", "mentioned"], [])]),
+        ("percentage_analysis", [(["percentage"], ["ranking or extreme"])]),
+        ("main_insight", [(["late insight"], [])]),
+        ("grouped_analysis", [(["ranking or extreme"], [])]),
+        ("grouped_analysis", [(["grouping"], []), (both, [])]),
+        ("numeric_analysis", [(["scalar"], [])]),
+    ]
+    return [(i, intent, need, bar) for i, (intent, ways) in enumerate(rules) for need, bar in ways]
+
+
+PHRASE_SCHEMA = "clue string, phrase string, how string"
+RULE_SCHEMA = "priority int, intent string, needs array<string>, bars array<string>"
+
+
+def intent_phrases(spark: SparkSession) -> DataFrame:
+    """(clue, phrase, how): the phrases that :func:`tag_intent` looks for, as a table to change."""
+    return spark.createDataFrame(_default_phrases(), PHRASE_SCHEMA)
+
+
+def intent_rules(spark: SparkSession) -> DataFrame:
+    """(priority, intent, needs, bars): its rules; the least priority that applies decides."""
+    return spark.createDataFrame(_default_rules(), RULE_SCHEMA)
+
+
+def _as_array(table: DataFrame, schema: str) -> Column:
+    """A small table as one value, an array of its rows."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    missing = [n for n in names if n not in table.columns]
+    if missing:
+        raise ValueError(f"the table has no column {', '.join(missing)}")
+    return table.agg(F.array_sort(F.collect_list(F.struct(*names)))).scalar()
 
 
 def _plain(name: str) -> str:
@@ -277,42 +349,58 @@ def _mentions(norm: Column, columns: list[str]) -> Column:
     )
 
 
+def _clues(phrases: Column, q: Column, words: Column) -> Column:
+    """The clues whose phrases a text has."""
+    padded = F.concat(F.lit(" "), q, F.lit(" "))
+
+    def holds(p: Column) -> Column:
+        pattern = F.concat(F.lit(_EDGE_BEFORE + r"\Q"), p["phrase"], F.lit(r"\E" + _EDGE_AFTER))
+        return (
+            F.when(p["how"] == WORD, F.array_contains(words, p["phrase"]))
+            .when(p["how"] == INSIDE, F.contains(padded, p["phrase"]))
+            .when(p["how"] == PART, F.contains(q, p["phrase"]))
+            .when(p["how"] == WHOLE, F.contains(q, p["phrase"]) & F.regexp(q, pattern))
+            .when(p["how"] == ENDS, F.endswith(q, p["phrase"]))
+            .otherwise(F.lit(False))
+        )
+
+    return F.transform(F.filter(phrases, holds), lambda p: p["clue"])
+
+
 def tag_intent(
     questions: DataFrame,
     text: str = "text",
     columns: list[str] | None = None,
     numeric: list[str] | None = None,
     groups: list[str] | None = None,
+    phrases: DataFrame | None = None,
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """``questions`` with ``intent``: the kind of analysis each question asks for.
 
     ``columns``, ``numeric`` and ``groups`` name the columns of the table the
     questions are about. The first rule that applies decides. Words count as
     whole words, with any sign next to them; so do "vs" and "versus".
+
+    What is looked for is data: ``phrases`` (see :func:`intent_phrases`) give clues, to
+    which "top n", "named group", "mentioned", "one mentioned" and "two numeric" are added
+    from the names of columns, and ``rules`` (see :func:`intent_rules`) tell the intent
+    that clues mean. Both are small tables that enter the scan as one value each, so the
+    plan does not grow with them. A question that no rule fits is a "local_query".
     """
     columns, numeric, groups = columns or [], numeric or [], groups or []
-    # Worked out once per row, ahead of the many rules that read them: the
-    # text itself, its normal form, and which of the deciding words it has.
+    spark = questions.sparkSession
+    said = _as_array(intent_phrases(spark) if phrases is None else phrases, PHRASE_SCHEMA)
+    meant = _as_array(intent_rules(spark) if rules is None else rules, RULE_SCHEMA)
+    # Worked out once per row: the text itself, its normal form, its words.
     prepared = questions.withColumns(
-        {"_q": F.lower(strip_space(quoted(text))), "_norm": normalize_text(quoted(text))}
-    ).withColumn(
-        "_hits",
-        F.array_intersect(
-            F.split("_q", _NOT_WORD), F.array(*[F.lit(w) for w in sorted(_DECIDING_WORDS)])
-        ),
-    )
-    q, norm, hits = F.col("_q"), F.col("_norm"), F.col("_hits")
-    padded = F.concat(F.lit(" "), q, F.lit(" "))
-
-    def holds(parts: list[str], where: Column = q) -> Column:
-        return any_of([F.contains(where, F.lit(p)) for p in parts])
-
-    def has(phrases: list[str]) -> Column:
-        """Single words whole, longer phrases as they are."""
-        words = [p for p in phrases if _is_word(p)]
-        longer = [p for p in phrases if not _is_word(p)]
-        tests = [F.arrays_overlap(hits, F.array(*[F.lit(w) for w in words]))] if words else []
-        return any_of(tests + ([holds(longer, padded)] if longer else []))
+        {
+            "_q": F.lower(strip_space(quoted(text))), "_norm": normalize_text(quoted(text)),
+            "_said": said, "_meant": meant,
+        }
+    ).withColumn("_words", F.split("_q", _NOT_WORD))
+    prepared = prepared.withColumn("_clues", _clues(F.col("_said"), F.col("_q"), F.col("_words")))
+    q, norm = F.col("_q"), F.col("_norm")
 
     def count_of(tests: list[Column]) -> Column:
         total = F.lit(0)
@@ -323,56 +411,82 @@ def tag_intent(
     # A name inside a longer one that is mentioned does not count.
     every = [*columns, *[c for c in numeric if c not in columns]]
     wanted = F.array(*[F.lit(c) for c in numeric]) if numeric else F.array().cast("array<string>")
-    compared = F.when(
-        has(COMPARISON), F.size(F.array_intersect(_mentions(norm, every), wanted)) >= 2
-    ).otherwise(F.lit(False))
+    two_numeric = F.when(
+        F.array_contains("_clues", "comparison"), F.size(F.array_intersect(_mentions(norm, every), wanted)) >= 2
+    )
     named_group = count_of([_whole(norm, _plain(c)) for c in groups]) > 0
     # Columns are also recognised inside words here, as in "attendance percentages".
     mentioned = count_of(
         [F.contains(q, F.lit(c.strip().lower().replace("_", " "))) for c in columns]
     )
-    condition = any_of(
-        [holds([">", "<", "="])]
-        + [has([w]) for w in CONDITION_WORDS if _is_word(w)]
-        + [_whole(q, w) for w in CONDITION_WORDS if not _is_word(w)]
+    top_n = q.rlike(_EDGE_BEFORE + r"(?:top|bottom)\s+\d+" + _EDGE_AFTER)
+    more = F.array_compact(
+        F.array(
+            F.when(two_numeric, F.lit("two numeric")),
+            F.when(named_group, F.lit("named group")),
+            F.when(mentioned >= 1, F.lit("mentioned")),
+            F.when(mentioned == 1, F.lit("one mentioned")),
+            F.when(top_n, F.lit("top n")),
+        )
     )
-    top_n = has(["top", "bottom"]) & q.rlike(
-        _EDGE_BEFORE + r"(?:top|bottom)\s+\d+" + _EDGE_AFTER
+    prepared = prepared.withColumn("_clues", F.array_distinct(F.concat("_clues", more)))
+    clues = F.col("_clues")
+    # Rules are in order of priority, so the first one that applies decides.
+    applies = F.filter(
+        "_meant",
+        lambda r: (F.size(F.array_except(r["needs"], clues)) == 0) & ~F.arrays_overlap(r["bars"], clues),
     )
-    between_two = F.contains(q, F.lit("compare")) & holds([" between "]) & holds([" and "])
-    hinted = holds([*GROUPING, *RANK_TARGETS])
-    grouped = holds([*GROUPING, " each "]) | q.endswith(" grouped") | between_two
-    grouped_last = holds(GROUPING) | q.endswith(" grouped") | between_two
-    ranking = has(RANKING)
-
-    rules = [
-        (has(FOLLOWUP), "contextual_followup"),
-        (has(DERIVED), "derived_metrics"),
-        (compared, "comparison"),
-        (has(SCENARIO), "scenario"),
-        (has(FORECAST), "forecast"),
-        (has(ANOMALY), "anomaly_detection"),
-        (has(QUALITY), "data_quality"),
-        (has(INSIGHT), "main_insight"),
-        (holds(DISTRIBUTION) & named_group, "grouped_analysis"),
-        (has(STATISTICS), "statistics"),
-        (has(TREND), "trend"),
-        ((mentioned > 0) & condition, "filtering"),
-        (ranking & ~hinted & (mentioned == 1), "numeric_analysis"),
-        (top_n | (ranking & hinted), "grouped_analysis"),
-        (grouped & has(GROUPED_AGGREGATION), "grouped_analysis"),
-        (has(AGGREGATION) & (mentioned >= 1), "numeric_analysis"),
-        (has(PERCENTAGE) & ~has(RANKING_EXTREMES), "percentage_analysis"),
-        (has(LATE_INSIGHT), "main_insight"),
-        (has(RANKING_EXTREMES), "grouped_analysis"),
-        (grouped_last, "grouped_analysis"),
-        (has(SCALAR), "numeric_analysis"),
-    ]
-    chain = F
-    for test, intent in rules:
-        chain = chain.when(test, F.lit(intent))
-    tagged = prepared.withColumn("intent", chain.otherwise(F.lit("local_query")))
-    return tagged.drop("_q", "_norm", "_hits")
+    intent = F.get(F.transform(applies, lambda r: r["intent"]), F.lit(0))
+    tagged = prepared.withColumn("intent", F.when(q.isNotNull(), intent))
+    return tagged.withColumn("intent", F.coalesce("intent", F.lit("local_query"))).drop(
+        "_q", "_norm", "_clues", "_said", "_meant", "_words"
+    )
+
+
+def tag_by_phrases(
+    texts: DataFrame, rules: DataFrame, key: list[str], text: str = "text", broadcast_rules: int = 200_000
+) -> DataFrame:
+    """``texts`` with ``rule`` and ``phrase``: of the rules whose phrase a text has, the one
+    with the least priority (ties: the longer phrase, then the phrase and rule in order).
+
+    ``rules`` is a table (phrase, rule, priority) of any size. A phrase is a run of whole
+    words in normal form (lower case, ``_`` and ``-`` are blanks). The runs of words of each
+    text, as long as there are phrases, are joined to the table; what leaves that join is
+    one best rule per task and text, then per text. The rules are broadcast up to
+    ``broadcast_rules`` of them and shuffled beyond. ``key`` names columns that tell the
+    texts apart. A job counts the rules first. Texts that no rule fits, and null texts,
+    have NULL; rules without words never fit.
+    """
+    table = rules.select(
+        _words(F.col("phrase")).alias("_words"), F.col("phrase").alias("phrase"), "rule", F.col("priority").cast("bigint").alias("priority")
+    ).where(F.size("_words") > 0)
+    table = table.select(F.array_join("_words", " ").alias("_run"), F.size("_words").alias("_n"), "phrase", "rule", "priority")
+    sizes = [r["_n"] for r in table.select("_n").distinct().collect()]  # as many as phrases differ in length
+    if not sizes:
+        return texts.withColumns({"rule": F.lit(None).cast("string"), "phrase": F.lit(None).cast("string")})
+    many = table.count() > broadcast_rules
+    table = table if many else F.broadcast(table)
+    words = texts.select(*[quoted(k).alias(f"_k{i}") for i, k in enumerate(key)], _words(quoted(text)).alias("_w"))
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1))
+        return F.transform(
+            F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.array_join(F.slice("_w", i, n), " ")
+        )
+
+    runs = F.flatten(F.array(*[runs_of(n) for n in sorted(sizes)]))
+    keys = [f"_k{i}" for i in range(len(key))]
+    found = words.select(*keys, F.explode(F.array_distinct(runs)).alias("_run")).join(table, "_run")
+    order = F.struct("priority", (-F.col("_n")).alias("size"), "phrase", "rule")
+    best = found.groupBy(*keys).agg(F.min(order).alias("_best"))
+    same = [quoted(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    out = texts.join(best, same, "left")
+    return out.select(*[quoted(c) for c in texts.columns], F.col("_best.rule").alias("rule"), F.col("_best.phrase").alias("phrase"))
+
+
+def _words(text: Column) -> Column:
+    """The words of a text in normal form."""
+    return F.filter(F.split(normalize_text(text), _NOT_WORD), lambda w: w != "")
 
 
 def detect_aggregation(questions: DataFrame, text: str = "text") -> DataFrame:

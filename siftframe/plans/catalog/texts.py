@@ -508,6 +508,31 @@ def _(t):
 _NORMAL = (
     "regexp_replace(regexp_replace(lower(text), '[_\\-]+', ' ', 'g'), '" + SPACE + "+', ' ', 'g')"
 )
+_RUN = "trim(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))".format(_NORMAL)
+
+
+@query(
+    "tag_by_phrases",
+    f"""WITH d AS (SELECT doc_id, concat(' ', {_RUN}, ' ') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_RUN}, '[^ ]+') AS w FROM benchmark),
+        p AS (SELECT array_to_string(w[1 : 1 + item_id % 3], ' ') AS phrase, concat('item ', item_id) AS rule,
+                     item_id % 7 AS priority FROM b),
+        f AS (SELECT doc_id, phrase, rule, row_number() OVER (PARTITION BY doc_id ORDER BY priority,
+                len(string_split(phrase, ' ')) DESC, phrase, rule) AS k
+              FROM d JOIN p ON contains(w, concat(' ', phrase, ' ')))
+        SELECT documents.doc_id, n_chars, rule, phrase FROM documents LEFT JOIN f ON f.doc_id = documents.doc_id AND k = 1""",
+)
+def _(t):
+    """The first words of the test items as rules, over whole documents."""
+    first = F.slice(Q._words(F.col("text")), 1, (1 + F.col("item_id") % 3).cast("int"))
+    rules = t.benchmark.select(
+        F.array_join(first, " ").alias("phrase"),
+        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("rule"),
+        (F.col("item_id") % 7).alias("priority"),
+    )
+    return Q.tag_by_phrases(t.documents, rules, ["doc_id"]).select("doc_id", "n_chars", "rule", "phrase")
+
+
 _AGG_CASES = " ".join(
     f"WHEN regexp_matches({_NORMAL}, '(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])') THEN '{a}'"
     for w, a in sorted(Q.AGGREGATE_WORDS.items(), key=lambda x: len(x[0]), reverse=True)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftframe.operators import questions as Q
 
@@ -153,3 +154,44 @@ def test_aggregates_and_columns(spark):
     )
     got = [r["mentioned"] for r in Q.mentioned_columns(df, ["revenue", "net_revenue", "cost"]).collect()]
     assert got == [["net_revenue", "cost"], ["revenue", "net_revenue"], []]
+
+
+def test_rules_and_phrases_are_data(spark):
+    df = spark.createDataFrame([("Which region sells best?",), ("please EXPLAIN that",), ("zebra count",), (None,)], "text string")
+
+    def tags(**tables):
+        return [r["intent"] for r in Q.tag_intent(df.coalesce(1), "text", ["region"], ["sales"], ["region"], **tables).collect()]
+
+    plain = tags()
+    assert plain == tags(phrases=Q.intent_phrases(spark), rules=Q.intent_rules(spark))
+    more = Q.intent_phrases(spark).union(spark.createDataFrame([("zebra", "zebra", "word")], Q.PHRASE_SCHEMA))
+    rules = Q.intent_rules(spark).union(spark.createDataFrame([(-1, "animals", ["zebra"], ["followup"])], Q.RULE_SCHEMA))
+    assert tags(phrases=more, rules=rules) == [*plain[:2], "animals", "local_query"]
+    with pytest.raises(ValueError, match="bars"):
+        tags(rules=rules.drop("bars"))
+
+
+def test_the_plan_does_not_grow_with_the_phrases(spark):
+    df = spark.range(3).select(F.col("id").cast("string").alias("text"))
+    many = spark.range(5000).selectExpr("'c' AS clue", "concat('phrase ', id) AS phrase", "'inside' AS how")
+    size = lambda x: len(x._jdf.queryExecution().optimizedPlan().toString())
+    assert size(Q.tag_intent(df, phrases=many)) < 1.5 * size(Q.tag_intent(df, phrases=many.limit(1))) + 2000
+
+
+def phrase_rows(spark):
+    return spark.createDataFrame(
+        [("Net  Revenue", "money", 5), ("revenue", "other", 5), ("late_delivery", "late", 1), ("--", "none", 0), ("net revenue", "again", 9)],
+        "phrase string, rule string, priority int",
+    )
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_phrases_join_the_runs_of_words(spark, most):
+    rows = [(1, "x", "the NET-revenue, and revenue"), (2, None, "revenues only"), (None, "y", "Late delivery of net revenue"), (3, "z", None), (4, "", "")]
+    texts = spark.createDataFrame(rows + rows[:1], "id int, phrase2 string, text string")
+    got = Q.tag_by_phrases(texts.dropDuplicates(), phrase_rows(spark), ["id", "phrase2"], broadcast_rules=most).collect()
+    found = {r["id"]: (r["rule"], r["phrase"]) for r in got}
+    nothing = (None, None)
+    assert found == {1: ("money", "Net  Revenue"), 2: nothing, None: ("late", "late_delivery"), 3: nothing, 4: nothing}
+    none = Q.tag_by_phrases(texts, phrase_rows(spark).where("phrase = '--'"), ["id"], broadcast_rules=most)
+    assert {r["rule"] for r in none.collect()} == {None}
