@@ -89,9 +89,12 @@ from .operators.profiling import (
 )
 from .operators.questions import (
     detect_aggregation,
+    intent_phrases,
+    intent_rules,
     mentioned_columns,
     previous_answer,
     recent_context,
+    tag_by_phrases,
     tag_intent,
     valid_turns,
 )
@@ -101,6 +104,7 @@ from .operators.selection import (
     filter_count,
     filter_page,
     filter_rows,
+    keyed_samples,
     numeric_sample,
     pair_sample,
     preview_rows,
@@ -115,6 +119,7 @@ from .operators.statistics import (
 )
 from .operators.timeseries import (
     daily_series,
+    forecast_groups,
     linear_forecast,
     normalized_series,
     series_peak_low,
@@ -139,6 +144,7 @@ from .sources.files import (
     read_tsv,
     with_row_position,
 )
+from .sources.sniffing import load_delimited, sniff_types
 from .sources.store import Dataset, open_dataset, persist_dataset
 
 __all__ = [name for name in dir() if not name.startswith("_")]

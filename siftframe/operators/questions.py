@@ -7,6 +7,7 @@ that precedes them.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -293,20 +294,29 @@ RULE_SCHEMA = "priority int, intent string, needs array<string>, bars array<stri
 
 def intent_phrases(spark: SparkSession) -> DataFrame:
     """(clue, phrase, how): the phrases that :func:`tag_intent` looks for, as a table to change."""
-    return spark.createDataFrame(_default_phrases(), PHRASE_SCHEMA)
+    return _table(spark, _default_phrases(), PHRASE_SCHEMA)
 
 
 def intent_rules(spark: SparkSession) -> DataFrame:
     """(priority, intent, needs, bars): its rules; the least priority that applies decides."""
-    return spark.createDataFrame(_default_rules(), RULE_SCHEMA)
+    return _table(spark, _default_rules(), RULE_SCHEMA)
 
 
-def _as_array(table: DataFrame, schema: str) -> Column:
-    """A small table as one value, an array of its rows."""
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that is a constant of the plan; no task runs Python for it."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    kind = ", ".join(part.replace(" ", ":") for part in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
+def _as_array(table: DataFrame, schema: str, which: Column | None = None) -> Column:
+    """A small table as one value, an array of its rows (of those with ``which``)."""
     names = [part.split()[0] for part in schema.split(", ")]
     missing = [n for n in names if n not in table.columns]
     if missing:
         raise ValueError(f"the table has no column {', '.join(missing)}")
+    table = table if which is None else table.where(which)
     return table.agg(F.array_sort(F.collect_list(F.struct(*names)))).scalar()
 
 
@@ -349,22 +359,29 @@ def _mentions(norm: Column, columns: list[str]) -> Column:
     )
 
 
-def _clues(phrases: Column, q: Column, words: Column) -> Column:
-    """The clues whose phrases a text has."""
-    padded = F.concat(F.lit(" "), q, F.lit(" "))
+def _clues(words_of: Column, phrases: Column, q: Column, words: Column) -> Column:
+    """The clues of a text: by its words (``words_of``: word -> clues) and by ``phrases``."""
 
-    def holds(p: Column) -> Column:
+    def holds(p: Column, of: Column) -> Column:
         pattern = F.concat(F.lit(_EDGE_BEFORE + r"\Q"), p["phrase"], F.lit(r"\E" + _EDGE_AFTER))
         return (
-            F.when(p["how"] == WORD, F.array_contains(words, p["phrase"]))
-            .when(p["how"] == INSIDE, F.contains(padded, p["phrase"]))
-            .when(p["how"] == PART, F.contains(q, p["phrase"]))
-            .when(p["how"] == WHOLE, F.contains(q, p["phrase"]) & F.regexp(q, pattern))
-            .when(p["how"] == ENDS, F.endswith(q, p["phrase"]))
+            F.when(p["how"] == PART, F.contains(of["q"], p["phrase"]))
+            .when(p["how"] == INSIDE, F.contains(of["padded"], p["phrase"]))
+            .when(p["how"] == WHOLE, F.contains(of["q"], p["phrase"]) & F.regexp(of["q"], pattern))
+            .when(p["how"] == ENDS, F.endswith(of["q"], p["phrase"]))
             .otherwise(F.lit(False))
         )
 
-    return F.transform(F.filter(phrases, holds), lambda p: p["clue"])
+    def found(of: Column) -> Column:
+        return F.transform(F.filter(phrases, lambda p: holds(p, of)), lambda p: p["clue"])
+
+    # The forms of the text are the value of a lambda, so they are made once and not per phrase.
+    padded = F.concat(F.lit(" "), q, F.lit(" "))
+    forms = F.struct(q.alias("q"), padded.alias("padded"))
+    by_phrase = F.get(F.transform(F.array(forms), found), F.lit(0))
+    known = F.array_intersect(words, F.map_keys(words_of))
+    by_word = F.flatten(F.transform(known, lambda w: F.element_at(words_of, w)))
+    return F.concat(by_word, by_phrase)
 
 
 def tag_intent(
@@ -390,16 +407,19 @@ def tag_intent(
     """
     columns, numeric, groups = columns or [], numeric or [], groups or []
     spark = questions.sparkSession
-    said = _as_array(intent_phrases(spark) if phrases is None else phrases, PHRASE_SCHEMA)
+    phrases = intent_phrases(spark) if phrases is None else phrases
+    said = _as_array(phrases, PHRASE_SCHEMA, F.col("how") != WORD)
+    single = phrases.where(F.col("how") == WORD).groupBy("phrase").agg(F.collect_set("clue").alias("clues"))
+    words_of = single.agg(F.map_from_entries(F.collect_list(F.struct("phrase", "clues")))).scalar()
     meant = _as_array(intent_rules(spark) if rules is None else rules, RULE_SCHEMA)
     # Worked out once per row: the text itself, its normal form, its words.
     prepared = questions.withColumns(
         {
             "_q": F.lower(strip_space(quoted(text))), "_norm": normalize_text(quoted(text)),
-            "_said": said, "_meant": meant,
+            "_said": said, "_meant": meant, "_words_of": words_of,
         }
     ).withColumn("_words", F.split("_q", _NOT_WORD))
-    prepared = prepared.withColumn("_clues", _clues(F.col("_said"), F.col("_q"), F.col("_words")))
+    prepared = prepared.withColumn("_clues", _clues(*map(F.col, ("_words_of", "_said", "_q", "_words"))))
     q, norm = F.col("_q"), F.col("_norm")
 
     def count_of(tests: list[Column]) -> Column:
@@ -439,7 +459,7 @@ def tag_intent(
     intent = F.get(F.transform(applies, lambda r: r["intent"]), F.lit(0))
     tagged = prepared.withColumn("intent", F.when(q.isNotNull(), intent))
     return tagged.withColumn("intent", F.coalesce("intent", F.lit("local_query"))).drop(
-        "_q", "_norm", "_clues", "_said", "_meant", "_words"
+        "_q", "_norm", "_clues", "_said", "_meant", "_words", "_words_of"
     )
 
 

@@ -293,13 +293,90 @@ def is_read_only(sql: str, name: str = "main_table") -> bool:
     return _reads_only(spark._jvm, plan, {name.lower()})
 
 
-def readonly_sql(df: DataFrame, sql: str, name: str = "main_table") -> DataFrame:
+def _nodes(plan):
+    """A plan, what is below it and the plans of its subqueries."""
+    yield plan
+    for seq in (plan.children(), plan.subqueries()):
+        for i in range(seq.size()):
+            yield from _nodes(seq.apply(i))
+
+
+def _generated(jvm, node) -> list[float]:
+    """How many rows the generators of a node make of one row; infinite if its data decide."""
+
+    def sizes(expression):
+        kind = expression.getClass().getSimpleName()
+        if kind in ("Sequence", "ArrayRepeat", "StringRepeat"):
+            parts = [expression.children().apply(i) for i in range(expression.children().size())]
+            parts = parts if kind == "Sequence" else parts[-1:]
+            values = [p.eval(None) for p in parts] if all(p.foldable() for p in parts) else [None]
+            if any(isinstance(v, bool) or not isinstance(v, (int, float)) for v in values):
+                yield float("inf")  # from the data, or dates and times, whose steps are not numbers
+            elif kind == "Sequence":
+                yield abs(values[1] - values[0]) / max(abs(values[2]) if len(values) > 2 else 1, 1e-300) + 1
+            else:
+                yield values[0]
+        else:
+            for i in range(expression.children().size()):
+                yield from sizes(expression.children().apply(i))
+
+    expressions = node.expressions()
+    return [n for i in range(expressions.size()) for n in sizes(expressions.apply(i))]
+
+
+def admit(df: DataFrame, side_rows: int = 1000, generated: int = 100_000) -> None:
+    """ValueError if a query's plan has a step whose output is not bounded by its input.
+
+    Refused are joins without an equality that Spark could join by, unless one side has at
+    most ``side_rows`` rows for certain (an aggregate of the whole, a limit); sequences and
+    repeats of more than ``generated`` elements, or of a number that comes from the data;
+    and number tables longer than that. Nothing is run.
+    """
+    jvm = df.sparkSession._jvm
+    # Before the optimiser, as that works out constant sequences.
+    for node in _nodes(df._jdf.queryExecution().analyzed()):
+        kind = node.getClass().getSimpleName()
+        if any(n > generated for n in _generated(jvm, node)):
+            raise ValueError(f"a sequence or repeat may make more than {generated} elements")
+        if kind == "Range" and int(node.numElements()) > generated:
+            raise ValueError(f"a number table has more than {generated} rows")
+    planning = jvm.org.apache.spark.sql.catalyst.planning
+    for node in _nodes(df._jdf.queryExecution().optimizedPlan()):
+        if node.getClass().getSimpleName() != "Join":
+            continue
+        keyed = planning.ExtractEquiJoinKeys.unapply(node).isDefined()
+        keyed = keyed or planning.ExtractSingleColumnNullAwareAntiJoin.unapply(node).isDefined()
+        small = [side.maxRows() for side in (node.left(), node.right())]
+        if not keyed and not any(m.isDefined() and m.get() <= side_rows for m in small):
+            raise ValueError("a join has no equality to join by, and no side that is small for certain")
+
+
+def readonly_sql(
+    df: DataFrame,
+    sql: str,
+    name: str = "main_table",
+    max_rows: int | None = None,
+    side_rows: int | None = 1000,
+    generated: int = 100_000,
+) -> DataFrame:
     """Run one read-only statement over ``df``, visible to it as ``main_table``.
 
-    Nothing else of the session can be read, and no view of it is replaced.
+    Nothing else of the session can be read, and no view of it is replaced. Statements
+    whose plan can grow beyond the table are refused (see :func:`admit`; ``side_rows=None``
+    admits them). ``max_rows`` cuts the result; None returns all of it.
     """
     if not is_read_only(sql, name):
         raise ValueError("only a single read-only SELECT or WITH statement is accepted")
+    if side_rows is not None:
+        # How the table itself came about plays no part: the plan judged has a table of
+        # its form in its place, of which the optimiser knows no size. Nothing is run.
+        unknown = df.sparkSession.createDataFrame(df.sparkSession.sparkContext.emptyRDD(), df.schema)
+        admit(_statement(unknown, sql, name), side_rows, generated)
+    out = _statement(df, sql, name)
+    return out if max_rows is None else out.limit(max_rows)
+
+
+def _statement(df: DataFrame, sql: str, name: str) -> DataFrame:
     private = f"_readonly_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(private)
     try:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.expressions import try_date, try_numeric
+from ..functions.expressions import quoted, try_date, try_numeric
 
 GRAINS = ("day", "week", "month", "year")
 _STABLE_PCT = 1.0  # fixed value: changes up to this count as stable
@@ -158,3 +159,79 @@ def linear_forecast(df: DataFrame, date: str, metric: str, horizon: int = 7) ->
         F.lit(None).cast("double").alias("forecast"),
     )
     return known.unionByName(ahead)
+
+
+_WEEKDAY_SPAN = 14  # fixed value: days from which weekdays are told apart
+
+
+def dense_days(daily: DataFrame, by: list[str], day: str = "x", value: str = "y") -> DataFrame:
+    """Daily values with the days between the first and the last of each group that have
+    none, as 0.0: every row brings the missing days up to the next one. One row per group
+    and day in, so what a window holds is bounded by the calendar."""
+    following = F.lead(day).over(Window.partitionBy(*map(quoted, by)).orderBy(day))
+    rows = daily.withColumn("_next", following)
+    upto = F.coalesce(F.date_sub("_next", 1), F.col(day))
+    rows = rows.select("*", F.explode(F.sequence(F.col(day), upto)).alias("_d"))
+    return rows.select(
+        *map(quoted, by), F.col("_d").alias(day), F.when(F.col("_d") == F.col(day), F.col(value)).otherwise(F.lit(0.0)).alias(value)
+    )
+
+
+def forecast_groups(
+    df: DataFrame, date: str, metric: str, by: list[str], horizon: int = 7, weekday: bool = False
+) -> DataFrame:
+    """(by..., x, y, forecast): the daily totals of each group and their continuation.
+
+    Every group has one row for each day from its first to its last, with ``y`` (0.0 where
+    it has no rows), and one for each of the ``horizon`` days after, with ``forecast``. The
+    line is the least-squares one through all its days. With ``weekday`` each day of the
+    week has a level of its own beside a common slope (the least-squares solution for both
+    together), in groups that span two weeks or more. A group of one day is continued at
+    its value. Rows without a date are left out, NULL groups are kept. All groups are done
+    at once: sums per group and weekday, of which at most seven are put together.
+    """
+    if horizon < 1:
+        raise ValueError(f"horizon is {horizon}; at least one day is needed")
+    if not by:
+        raise ValueError("at least one column to group by is needed; see linear_forecast")
+    names = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(
+        *[quoted(n).alias(k) for n, k in zip(by, names, strict=True)],
+        try_date(df, date).alias("x"),
+        try_numeric(df, metric).alias("_m"),
+    ).where(F.col("x").isNotNull())
+    daily = rows.groupBy(*names, "x").agg(F.coalesce(F.sum("_m"), F.lit(0.0)).alias("y"))
+    dense = dense_days(daily, names)
+    t = F.datediff("x", F.lit("1970-01-01").cast("date")).cast("double")
+    y = F.col("y")
+    week = dense.withColumn("_t", t).groupBy(*names, F.dayofweek("x").alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_t").alias("t"), F.avg(y).alias("y"),
+        F.var_pop("_t").alias("tt"), F.covar_pop("_t", y).alias("ty"), F.max("x").alias("last"),
+    )
+    groups = week.groupBy(*names).agg(
+        F.collect_list(F.struct("w", "n", "t", "y", "tt", "ty")).alias("week"), F.max("last").alias("last"), F.sum("n").alias("days")
+    )
+
+    def total(f) -> Column:
+        return F.aggregate("week", F.lit(0.0), lambda a, d: a + d["n"] * f(d))
+
+    mean_t, mean_y = total(lambda d: d["t"]) / F.col("days"), total(lambda d: d["y"]) / F.col("days")
+    groups = groups.withColumns({"mt": mean_t, "my": mean_y})
+    # Sums of squares within weekdays, and those of the weekdays' means around the whole.
+    within = F.try_divide(total(lambda d: d["ty"]), total(lambda d: d["tt"]))
+    across = F.try_divide(
+        total(lambda d: d["ty"] + (d["t"] - F.col("mt")) * (d["y"] - F.col("my"))),
+        total(lambda d: d["tt"] + (d["t"] - F.col("mt")) * (d["t"] - F.col("mt"))),
+    )
+    by_week = F.lit(weekday) & (F.col("days") >= _WEEKDAY_SPAN)
+    groups = groups.withColumn("slope", F.coalesce(F.when(by_week, within).otherwise(across), F.lit(0.0)))
+    own = F.map_from_entries(F.transform("week", lambda d: F.struct(d["w"], d["y"] - F.col("slope") * d["t"])))
+    groups = groups.withColumn("level", F.when(by_week, own)).withColumn("base", F.col("my") - F.col("slope") * F.col("mt"))
+    ahead = groups.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    ahead = ahead.withColumn("x", F.date_add("last", F.col("step")))
+    level = F.coalesce(F.element_at("level", F.dayofweek("x")), F.col("base"))
+    none = F.lit(None).cast("double")
+    out = dense.select(*names, "x", "y", none.alias("forecast")).unionByName(
+        ahead.select(*names, "x", none.alias("y"), (level + F.col("slope") * t).alias("forecast"))
+    )
+    return out.select(*[F.col(k).alias(n) for n, k in zip(by, names, strict=True)], "x", "y", "forecast")

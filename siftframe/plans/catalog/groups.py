@@ -491,3 +491,42 @@ def _(t):
 )
 def _(t):
     return rounded(T.linear_forecast(t.events, "ts", "value"), 2)
+
+
+def _forecast_sql(weekday: bool) -> str:
+    """Least squares per event type over all its days; with a level for each weekday, the
+    slope is the one within weekdays."""
+    line = """SELECT k, regr_slope(y, t) AS slope, regr_intercept(y, t) AS base, MAX(x) AS last FROM dense GROUP BY k"""
+    level = "base"
+    if weekday:
+        line = """SELECT k, SUM(ty) / SUM(tt) AS slope, MAX(last) AS last FROM (
+            SELECT k, dayofweek(x) AS w, covar_pop(t, y) * COUNT(*) AS ty, var_pop(t) * COUNT(*) AS tt, MAX(x) AS last
+            FROM dense GROUP BY ALL) GROUP BY k"""
+        level = """(SELECT AVG(y) - slope * AVG(t) FROM dense d WHERE d.k = l.k
+                    AND dayofweek(d.x) = dayofweek(l.last + CAST(step AS INTEGER)))"""
+    return f"""
+      WITH d AS (SELECT event_type AS k, CAST(ts AS DATE) AS x, SUM(value) AS y FROM events
+                 WHERE event_id % 5 <> 0 OR user_id % 2 = 0 GROUP BY ALL),
+      span AS (SELECT k, MIN(x) AS a, MAX(x) AS b FROM d GROUP BY k),
+      dense AS (SELECT span.k, CAST(g.x AS DATE) AS x, COALESCE(d.y, 0) AS y, date_diff('day', DATE '1970-01-01', CAST(g.x AS DATE)) AS t
+                FROM span, LATERAL (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS x) AS g
+                LEFT JOIN d ON d.k = span.k AND d.x = CAST(g.x AS DATE)),
+      l AS ({line})
+      SELECT k AS event_type, x, round(y, 6) AS y, CAST(NULL AS DOUBLE) AS forecast FROM dense
+      UNION ALL SELECT k, last + CAST(step AS INTEGER), NULL,
+        round({level} + slope * date_diff('day', DATE '1970-01-01', last + CAST(step AS INTEGER)), 6)
+      FROM l, generate_series(1, 10) AS g(step)"""
+
+
+def _some_events(t):
+    return t.events.where((F.col("event_id") % 5 != 0) | (F.col("user_id") % 2 == 0))
+
+
+@query("forecast_groups", _forecast_sql(False))
+def _(t):
+    return rounded(T.forecast_groups(_some_events(t), "ts", "value", ["event_type"], 10), 6)
+
+
+@query("forecast_groups_by_weekday", _forecast_sql(True))
+def _(t):
+    return rounded(T.forecast_groups(_some_events(t), "ts", "value", ["event_type"], 10, weekday=True), 6)

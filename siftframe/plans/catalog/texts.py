@@ -135,6 +135,21 @@ def _(t):
     return sniffing.sniff_types(raw).select("column_name", "type", "values")
 
 
+@query(
+    "clustered_filter",
+    """SELECT COUNT(*) AS count, SUM(l_quantity) AS quantity FROM lineitem
+       WHERE l_shipdate BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-03-31' OR l_shipdate IS NULL""",
+)
+def _(t):
+    """Lines stored in order of their day; the filter reads few row groups."""
+    kept = store.persist_dataset(t.lineitem, scratch_path(t.spark, "clustered"), "lines", "lines", ["l_shipdate"])
+    day = F.col("l_shipdate")
+    low, high = (F.lit(d).cast("timestamp_ntz") for d in ("1995-03-01", "1995-03-31"))
+    return kept.table.where(day.between(low, high) | day.isNull()).agg(
+        F.count(F.lit(1)).alias("count"), F.sum("l_quantity").alias("quantity")
+    )
+
+
 @query("clean_names", "SELECT c_custkey AS a, c_name AS a_2, c_acctbal AS a_1, c_nationkey AS \"ID_1\", c_mktsegment AS \"id_1_1\" FROM customer")
 def _(t):
     """Repeated names, in one case or two, beside names that look like their numbers."""

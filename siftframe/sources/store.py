@@ -14,7 +14,9 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.expressions import quoted
 from .scratch import remove_path
 
 _METADATA = "dataset_id string, filename string, row_count bigint, folder string, version bigint"
@@ -46,15 +48,45 @@ def _log(spark: SparkSession, base: str) -> DataFrame | None:
         return None
 
 
-def persist_dataset(df: DataFrame, root: str, dataset_id: str, filename: str) -> Dataset:
+def clustered(df: DataFrame, columns: list[str], files: int) -> DataFrame:
+    """``df`` in ``files`` ranges of ``columns``, each in order, so that the smallest and
+    largest values Parquet keeps of its row groups tell which ones a filter can skip.
+
+    A value that fills more than a range is spread by a hash of the row over several.
+    """
+    missing = [c for c in columns if c not in df.columns]
+    if missing or not columns:
+        raise ValueError(f"no column to cluster by: {', '.join(missing) or 'none given'}")
+    if files < 1:
+        raise ValueError(f"files is {files}; at least one is needed")
+    plain = [quoted(f.name) for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    order = [quoted(c) for c in columns]
+    return df.repartitionByRange(files, *order, F.xxhash64(*plain)).sortWithinPartitions(*order)
+
+
+def persist_dataset(
+    df: DataFrame,
+    root: str,
+    dataset_id: str,
+    filename: str,
+    cluster_by: list[str] | None = None,
+    files: int | None = None,
+    row_group_mb: int = 128,
+) -> Dataset:
     """Write ``df`` as the next version of ``dataset_id`` below ``root``.
 
+    With ``cluster_by`` the rows are written in ranges of these columns (see
+    :func:`clustered`), as many as ``files`` (default: ``spark.sql.shuffle.partitions``),
+    so filters on the first of them read only the row groups they need.
+
     AnalysisException if another writer has taken the version number meanwhile.
     """
     spark, base, folder = df.sparkSession, _base(root, dataset_id), uuid.uuid4().hex
     log = _log(spark, base)
     version = 1 if log is None else (log.agg(F.max("version")).head()[0] or 0) + 1
-    df.write.parquet(f"{base}/data/{folder}")
+    if cluster_by is not None:
+        df = clustered(df, cluster_by, files or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.option("parquet.block.size", row_group_mb << 20).parquet(f"{base}/data/{folder}")
     # Counted from what was written: Parquet footers hold the number of rows.
     written = spark.read.parquet(f"{base}/data/{folder}")
     row = written.agg(F.count(F.lit(1)).alias("row_count")).select(
