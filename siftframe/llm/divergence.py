@@ -319,14 +319,14 @@ def audit(
 
     blocks = max(1, -(-most_sources // block_sources))
     cores = spark.sparkContext.defaultParallelism
-    buckets = max(1, -(-n_rows // cell_rows), min(2 * cores, -(-n_rows // _CHUNK)))
+    buckets = max(1, -(-n_rows // cell_rows), min(8 * cores, -(-n_rows // _CHUNK)))
     block = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int").alias("block")
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     left = _cells(kept.select("lang", "source", "term", "occurrences", bucket, block), blocks)
     spread = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
     right = _cells(groups.select("lang", "source", "total", "terms", spread, block), blocks)
     cell = ["lang", "bucket", "i", "j"]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * cores)
     left, right = left.repartition(tasks, *cell), right.repartition(tasks, *cell)
     sums = (
         left.groupBy(*cell)
