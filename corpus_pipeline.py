@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftframe.llm import decontamination, language, near, packing, secrets
 from siftframe.llm.queries import public_tokenizer, table
@@ -32,13 +31,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each class; of rows with the same
-    doc_id and text, one. Rows without doc_id stay."""
-    classes = near.near_copies(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi")
-    again = Window.partitionBy("doc_id", F.md5("text")).orderBy(F.lit(0))
-    kept = kept.withColumn("__n__", F.row_number().over(again)).where(F.col("__n__") == 1)
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Keep the row with the least doc_id of each class (ties: the least digest of the text);
+    of rows with the same doc_id and text, one. Rows without doc_id stay."""
+    return near.drop_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -319,36 +319,22 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return stored(labels, "near-labels")
 
 
-def near_copies(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = SHINGLE,
-    similarity: float = SIMILARITY,
-    recall: float = RECALL,
-    leaf_size: int = LEAF_SIZE,
-) -> DataFrame:
-    """One row per row of ``docs``: the id, ``class_id`` and ``n_links``.
-
-    ``n_links`` counts the other rows whose shingle set has a Jaccard similarity
-    of at least ``similarity`` (equal sets included), ``class_id`` is the least
-    id of all rows that are joined by links, directly or through others.
-
-    Words as in ``text``; a text of fewer than ``size`` words is one shingle of
-    all its words. Null and word-free texts are similar to nothing: each is its
-    own class without links. Rows without id take no part and get a null class
-    and 0 links. Repeated rows link each other. Other columns are not used.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    named = rows.where("id IS NOT NULL")
-    prints = named.withColumn("print", _fingerprint(size)(F.col("text"))).select("id", "print.*")
+def _classes(
+    named: DataFrame, size: int, similarity: float, recall: float, leaf_size: int
+) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, text): their prints (id, key, digest, ...) and, per shingle set, (key,
+    low, digest, class_key, class_id, n_links). ``low`` and ``digest`` tell the row of the
+    set that comes first by id, then by digest of the text; both tables are stored."""
+    prints = named.withColumn("print", _fingerprint(size)(F.col("text")))
+    prints = prints.select("id", "print.*", _digest(F.col("text")).alias("digest"))
     prints = stored(prints, "near-prints")
     sets = prints.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("id").alias("low"),
+        F.min(F.struct("id", "digest")).alias("first"),
         F.count(F.lit(1)).alias("copies"),
         F.first("size").alias("size"),
         F.first("marks").alias("marks"),
     )
+    sets = sets.select("*", F.col("first.id").alias("low"), F.col("first.digest").alias("digest")).drop("first")
     sets = stored(sets, "near-sets")
 
     leaves = _leaves(sets, similarity, recall, leaf_size).join(sets.select("key", "size", "marks"), "key")
@@ -374,16 +360,77 @@ def near_copies(
     total = verified.groupBy("key").agg(F.sum("links").alias("links"))
     linked = total.join(labels.withColumnRenamed("node", "key"), "key").join(sets.select("key", "low"), "key")
     lows = linked.groupBy("label").agg(F.min("low").alias("class_low"))
-    linked = linked.join(lows, "label").select("key", "links", "class_low")
-    classes = sets.select("key", "low", "copies").join(linked, "key", "left")
+    linked = linked.join(lows, "label").select("key", "label", "links", "class_low")
+    classes = sets.select("key", "low", "digest", "copies").join(linked, "key", "left")
     classes = classes.select(
         "key",
+        "low",
+        "digest",
+        F.coalesce("label", "key").alias("class_key"),
         F.coalesce("class_low", "low").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
     classes = stored(classes, "near-classes")
+    return prints, classes
+
+
+def _digest(text: Column) -> Column:
+    return F.coalesce(F.md5(text), F.lit(""))
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+    leaf_size: int = LEAF_SIZE,
+) -> DataFrame:
+    """One row per row of ``docs``: the id, ``class_id`` and ``n_links``.
+
+    ``n_links`` counts the other rows whose shingle set has a Jaccard similarity
+    of at least ``similarity`` (equal sets included), ``class_id`` is the least
+    id of all rows that are joined by links, directly or through others.
+
+    Words as in ``text``; a text of fewer than ``size`` words is one shingle of
+    all its words. Null and word-free texts are similar to nothing: each is its
+    own class without links. Rows without id take no part and get a null class
+    and 0 links. Repeated rows link each other. Other columns are not used.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints, classes = _classes(rows.where("id IS NOT NULL"), size, similarity, recall, leaf_size)
+    classes = classes.select("key", "class_id", "n_links")
     full = prints.where("key IS NOT NULL").select("id", "key").join(classes, "key")
     empty = prints.where("key IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     nameless = rows.where("id IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     out = full.select("id", "class_id", "n_links").unionAll(empty).unionAll(nameless)
     return out.withColumnRenamed("id", id_col)
+
+
+def drop_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+    leaf_size: int = LEAF_SIZE,
+) -> DataFrame:
+    """The rows of ``docs`` that are left when one row of each class of near copies stays.
+
+    The row with the least id of the class stays (ties: the least MD5 of the text). Rows are
+    told apart by id and text, so two texts under one id are decided on their own, and of
+    rows that agree in both any one stays. Texts without words are no one's copy, nor are
+    rows without id: the latter all stay. All columns are kept, whatever their names. Equal
+    rows are put together before the shuffle, so one row stored very often is no hot task.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints, classes = _classes(rows.where("id IS NOT NULL"), size, similarity, recall, leaf_size)
+    first = classes.groupBy("class_key").agg(F.min(F.struct("low", "digest")).alias("first"))
+    wanted = first.select(F.col("first.low").alias("id"), F.col("first.digest").alias("digest"))
+    wanted = wanted.unionAll(prints.where("key IS NULL").select("id", "digest").distinct())
+    once = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("digest"))
+    once = once.agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    kept = once.join(wanted, ["id", "digest"], "left_semi").select("row.*")
+    return kept.unionAll(docs.where(F.col(id_col).isNull()))

@@ -92,3 +92,24 @@ def test_least_hashes_estimate_similarity():
     b = np.concatenate([a[:900], rng.integers(0, 2**63, 100).astype(np.uint64)])
     same = np.mean(near.least_hashes(a) == near.least_hashes(b))
     assert 0.6 < same < 0.97
+
+
+def test_one_row_of_each_class_stays(spark, docs_of):
+    a, b, c = ("one two three four five six seven eight", "alpha beta gamma delta epsilon zeta eta theta", "un deux trois quatre cinq six sept huit")
+    rows = [(3, b), (5, a), (5, b.upper()), (5, a), (7, c), (7, c + "."), (8, ""), (8, None), (8, ""), (9, a), (None, a), (None, a)]
+    docs = docs_of(rows).withColumnRenamed("lang", "row").withColumnRenamed("source", "digest")
+    out = near.drop_copies(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    # Of 5, the text that is a copy of 3 goes and the other one stays; of 7, one of two that are alike.
+    seven = [r for r in got if r[0] == 7]
+    assert len(seven) == 1 and seven[0][1] in (c, c + ".")
+    assert [r for r in got if r[0] != 7] == sorted([(3, b), (5, a), (8, ""), (8, None), (None, a), (None, a)], key=str)
+
+
+def test_a_row_stored_very_often_is_put_together_before_the_shuffle(spark, docs_of):
+    docs = docs_of([(1, "the same words in the same row again and again")] * 3000 + [(i, f"text number {i} of its own") for i in range(2, 30)])
+    out = near.drop_copies(docs.repartition(6))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(1, 30))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
