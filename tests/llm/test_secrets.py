@@ -1,9 +1,23 @@
+import random
 import re
+import string
+import time
 
 import pytest
 from conftest import AWKWARD
 
-from siftframe.llm.secrets import ACCESS, ASSIGN, HEX, find_secrets, named_literals, redact, secret_spans
+from siftframe.llm.secrets import (
+    ACCESS,
+    ASSIGN,
+    HEX,
+    SENSITIVE,
+    find_secrets,
+    literal_score,
+    name_score,
+    named_literals,
+    redact,
+    secret_spans,
+)
 
 
 def base(text):
@@ -60,6 +74,82 @@ def test_endless_values_are_not_followed():
     assert all(b <= len(text) for _, value, _ in named_literals(text) for _, b in value)
 
 
+def literals_of(text):
+    return [text[a:b] for a, b, kind in secret_spans(text) if kind == "literal"]
+
+
+@pytest.mark.parametrize("name", sorted(SENSITIVE))
+def test_every_listed_name_can_fire(name):
+    assert literals_of(f'{name.replace(" ", "_")} = "9f8A7b6C5d4E-xY"') == ["9f8A7b6C5d4E-xY"]
+
+
+@pytest.mark.parametrize("size", [31, 32, 33, 3_200, 4_800, 300_000])
+def test_literals_of_any_length(size):
+    key = ("9f8A7b6C5d4E-xY" * (size // 15 + 1))[:size]
+    assert literals_of(f'credentials = "{key}"') == [key]
+    assert literals_of(f"credentials = '''{key}'''") == [key]
+    assert literals_of(f'credentials = "{"x" * size}" ; pwd = "${{{key}}}"') == []
+    assert literals_of(f'credentials = "{key} {key}"') == []
+
+
+def test_names_of_any_length():
+    name = "a_" * 5_000 + "pwd"
+    assert literals_of(f'{name} = "9f8A7b6C5d4E-xY"') == ["9f8A7b6C5d4E-xY"]
+    assert literals_of(f"box['{name}'] = '9f8A7b6C5d4E-xY'") == ["9f8A7b6C5d4E-xY"]
+
+
+def test_constants_of_many_parts():
+    parts = [f"k{i:03}Z" for i in range(300)]
+    text = 'x = ""\n' + "".join(f'x = x + "{p}"\n' for p in parts) + "pwd = x\n"
+    assert literals_of(text) == parts
+    doubled = 'x = "9f8A7b6C5d4E"\n' + "x = x + x\n" * 3_000 + "pwd = x\n"
+    assert literals_of(doubled) == ["9f8A7b6C5d4E"]
+
+
+def test_scores_are_those_of_the_values_when_run():
+    random.seed(4)
+    names = ["a", "b", "pwd", "api_key", "auth", "note", "signing_key"]
+    for _ in range(200):
+        lines, known = [], {}
+        for _ in range(random.randint(1, 25)):
+            terms = []
+            for _ in range(random.randint(1, 3)):
+                if known and random.random() < 0.5:
+                    terms.append(random.choice(sorted(known)))
+                else:
+                    chars = random.choice(["x", "*", "aB3", "a b", "%", string.ascii_letters + string.digits])
+                    terms.append(f'"{"".join(random.choices(chars, k=random.randint(0, 30)))}"')
+            lines.append(f"{random.choice(names)} = {' + '.join(terms)}")
+            exec(lines[-1], {}, known)
+            if max(map(len, known.values())) > 10_000:
+                break
+        run, expected = {}, []
+        for line in lines:
+            exec(line, {}, run)
+            name = line.split(" ")[0]
+            if name_score(name):
+                expected.append((name, name_score(name) * literal_score(run[name])))
+        found = named_literals("\n".join(lines))
+        assert [(n, s) for n, _, s in found] == [(n, pytest.approx(s)) for n, s in expected]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "pwd = 'a " * 100_000,
+        'a: "' * 200_000,
+        'x = "9f8A7b6C5d4E"\n' + "x = x + x\n" * 100_000 + "pwd = x\n",
+        'x = "ab"\n' + 'x = x + "9f8A"\npwd = x\n' * 20_000,
+        "9" * 500_000 + "=" + "a.b-" * 200_000 + "= 1",
+    ],
+    ids=["open quotes", "many strings", "doubled constant", "growing constant", "long names"],
+)
+def test_long_texts_take_time_in_proportion(text):
+    begin = time.process_time()
+    secret_spans(text)
+    assert time.process_time() - begin < 20
+
+
 def test_awkward_rows(docs_of):
     rows = AWKWARD + [(30 + i, t) for i, t in enumerate(TEXTS)]
     docs = docs_of(rows).withColumnRenamed("source", "spans").withColumnRenamed("lang", "kind")
