@@ -11,6 +11,7 @@ and the masks at an n-gram's positions, and-ed, are all the languages that
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -129,6 +130,16 @@ def has_letters(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(lower)) or any(c.isalpha() for c in text.decode())
 
 
+def quotas(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """How many of each language's documents are taken: the same number of each, or all where there
+    are fewer, ``most`` together, but one of each language at least."""
+    quota, left, open_ = {}, most, len(sizes)
+    for lang, size in sorted(sizes.items(), key=lambda x: x[1]):
+        quota[lang] = min(size, max(1.0, left / open_))
+        left, open_ = left - quota[lang], open_ - 1
+    return quota
+
+
 def train(
     docs: DataFrame,
     text_col: str = "text",
@@ -141,10 +152,13 @@ def train(
     """Learn from the rows with a language; None if there are none.
 
     Of more than ``max_documents`` rows about that many are taken, by a hash of
-    ``key`` (default: the text). An n-gram belongs to each language in which its
-    share of all n-grams is at least ``typical`` times the largest share in any,
-    if it was seen there ``least_count`` times. Rows without language teach
-    nothing; missing and empty texts have no n-grams.
+    ``key`` (default: the text), each language as many as ``quotas`` gives it, so
+    that one with few documents keeps them all beside large ones. An n-gram belongs
+    to each language in which its share of all n-grams is at least ``typical``
+    times the largest share in any, if it was seen there ``least_count`` times (once
+    per document taken, if a language has fewer). Rows without language teach
+    nothing, rows without key are never taken when there are too many; missing and
+    empty texts have no n-grams.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"),
@@ -156,10 +170,12 @@ def train(
         return None
     languages = sorted(r["lang"] for r in known)
     common = max(known, key=lambda r: (r["count"], r["lang"]))["lang"]
-    n = sum(r["count"] for r in known)
-    if n > max_documents:
+    sizes = {r["lang"]: r["count"] for r in known}
+    taken = quotas(sizes, max_documents)
+    if sum(sizes.values()) > max_documents:
+        shares = F.create_map(*(F.lit(x) for lang in languages for x in (lang, taken[lang] / sizes[lang])))
         part = F.pmod(F.xxhash64("key", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-        rows = rows.where(part < max_documents / n)
+        rows = rows.where((part < shares[F.col("lang")]) & F.col("key").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +201,7 @@ def train(
     seen["share"] = seen["n"] / seen.groupby("lang")["n"].transform("sum")
     kept = seen[
         (seen["share"] >= typical * seen.groupby("gram")["share"].transform("max"))
-        & (seen["n"] >= least_count)
+        & (seen["n"] >= seen["lang"].map(lambda lang: min(least_count, math.ceil(taken[lang]))).astype("int64"))
     ]
     owner = np.searchsorted(np.array(languages, dtype=object), kept["lang"].to_numpy(dtype=object))
     return Model.build(
