@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
+from .storage import stored
 
 FILE_BYTES = 256 << 20
 REVISIT_BYTES = 1000
@@ -216,6 +217,7 @@ def _records(path: str) -> Iterator[tuple[int, str, dict[str, str], bytes]]:
             yield number, archive, fields, block
 
 
+_SALTS = 256
 _INDEX = "path string, number bigint, archive string, id string, uri string, date string, digest string, payload_bytes bigint"
 
 
@@ -255,12 +257,20 @@ def _batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
 
 def decide(records: DataFrame, order: Column, least: int = REVISIT_BYTES) -> DataFrame:
     """``records`` with ``first``: of equal payloads of ``least`` bytes or more, the one that the
-    others revisit (largest ``order``; ties: last by place); null for it and for smaller ones."""
+    others revisit (largest ``order``; ties: last by place); null for it and for smaller ones.
+
+    Records of a digest are in up to ``_SALTS`` parts, by their place, and the response is sent to
+    those parts that a repeated digest has, so a payload served any number of times is no single key.
+    """
     large, small = F.col("payload_bytes") >= least, F.col("payload_bytes") < least
     place = F.struct(order.alias("order"), "path", "number", "archive", "id", "uri", "date")
-    first = records.where(large).groupBy("digest").agg(F.max(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("digest", "first")
-    decided = records.where(large).join(first, "digest", "left")
+    salted = records.where(large).withColumn("salt", F.pmod(F.xxhash64("path", "number"), F.lit(_SALTS)).cast("int"))
+    parts = salted.groupBy("digest", "salt").agg(F.max(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = parts.groupBy("digest").agg(
+        F.max("first").alias("first"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")
+    )
+    first = first.where("n > 1").select("digest", "first", F.explode("salts").alias("salt"))
+    decided = salted.join(first, ["digest", "salt"], "left").drop("salt")
     own = (F.col("first.path") == F.col("path")) & (F.col("first.number") == F.col("number"))
     decided = decided.withColumn("first", F.when(~own, F.col("first")))
     return decided.unionByName(records.where(small), allowMissingColumns=True)
@@ -308,7 +318,7 @@ def convert(manifest: DataFrame, root: str, order: Column | None = None, least:
     ``order`` chooses the response among equal payloads (default: the id as a
     whole number); see ``decide``. Each ARC file becomes a WARC file.
     """
-    records = index(manifest)
+    records = stored(index(manifest), "archive-index")  # the files are read and hashed once for it
     order = F.expr("try_cast(id AS bigint)") if order is None else order
     decided = decide(records, order, least).select("path", "number", "first")
 

@@ -3,6 +3,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftframe.llm import archives
 from siftframe.sources.scratch import scratch_path
@@ -71,6 +72,22 @@ def test_records_are_separate_members(spark):
     assert b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" in text
 
 
+def test_responses_are_those_of_the_plain_rule(spark):
+    rows = [(f"p{i % 7}", i, "a", str(i // 3), "u", "d", f"hot{i % 50 // 49}" if i % 3 else f"cold{i}", 999 + i % 2) for i in range(3_000)]
+    records = spark.createDataFrame(rows, archives._INDEX)
+    order = F.expr("try_cast(id AS bigint)")
+    decided = archives.decide(records, order).collect()
+    assert len(decided) == len(rows)
+    last = {}
+    for path, number, _, i, _, _, digest, size in rows:
+        if size >= 1000:
+            last[digest] = max(last.get(digest, (-1, "", 0)), (int(i), path, number))
+    for r in decided:
+        response = last.get(r["digest"]) if r["payload_bytes"] >= 1000 else None
+        expected = None if response is None or response[1:] == (r["path"], r["number"]) else response
+        assert (r["first"] and (r["first"]["order"], r["first"]["path"], r["first"]["number"])) == expected
+
+
 def test_empty_table(spark):
     legacy, warc = written(spark, [])
     assert legacy.count() == warc.count() == archives.read_warc(warc).count() == 0
