@@ -230,13 +230,15 @@ def pack(
     executor has.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, id_col, text_col, capacity, with_ids), "pack-pieces")
+    numbered = pieces(docs, tokenizer, id_col, text_col, capacity, with_ids).withColumn("row", F.monotonically_increasing_id())
+    cut = stored(numbered, "pack-pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     total = sum(histogram.values())
     places = spark.sparkContext.broadcast(Places(whole_plan(histogram, capacity, rounds)))
 
     # Ranks within a length are counted in groups of bounded size, so that a length
-    # that many pieces have is no single task; there are at most 1000 groups more than
+    # that many pieces have is no single task, nor is a row that is stored many times:
+    # groups go by the stored number of the row. There are at most 1000 groups more than
     # lengths, or one more per million pieces.
     most = min(1_000_000, max(256, total // 1000))
     groups = {length: -(-count // most) for length, count in histogram.items()}
@@ -244,7 +246,7 @@ def pack(
     if split is None:
         salted = cut.withColumn("salt", F.lit(0).cast("bigint"))
     else:
-        salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), split[F.col("length")].cast("bigint")))
+        salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), split[F.col("length")].cast("bigint")))
     sizes = salted.groupBy("length", "salt").count().collect()
     first, taken = {}, Counter()
     for r in sorted(sizes, key=lambda r: (r["length"], r["salt"])):
@@ -260,7 +262,7 @@ def pack(
         sequence, offset = places.value.of(length.to_numpy(zero_copy_only=False), base + rank.to_numpy(zero_copy_only=False) - 1)
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], names=["sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("rank", F.row_number().over(order).cast("bigint"))
     placed = ranked.withColumn("place", place.asNondeterministic()("length", "salt", "rank"))
     return placed.select(

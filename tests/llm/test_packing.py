@@ -77,6 +77,20 @@ def test_plan_is_close_to_the_bound():
     assert share > 0.5  # most of it by the linear program
 
 
+def test_one_row_stored_many_times(docs_of):
+    docs = docs_of([(7, "the same row")] * 3_000 + [(8, "another row of other words")] * 500)
+    out = packing.pack(docs, WORD, capacity=64).collect()
+    assert len(out) == 3_500
+    bins = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for placed in bins.values():
+        assert [a for a, _ in sorted(placed)] == np.cumsum([0] + [n for _, n in sorted(placed)])[:-1].tolist()
+        assert sum(n for _, n in placed) <= 64
+    total = sum(r["length"] for r in out)
+    assert len(bins) <= 1.05 * -(-total // 64) + 1
+
+
 def test_awkward_rows(docs_of):
     rows = AWKWARD + [(40 + i, t) for i, t in enumerate(TRICKY)]
     docs = docs_of(rows).withColumnRenamed("source", "length").withColumnRenamed("lang", "piece")
