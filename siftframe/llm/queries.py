@@ -201,10 +201,25 @@ def op1_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _licenses_sql() -> str:
-    """Brute force over all blocks and templates."""
+    """Brute force over all blocks, templates and marks."""
+
+    def text(value: str | None) -> str:
+        return "CAST(NULL AS VARCHAR)" if value is None else f"'{value}'"
+
+    def around(apart: int, some: list[str], wanted: bool) -> str:
+        inside = f"(i + {apart} >= 1 AND coalesce(list_contains({some}, w[i + {apart}]), false))"
+        return inside if wanted else f"NOT {inside}"
+
+    sets = [(label, sorted(set(words.split()))) for label, words in licenses.TEMPLATES + licenses.SIBLINGS]
+    own = [(label, words, licenses._own_mark(label, words)) for label, words in sets]
     rows = ", ".join(
-        f"('{label}', {sorted(set(text.split()))})" for label, text in licenses.TEMPLATES
+        f"('{label}', {words}, {text(mark)}, {text(licenses.UNLESS.get(mark))})" for label, words, mark in own
+    )
+    marks = " ".join(
+        f"WHEN {' AND '.join([f"w[i] = '{word}'", *(around(*x) for x in conditions)])} THEN '{mark}'"
+        for mark, word, conditions in licenses.MARKS
     )
+    marked = sorted({word for _, word, _ in licenses.MARKS})
     phrases = " UNION ALL ".join(
         f"SELECT r, i - {len(before)} - 1 AS start, '{label}' AS label FROM word WHERE w[i] = '{last}' AND "
         + " AND ".join(f"w[i - {k}] = '{x}' AND i > {k}" for k, x in enumerate(reversed(before), 1))
@@ -218,15 +233,25 @@ def _licenses_sql() -> str:
     base AS (
       SELECT r, count(*) AS n, min(start) AS first_word, max(start) AS last_word,
              list_sort(list_distinct(list(label))) AS labels FROM place GROUP BY r),
-    template AS (SELECT * FROM (VALUES {rows}) AS t(label, words)),
+    template AS (SELECT * FROM (VALUES {rows}) AS t(label, words, own, unless)),
     block AS (
-      SELECT r, list_distinct(w[s : s + {licenses.BLOCK - 1}]) AS b
+      SELECT r, s, list_distinct(w[s : s + {licenses.BLOCK - 1}]) AS b
       FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {licenses.STEP}, 1) + 1, {licenses.STEP})) AS s FROM doc)),
+    mark AS (SELECT r, i, CASE {marks} END AS mark FROM word WHERE list_contains({marked}, w[i])),
+    marks AS (
+      SELECT b.r, b.s, list(DISTINCT mark) AS seen
+      FROM block b JOIN mark m ON m.r = b.r AND m.i BETWEEN b.s AND b.s + {licenses.BLOCK - 1}
+      WHERE mark IS NOT NULL GROUP BY b.r, b.s),
     share AS (
-      SELECT r, label, len(list_intersect(words, b)) / CAST(len(words) AS DOUBLE) AS share FROM block, template),
+      SELECT r, s, label, own, unless, len(list_intersect(words, b)) / CAST(len(words) AS DOUBLE) AS share
+      FROM block, template),
     found AS (
-      SELECT r, list(DISTINCT label) AS labels, max(share) AS share
-      FROM share WHERE share >= {licenses.THRESHOLD} - 1e-9 GROUP BY r)
+      SELECT c.r, list(DISTINCT label) AS labels, max(share) AS share
+      FROM share c LEFT JOIN marks m ON m.r = c.r AND m.s = c.s
+      WHERE share >= {licenses.THRESHOLD} - 1e-9
+        AND (own IS NULL OR list_contains(coalesce(seen, []), own)
+             OR (unless IS NOT NULL AND NOT list_contains(coalesce(seen, []), unless)))
+      GROUP BY c.r)
     SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIGINT) AS n_base,
            CAST(p.first_word AS BIGINT) AS first_word, CAST(p.last_word AS BIGINT) AS last_word,
            array_to_string(coalesce(p.labels, []), ',') AS base_labels,

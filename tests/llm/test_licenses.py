@@ -1,7 +1,11 @@
+import duckdb
 import pytest
 from conftest import AWKWARD
+from oracle import difference
 
 from siftframe.llm import licenses
+from siftframe.llm.queries import ORACLES, op6_licenses
+from siftframe.sources.scratch import scratch_path
 
 WANT = {
     50: (1, 3, 3, ["mit"], ["mit"], 1.0),
@@ -74,3 +78,22 @@ def test_siblings_are_told_apart(docs_of):
     out = licenses.find_licenses(docs_of([(i, t) for i, (t, _) in enumerate(SIBLINGS)])).collect()
     have = {SIBLINGS[r["doc_id"]][0]: r["licenses"]["labels"] for r in out}
     assert have == dict(SIBLINGS)
+
+
+def test_sql_knows_marks_and_siblings(spark, docs_of):
+    filler = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((0, 3, 20, 40))]
+    notices = [text for _, text in licenses.TEMPLATES + licenses.SIBLINGS] + [
+        "licensed under creative commons by nc 4 0",
+        "released under the wtf license",
+        "bericht mit der licensed under the apache license version 2 0 released",
+        "it under the terms of the gnu affero general public license as published by the free software foundation",
+        "it under the terms of the gnu license as published by the free software foundation",
+        "nc by licensed under cc 4 0 by",
+    ]
+    texts = [f"{a} {n} {b}" for n in notices for a in filler for b in filler]
+    texts += [f"{a} {b}" for a in notices for b in notices]
+    folder = scratch_path(spark, "test-licenses")
+    docs_of([*AWKWARD, *enumerate(texts, 100)]).coalesce(4).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder.removeprefix('file:')}/documents.parquet/*.parquet')")
+    assert difference(op6_licenses(spark, folder), con, ORACLES["op6_licenses"]) is None
