@@ -94,12 +94,11 @@ class Layout:
 _MANIFEST = "shard bigint, path string, first_slot bigint, records bigint, stride bigint, crc32 bigint"
 
 
-def _sequences(batch: pa.RecordBatch, tok, layout: Layout) -> Iterator[tuple[list, list[bytes], np.ndarray, np.ndarray]]:
-    """(ids, texts, token counts with the end, sequence counts) of some documents at a time."""
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts) of some documents at a time."""
     ids, at = batch.column(0).to_pylist(), 0
     for part in text_parts(batch.column(1), SLICE_BYTES):
-        tokens = tok.counts(part) + 1
-        yield ids[at : at + len(part)], part, tokens, -(-tokens // layout.seq_len)
+        yield ids[at : at + len(part)], part
         at += len(part)
 
 
@@ -133,7 +132,8 @@ def write_shards(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, total, check = open_tokenizer(tokenizer), 0, 0
         for batch in batches:
-            for _, _, _, n in _sequences(batch, tok, layout):
+            for _, texts in _parts(batch):
+                n = -(-(tok.counts(texts) + 1) // seq_len)
                 total, check = total + int(n.sum()), zlib.crc32(n.astype("<i8").tobytes(), check)
         columns = [pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), total, check)]
         yield pa.RecordBatch.from_arrays(columns, names=["task", "n", "check"])
@@ -153,8 +153,10 @@ def write_shards(
         number, expected, check = begin.value.get(TaskContext.get().partitionId(), (0, 0, 0))
         seen, checked = 0, 0
         for batch in batches:
-            for ids, texts, tokens, n in _sequences(batch, tok, layout):
+            for ids, texts in _parts(batch):
                 flat, place = tok.encode(texts)
+                tokens = np.diff(place) + 1
+                n = -(-tokens // seq_len)
                 owner = np.repeat(np.arange(len(texts)), n)
                 piece = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
                 out = np.zeros(len(owner), layout.record)
