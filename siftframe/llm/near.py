@@ -9,7 +9,9 @@ sets is a leaf and compared by brute force; a larger one is split again, unless
 splitting leaves it nearly whole: then its sets are alike, and it is compared in
 blocks of that size. Runs are repeated for every set until a partner of the
 least similarity is met with the target probability: after runs with leaves at
-depths ``d`` it is missed with at most the product of ``1 - s ** d``.
+depths ``d`` it is missed with at most the product of ``1 - s ** d``. Sets that the
+first runs leave above that go through one more row of runs, with hashes of their
+own and with leaves no deeper than that number of runs can answer for.
 
 Sampled tokens come from a row of 64 least hashes per set, so walking moves only
 that row; the texts of sets that have a likely partner are fetched at the end,
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +40,37 @@ SIMILARITY = 0.8
 RECALL = 0.999
 LEAF_SIZE = 1024
 RUNS_PER_ROUND = 6
-MOST_RUNS = 48
+FIRST_RUNS = 48  # by the hashes of the prints; as many follow for sets that need more
+HOT_SHARE = 1024  # a node with more than one in so many rows is split over tasks
+_SALTS = 64
 _TOKENS = 64
-_LIKELY = 36  # of 64 equal least hashes; fewer at similarity 0.8 has probability below 1e-6
 _DEEPEST = 16
 
-_rng = np.random.default_rng(10)
-_XOR = _rng.integers(0, 2**64, _TOKENS, dtype=np.uint64)
-_MUL = _rng.integers(0, 2**63, _TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+@cache
+def _keys(series: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(10 + series)
+    xor = rng.integers(0, 2**64, _TOKENS, dtype=np.uint64)
+    return xor, rng.integers(0, 2**63, _TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_equal(similarity: float) -> int:
+    """Of 64 least hashes so many are equal, but for a probability below 1e-6, in sets as similar as that."""
+    below = 0.0
+    for m in range(_TOKENS):
+        below += math.comb(_TOKENS, m) * similarity**m * (1 - similarity) ** (_TOKENS - m)
+        if below >= 1e-6:
+            return m
+    return _TOKENS
+
+
+def depth_for(similarity: float, recall: float, runs: int) -> int:
+    """The deepest leaves with which so many runs reach the recall; 0 if none do."""
+    least = -math.expm1(math.log1p(-recall) / runs) if recall < 1 else 1.0  # of similarity ** depth
+    depth = 0
+    while depth < _DEEPEST and similarity ** (depth + 1) >= least:
+        depth += 1
+    return depth
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -62,12 +88,13 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray
                 yield np.zeros(0, np.uint64)
 
 
-def least_hashes(shingles: np.ndarray) -> np.ndarray:
-    """The least hash under each of the 64 keys, as 32-bit values."""
+def least_hashes(shingles: np.ndarray, series: int = 0) -> np.ndarray:
+    """The least hash under each of the 64 keys of a series, as 32-bit values."""
+    xor, mul = _keys(series)
     least = np.full(_TOKENS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for a in range(0, len(shingles), 2048):
-            keyed = (shingles[a : a + 2048, None] ^ _XOR) * _MUL
+            keyed = (shingles[a : a + 2048, None] ^ xor) * mul
             least = np.minimum(least, keyed.min(0))
     return (least >> np.uint64(32)).astype("<u4")
 
@@ -92,24 +119,53 @@ def _fingerprint(size: int):
     return fingerprint.asNondeterministic()
 
 
+def _marks(size: int, series: int):
+    @F.arrow_udf("binary")
+    def marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [least_hashes(s, series).tobytes() for part in text_parts(texts) for s in shingle_sets(part, size)]
+            yield pa.array(rows, pa.binary())
+        release()
+
+    return marks.asNondeterministic()
+
+
 def _token(marks: Column, which: Column) -> Column:
     return F.substring(marks, (4 * which + 1).cast("int"), F.lit(4))
 
 
-def _walk(sets: DataFrame, active: DataFrame, runs: range, similarity: float, leaf_size: int):
+def _with_counts(rows: DataFrame, leaf_size: int) -> DataFrame:
+    """Rows of nodes with more than one set, and how many the node has (``n``).
+
+    A hot node has more than one in ``HOT_SHARE`` of the rows, so there are at most
+    that many; their rows meet the count in ``_SALTS`` parts.
+    """
+    counts = stored(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-counts")
+    total, most = counts.agg(F.sum("n"), F.max("n")).head()
+    least = max(leaf_size, (total or 0) // HOT_SHARE)
+    if (most or 0) <= least:
+        return rows.join(counts, "path")
+    hot = F.broadcast(counts.where(F.col("n") > least).select("path", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(_SALTS))).otherwise(0).cast("int")
+    salts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(hot, "path", "left").withColumn("salt", salt).drop("hot")
+    return dealt.join(counts.withColumn("salt", F.explode(salts)), ["path", "salt"]).drop("salt")
+
+
+def _walk(sets: DataFrame, active: DataFrame, runs: range, similarity: float, leaf_size: int, deepest: int):
     """Leaves (path, run, n, key) of more than one set, and nodes (key, run, depth) that were split."""
+    first = F.pmod(F.col("run"), F.lit(FIRST_RUNS))
     rows = (
         active.join(sets.select("key", "marks"), "key")
         .select("key", "marks", F.explode(F.array(*map(F.lit, runs))).alias("run"))
-        .withColumn("path", F.xxhash64("run", _token(F.col("marks"), F.col("run"))))
+        .withColumn("path", F.xxhash64("run", _token(F.col("marks"), first)))
         .withColumn("above", F.lit(None).cast("bigint"))
     )
     leaves, split = [], []
-    for depth in range(1, _DEEPEST + 1):
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = stored(rows.drop("marks").join(counts, "path"), "near-level")
+    for depth in range(1, deepest + 1):
+        level = stored(_with_counts(rows.drop("marks"), leaf_size), "near-level")
         done = (F.col("n") <= leaf_size) | F.coalesce(F.col("n") >= similarity * F.col("above"), F.lit(False))
-        done = F.lit(True) if depth == _DEEPEST else done
+        done = F.lit(True) if depth == deepest else done
         leaves.append(level.where(done).select("path", "run", "n", "key"))
         wide = level.where(~done)
         if wide.head() is None:
@@ -133,17 +189,28 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _leaves(sets: DataFrame, similarity: float, recall: float, leaf_size: int) -> DataFrame:
-    """Leaves of all runs, with large ones in pairs of blocks (i, j); ``block`` is the row's own."""
+def _leaves(sets: DataFrame, remarked, similarity: float, recall: float, leaf_size: int) -> tuple[DataFrame, int]:
+    """Leaves of all runs, with large ones in pairs of blocks (i, j), and the number of runs.
+
+    ``block`` is the row's own. ``remarked(active)`` gives sets (key, marks) new hashes.
+    """
+    step = RUNS_PER_ROUND
+    while step < FIRST_RUNS and not depth_for(similarity, recall, step):
+        step += 1  # sets that are never split reach the recall in their first round
+    last_depth = depth_for(similarity, recall, FIRST_RUNS)
+    if not last_depth:
+        raise ValueError(f"{FIRST_RUNS} runs do not find partners of similarity {similarity} with probability {recall}")
+    rounds = [(range(a, min(a + step, FIRST_RUNS)), _DEEPEST) for a in range(0, FIRST_RUNS, step)]
+    rounds.append((range(FIRST_RUNS, 2 * FIRST_RUNS), last_depth))
     active, leaves, missed = sets.select("key"), [], None
     log = lambda depth: F.log1p(-F.pow(F.lit(similarity), depth))
-    for first in range(0, MOST_RUNS, RUNS_PER_ROUND):
-        runs = range(first, first + RUNS_PER_ROUND)
-        found, split = _walk(sets, active, runs, similarity, leaf_size)
+    for runs, deepest in rounds:
+        marked = sets if runs.start < FIRST_RUNS else stored(remarked(active), "near-remarked")
+        found, split = _walk(marked, active, runs, similarity, leaf_size, deepest)
         leaves += found
-        if not split:
+        if not split or runs.start >= FIRST_RUNS:
             break
-        # A set that was never split has met its partners with probability 1 - (1 - s) ** runs.
+        # A set that was never split has met its partners.
         deep = _all(split).groupBy("key", "run").agg((F.max("depth") + 1).alias("depth")).groupBy("key")
         deep = deep.agg(F.sum(log(F.col("depth"))).alias("log"), F.count(F.lit(1)).alias("runs"))
         deep = deep.select(
@@ -159,9 +226,10 @@ def _leaves(sets: DataFrame, similarity: float, recall: float, leaf_size: int) -
     blocks = F.when(F.col("n") <= leaf_size, F.lit(1)).otherwise(blocks)
     rows = _all(leaves).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rows.select(
+    rows = rows.select(
         "path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "run", "key"
     )
+    return rows, runs.stop
 
 
 _GROUP = ["path", "i", "j"]
@@ -204,11 +272,11 @@ def _pairs(table: pa.Table, alike) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _likely(table: pa.Table, similarity: float):
     marks = np.frombuffer(b"".join(table["marks"].to_pylist()), "<u4").reshape(-1, _TOKENS)
-    size = table["size"].to_numpy()
+    size, least = table["size"].to_numpy(), least_equal(similarity)
 
     def alike(a: int, others: np.ndarray) -> np.ndarray:
         small, large = np.minimum(size[others], size[a]), np.maximum(size[others], size[a])
-        return (small >= similarity * large - 1e-9) & ((marks[others] == marks[a]).sum(1) >= _LIKELY)
+        return (small >= similarity * large - 1e-9) & ((marks[others] == marks[a]).sum(1) >= least)
 
     return alike
 
@@ -227,13 +295,13 @@ def _likely_rows(similarity: float):
     return choose
 
 
-def _verified(similarity: float, size: int):
+def _verified(similarity: float, size: int, runs: int):
     """Links and a spanning forest of a leaf: key, links, root."""
 
     def verify(table: pa.Table) -> pa.Table:
         n = len(table)
         sets = list(shingle_sets(encoded(table["text"].combine_chunks()), size))
-        paths = table["paths"].combine_chunks().flatten().to_numpy().reshape(n, MOST_RUNS)
+        paths = table["paths"].combine_chunks().flatten().to_numpy().reshape(n, runs)
         run, copies = table["run"][0].as_py(), table["copies"].to_numpy()
         likely = _likely(table, similarity)
         links, root = np.zeros(n, np.int64), list(range(n))
@@ -337,7 +405,18 @@ def _classes(
     sets = sets.select("*", F.col("first.id").alias("low"), F.col("first.digest").alias("digest")).drop("first")
     sets = stored(sets, "near-sets")
 
-    leaves = _leaves(sets, similarity, recall, leaf_size).join(sets.select("key", "size", "marks"), "key")
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(key, text): one text of each of ``some`` sets."""
+        wanted = some.select(F.col("low").alias("id"), "digest", "key")
+        texts = named.withColumn("digest", _digest(F.col("text"))).join(wanted, ["id", "digest"])
+        return texts.groupBy("key").agg(F.first("text").alias("text"))
+
+    def remarked(active: DataFrame) -> DataFrame:
+        texts = texts_of(active.join(sets, "key"))
+        return texts.select("key", _marks(size, 1)(F.col("text")).alias("marks"))
+
+    leaves, runs = _leaves(sets, remarked, similarity, recall, leaf_size)
+    leaves = leaves.join(sets.select("key", "size", "marks"), "key")
     likely = stored(
         _per_group(
             leaves, _likely_rows(similarity), "path bigint, i int, j int, block int, run int, key binary"
@@ -347,13 +426,10 @@ def _classes(
 
     by_run = F.map_from_entries(F.collect_set(F.struct("run", "path")))
     chosen = likely.groupBy("key").agg(by_run.alias("by_run"))
-    of_run = F.transform(F.sequence(F.lit(0), F.lit(MOST_RUNS - 1)), lambda r: F.coalesce(F.col("by_run")[r], F.lit(0)))
+    of_run = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.col("by_run")[r], F.lit(0)))
     chosen = chosen.select("key", of_run.alias("paths")).join(sets, "key")
-    texts = named.join(chosen.select(F.col("low").alias("id"), F.col("key").alias("want")), "id")
-    texts = texts.withColumn("print", _fingerprint(size)(F.col("text"))).where("print.key = want")
-    texts = texts.groupBy(F.col("want").alias("key")).agg(F.first("text").alias("text"))
-    full = likely.join(chosen.select("key", "copies", "size", "marks", "paths").join(texts, "key"), "key")
-    verified = _per_group(full, _verified(similarity, size), "key binary, links bigint, root binary")
+    full = likely.join(chosen.select("key", "copies", "size", "marks", "paths").join(texts_of(chosen), "key"), "key")
+    verified = _per_group(full, _verified(similarity, size, runs), "key binary, links bigint, root binary")
     verified = stored(verified, "near-verified")
 
     labels = components(verified.select("key", "root"), "key", "root")

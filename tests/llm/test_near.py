@@ -61,6 +61,38 @@ def test_large_groups_are_compared_in_blocks(docs_of):
     assert sorted(map(tuple, out)) == brute(rows)
 
 
+def test_sets_the_first_runs_leave_get_further_ones(docs_of, monkeypatch):
+    # A passage in all texts leads every run deep: 6 runs are too few for any of these sets.
+    monkeypatch.setattr(near, "FIRST_RUNS", 6)
+    rng, passage = random.Random(5), [f"p{i}" for i in range(100)]
+    rows = [(i, " ".join(edited(w, rng, 2))) for i, w in enumerate(
+        [f"u{rng.randrange(10**9)}" for _ in range(60)] + passage for _ in range(40))]
+    rows += [(100 + i, " ".join(edited(t.split(), rng, 1))) for i, t in rows]
+    out = near.near_copies(docs_of(rows), recall=0.999, leaf_size=4).collect()
+    assert sorted(map(tuple, out)) == brute(rows)
+
+
+def test_runs_and_depths_reach_the_recall():
+    for similarity, recall, runs in [(0.8, 0.999, 48), (0.8, 0.999999, 48), (0.5, 0.9, 12)]:
+        depth = near.depth_for(similarity, recall, runs)
+        assert (1 - similarity**depth) ** runs <= 1 - recall + 1e-12 < (1 - similarity ** (depth + 1)) ** runs
+    assert near.depth_for(0.8, 0.999, 3) == 0
+    assert near.depth_for(1.0, 0.999, 6) == 16
+    assert near.least_equal(0.8) == 34 and near.least_equal(1.0) == 64
+
+
+def test_a_hot_node_is_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(near, "HOT_SHARE", 4)
+    rows = spark.createDataFrame([(bytes([i]), 1 if i < 50 else i) for i in range(70)] + [(bytes([9]), 69)], "key binary, path bigint")
+    got = {(bytes(r["key"])[0], r["path"]): r["n"] for r in near._with_counts(rows, 2).collect()}
+    assert got == {(i, 1): 50 for i in range(50)} | {(69, 69): 2, (9, 69): 2}
+
+
+def test_too_low_a_similarity_is_refused(docs_of):
+    with pytest.raises(ValueError, match="runs"):
+        near.near_copies(docs_of([(1, "a b"), (2, "c d")]), similarity=0.05)
+
+
 def test_shared_passages_are_no_links(docs_of):
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(60)]
